@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.llm import dedup, site_lines, splitting
+from docloom.llm import dedup, residue, site_lines, splitting
 
-_MODULES = [dedup, site_lines, splitting]
+_MODULES = [dedup, site_lines, splitting, residue]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
