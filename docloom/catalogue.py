@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from docloom.operators import queries_hierarchy
+from docloom.operators import queries_hierarchy, queries_retrieval, queries_text
 
-_MODULES = [queries_hierarchy]
+_MODULES = [queries_retrieval, queries_text, queries_hierarchy]
 
-FLAGSHIP = "p1_found"
+FLAGSHIP = "hybrid_search"
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -1 +1 @@
-
+"""Incremental processing of landing folders with Structured Streaming."""
