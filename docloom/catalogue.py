@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.operators import queries_hierarchy, queries_retrieval, queries_text
+from docloom.operators import queries_catalog, queries_hierarchy, queries_retrieval, queries_text
 
-_MODULES = [queries_retrieval, queries_text, queries_hierarchy]
+_MODULES = [queries_retrieval, queries_text, queries_catalog, queries_hierarchy]
 
 FLAGSHIP = "hybrid_search"
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
