@@ -247,7 +247,10 @@ def decide(text: str, model: dict[str, list[float]]) -> int | None:
 def fitted(records: DataFrame, id_col: str, text_col: str, bound: int = FIT_RECORDS) -> dict[str, list[float]]:
     """The model from at most ``bound`` records with text, those of the smallest id hashes."""
     usable = records.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    chosen = usable.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t")).orderBy("h").limit(bound)
+    # The bound-th smallest hash, from hashes alone; then one filter on the texts, without a sort or shuffle of them.
+    hashes = usable.select(F.xxhash64(id_col).alias("h")).orderBy("h").limit(bound)
+    last = hashes.agg(F.max("h").alias("h")).first()["h"]
+    chosen = usable.where(F.xxhash64(id_col) <= F.lit(last)).select(F.col(text_col).alias("t"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,7 +258,7 @@ def fitted(records: DataFrame, id_col: str, text_col: str, bound: int = FIT_RECO
             texts = pa.array([[p for p, _ in r] for r in rows], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([texts, pa.array([[x for _, x in r] for r in rows], pa.list_(pa.bool_()))], ["p", "l"])
 
-    found = chosen.select("t").mapInArrow(split, "p array<string>, l array<boolean>").collect()
+    found = chosen.mapInArrow(split, "p array<string>, l array<boolean>").collect()
     return fit([list(zip(r["p"], r["l"], strict=True)) for r in found])
 
 
