@@ -77,7 +77,10 @@ def fit(vectors: DataFrame, sample: int = SAMPLE) -> dict[int, Codebooks]:
     models = {}
     for row in sorted(vectors.groupBy("version").count().collect()):
         version, n = row["version"], row["count"]
-        chosen = vectors.where(F.col("version") == version).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
+        own = vectors.where(F.col("version") == version)
+        # The sample-th smallest hash, from hashes alone; the vectors themselves are only filtered.
+        last = own.select(F.xxhash64("vec_id").alias("h")).orderBy("h").limit(sample).agg(F.max("h").alias("h")).first()["h"]
+        chosen = own.where(F.xxhash64("vec_id") <= F.lit(last))
         data = np.stack([np.frombuffer(v, dtype=np.float32) for v in chosen.select("vector").toArrow().column(0).to_pylist()])
         lists = 1 << max(0, round(np.log2(max(1.0, np.sqrt(n) / 2))))
         models[version] = train(data, min(lists, MAX_LISTS, len(data)), min(CODEWORDS, len(data)), BOOKS)
