@@ -22,6 +22,7 @@ from docloom.config import ChunkingConfig
 from docloom.functions.identity import canonical_url, normalize_package_name, sha256, sha256_of, stored_chunk_id
 from docloom.operators import constraints
 from docloom.plans.digests import set_digest
+from docloom.plans.shared import Scratch
 from docloom.schemas import TABLES, schema, upgrade
 
 Tables = dict[str, DataFrame]
@@ -66,9 +67,11 @@ def plan_lineage(current: Tables, documents: DataFrame, chunks: DataFrame, now:
     completed; ``metrics``: one row of counters. The store is not changed. Empty
     frames plan nothing. Several packages and versions may come at once.
     """
+    # Each of the steps below is read by several planned tables: written once, not computed again.
+    scratch = Scratch(documents.sparkSession, "lineage")
     at = F.lit(now.astimezone(UTC).replace(tzinfo=None)).cast("timestamp")
     setting = F.lit(sha256_of({k: getattr(config or ChunkingConfig(), k) for k in ("max_characters", "overlap_characters", "headers")}))
-    docs = incoming_documents(documents)
+    docs = scratch.write(incoming_documents(documents), "incoming")
     version_key = ["package_name", "package_version"]
     states = set_digest(docs, version_key, F.concat_ws("\0", "canonical_url", "normalized_content_hash"), "state")
     runs = states.select(
@@ -77,7 +80,7 @@ def plan_lineage(current: Tables, documents: DataFrame, chunks: DataFrame, now:
         F.sha2(F.concat_ws("\0", "state", setting), 256).alias("config_hash"),
     )
     runs = runs.withColumn("version_id", _id(F.lit("version"), F.col("package_id"), F.col("package_version")))
-    runs = runs.withColumn("run_id", _id(F.lit("run"), F.col("version_id"), F.col("config_hash")))
+    runs = scratch.write(runs.withColumn("run_id", _id(F.lit("run"), F.col("version_id"), F.col("config_hash"))), "runs")
 
     def missing(rows: DataFrame, table: str) -> DataFrame:
         return rows.join(current[table].select("id"), "id", "left_anti")
@@ -106,6 +109,7 @@ def plan_lineage(current: Tables, documents: DataFrame, chunks: DataFrame, now:
             _id(F.lit("document"), F.col("source_id"), F.col("normalized_content_hash"), F.coalesce("current_id", F.lit("")))
         ),
     )
+    compared = scratch.write(compared, "compared")
     fresh = compared.where(~F.col("reused"))
     default = F.create_map(F.lit("reconstructed"), F.lit("true"))
     docs_ins = fresh.select(
@@ -128,6 +132,7 @@ def plan_lineage(current: Tables, documents: DataFrame, chunks: DataFrame, now:
     ).dropDuplicates(["source_document_id", "id"])
     known = current["chunks"].select(F.col("id").alias("kid"), F.col("source_document_id").alias("kdoc"))
     marked = stored.join(known, (F.col("id") == F.col("kid")) & (F.col("source_document_id") == F.col("kdoc")), "left")
+    marked = scratch.write(marked, "chunks")
     chunks_ins = marked.where("kid is null").select(*stored.columns)
 
     def counted(rows: DataFrame, name: str) -> DataFrame:

@@ -51,7 +51,7 @@ def fetch_and_clean(frames: PipelineFrames, captured: DataFrame, config: CrawlCo
     order = Window.partitionBy("package", "version").orderBy("position")
     first = frames.plan.withColumn("position", (F.row_number().over(order) - 1).cast("bigint")).where(F.col("position") < (config or CrawlConfig()).max_pages)
     fetched = captured_pages(first.select("title", "url").distinct(), captured)
-    raw = first.select("package", "version", "position", "url", "title").join(fetched.drop("title").distinct(), "url")
+    raw = first.select("package", "version", "position", "url", "title").join(fetched.drop("title").dropDuplicates(["url"]), "url")
     clean = ingest.ingest(raw)
     return replace(frames, raw_documents=clean.drop("markdown"), clean_documents=clean)
 
