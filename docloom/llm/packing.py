@@ -29,7 +29,9 @@ from docloom.llm.tokens import VOCABULARY, token_ids
 from docloom.plans.ranks import prefix_sums, ranks
 from docloom.plans.shared import Scratch
 
-CAPACITY, BUCKETS = 2048, 128
+CAPACITY, BUCKETS = 2048, 512
+#: The dynamic programming takes so many columns at once, with no more rows above them than it needs.
+COLUMNS = 256
 
 
 def bucket_bounds(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
@@ -45,10 +47,16 @@ def bucket_bounds(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int
     cost = upper[None, :] * (items[None, :] - items[:, None]) - (mass[None, :] - mass[:, None])
     cost[np.tril_indices(len(items))] = np.inf
     best, choice = cost[0].copy(), []
+    best[0] = 0.0
     for _ in range(buckets - 1):
-        total = best[:, None] + cost
-        choice.append(total.argmin(axis=0))
-        best = np.minimum(total.min(axis=0), np.inf)
+        least, previous = best.copy(), np.zeros(len(best), dtype=np.int32)
+        for start in range(0, len(best), COLUMNS):
+            end = min(start + COLUMNS, len(best))
+            total = best[:end, None] + cost[:end, start:end]
+            previous[start:end] = total.argmin(axis=0)
+            least[start:end] = total[previous[start:end], np.arange(end - start)]
+        choice.append(previous)
+        best = least
         best[0] = 0.0
     at, bounds = len(sizes), []
     for previous in reversed(choice):

@@ -55,6 +55,6 @@ def test_empty_table(spark):
 
 
 def test_fields():
-    assert dedup.fields_of('{"a": {"b": 1}, "c": "d"}') == [("a", '[["b", 1]]'), ("c", "d")] or dedup.fields_of('{"a": {"b": 1}, "c": "d"}') is not None
+    assert dedup.fields_of('{"a": ["b", 1], "c": "d"}') == [("a", '["b", 1]'), ("c", "d")]
     assert dedup.fields_of("a: 1\ntext") is None and dedup.fields_of("[1]") is None
     assert dedup.canonical("1. a: x\n2. b: y") == dedup.canonical("b: y\na: x")
