@@ -189,4 +189,23 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_records": p2_records}
-ORACLES: dict[str, str] = {}
+
+_BARE = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+_KEYS = rf"""
+WITH c AS (SELECT load_seq, chunk_id, page_id, content, regexp_replace(content, '^[\s\x{{200b}}\x{{feff}}]+|[\s\x{{200b}}\x{{feff}}]+$', '', 'g') AS s FROM chunks WHERE content IS NOT NULL),
+l AS (SELECT *, CASE WHEN s LIKE '{{%}}' THEN json_valid(s) AND coalesce(json_type(CASE WHEN json_valid(s) THEN s END) = 'OBJECT', false) ELSE false END AS is_json,
+        list_filter(string_split(regexp_replace(s, '\r\n?', chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, '\S')) AS lines FROM c),
+f AS (SELECT load_seq, chunk_id, page_id, content,
+        CASE WHEN is_json THEN list_transform(json_keys(CASE WHEN is_json THEN s END), lambda k: {_BARE.format("k")} || '=' || {_BARE.format("json_extract_string(s, '$.\"' || k || '\"')")})
+             WHEN len(lines) > 1 AND len(list_filter(lines, lambda x: NOT regexp_matches(x, '^[^:]*[\p{{L}}\p{{N}}][^:]*:([\s\x{{200b}}\x{{feff}}]|$)'))) = 0
+             THEN list_transform(lines, lambda x: {_BARE.format(r"regexp_replace(split_part(x, ':', 1), '^\s*([-*+•]|\d+[.)])\s+', '')")} || '=' || {_BARE.format("substr(x, strpos(x, ':') + 1)")}) END AS fields FROM l),
+k AS (SELECT load_seq, chunk_id, page_id, CASE WHEN len(fields) > 0 THEN 'F' || array_to_string(list_sort(list_filter(fields, lambda x: x <> '=')), chr(10)) ELSE {_BARE.format("content")} END AS key FROM f)"""
+
+ORACLES = {
+    "p2_found": _KEYS
+    + """
+SELECT load_seq_keep, load_seq AS load_seq_copy FROM (SELECT load_seq, min(load_seq) OVER (PARTITION BY key) AS load_seq_keep FROM k WHERE key NOT IN ('', 'F')) WHERE load_seq <> load_seq_keep""",
+    "p2_records": _KEYS
+    + """
+SELECT min(load_seq) AS load_seq, arg_min(chunk_id, load_seq) AS chunk_id, arg_min(page_id, load_seq) AS page_id, count(*)::BIGINT AS copies FROM k WHERE key NOT IN ('', 'F') GROUP BY key""",
+}
