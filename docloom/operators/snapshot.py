@@ -82,7 +82,9 @@ def resolve_snapshot(tables: dict[str, DataFrame], package: str, version: str, r
 
     sources = tables["sources"].where(F.col("documentation_version_id") == row["v_id"]).select(F.col("id").alias("s_id"))
     documents = tables["source_documents"].where(F.col("pipeline_run_id") == run_id).join(sources, F.col("source_id") == F.col("s_id"), "left_semi")
-    documents = documents.select(F.col("id").alias("d_id"), "is_current")
+    # Of several revisions of a source in one run (its text went back to what it was) the current one counts.
+    latest = documents.groupBy("source_id").agg(F.max_by(F.struct("id", "is_current"), F.col("is_current")).alias("d"))
+    documents = latest.select(F.col("d.id").alias("d_id"), F.col("d.is_current").alias("is_current"))
     chunks = tables["chunks"].join(documents.select("d_id"), F.col("source_document_id") == F.col("d_id"), "left_semi")
     chunks = chunks.select("id", "content_hash", "source_document_id", "package_name", "package_version")
     version_id = embedding_version_id(embedding)
