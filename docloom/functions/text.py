@@ -62,17 +62,21 @@ def lexical_relevance(terms: Column, heading: Column, title: Column, content: Co
     stand as one phrase in the headings or else the content. Null texts count as
     empty; without terms the relevance is 0.
     """
-    heading, title, content, url = (search_text(F.coalesce(c, F.lit(""))) for c in (heading, title, content, url))
-    places = [(heading, HEADING_WEIGHT), (title, TITLE_WEIGHT), (content, CONTENT_WEIGHT), (url, URL_WEIGHT)]
-    tokens = [(F.split(place, " "), weight) for place, weight in places]
+    texts = [search_text(F.coalesce(c, F.lit(""))) for c in (heading, title, content, url)]
+    weights = (HEADING_WEIGHT, TITLE_WEIGHT, CONTENT_WEIGHT, URL_WEIGHT)
+    # Bound to a lambda variable, so that texts are normalized and split once, not for each term.
+    places = F.struct(texts[0].alias("heading"), texts[2].alias("content"), *[F.split(t, " ").alias(f"t{i}") for i, t in enumerate(texts)])
 
-    def weight_of(term: Column) -> Column:
-        return F.greatest(*[F.when(F.array_contains(t, term), F.lit(w)).otherwise(F.lit(0.0)) for t, w in tokens])
+    def score(place: Column) -> Column:
+        def weight_of(term: Column) -> Column:
+            return F.greatest(*[F.when(F.array_contains(place[f"t{i}"], term), F.lit(w)).otherwise(F.lit(0.0)) for i, w in enumerate(weights)])
 
-    coverage = F.aggregate(F.transform(terms, weight_of), F.lit(0.0), lambda a, x: a + x) / F.size(terms)
-    phrase = F.array_join(terms, " ")
-    bonus = F.when(F.size(terms) < 2, 0.0).when(heading.contains(phrase), HEADING_PHRASE).when(content.contains(phrase), CONTENT_PHRASE).otherwise(0.0)
-    return F.when(F.size(terms) > 0, F.least(F.lit(1.0), coverage + bonus)).otherwise(F.lit(0.0))
+        coverage = F.aggregate(F.transform(terms, weight_of), F.lit(0.0), lambda a, x: a + x) / F.size(terms)
+        phrase = F.array_join(terms, " ")
+        bonus = F.when(place["heading"].contains(phrase), HEADING_PHRASE).when(place["content"].contains(phrase), CONTENT_PHRASE).otherwise(0.0)
+        return F.least(F.lit(1.0), coverage + F.when(F.size(terms) < 2, 0.0).otherwise(bonus))
+
+    return F.when(F.size(terms) > 0, F.get(F.transform(F.array(places), score), F.lit(0))).otherwise(F.lit(0.0))
 
 
 def plain_markdown(text: Column) -> Column:
