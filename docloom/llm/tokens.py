@@ -51,6 +51,8 @@ def tokenizer(path: str = VOCABULARY) -> tiktoken.Encoding:
     """The tokenizer of a rank file, without special tokens."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+    if max(ranks.values()) > 0xFFFF:
+        raise ValueError("token ids must fit into 16 bits")
     return tiktoken.Encoding("docloom", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
