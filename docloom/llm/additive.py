@@ -17,9 +17,10 @@ BEAM = 4
 
 @dataclass(frozen=True)
 class Codebooks:
-    """``words`` has the shape (books, codewords, dimension); the first book also names the lists."""
+    """``words`` has the shape (books, codewords, dimension); the first ``lists`` words of the first book name the lists."""
 
     words: np.ndarray
+    lists: int
 
     @property
     def books(self) -> int:
@@ -57,7 +58,8 @@ def encode(data: np.ndarray, books: Codebooks, beam: int = BEAM) -> np.ndarray:
     n, words = len(data), books.words
     codes = np.zeros((n, 1, 0), dtype=np.int64)
     partial = np.zeros((n, 1, data.shape[1]), dtype=np.float32)
-    for book in words:
+    for b, book in enumerate(words):
+        book = book[: books.lists] if b == 0 else book
         norms = (book**2).sum(axis=1)
         residual = data[:, None, :] - partial
         # |residual - word|^2 without the data's own norm, which does not vary within a beam entry.
@@ -86,7 +88,7 @@ def train(data: np.ndarray, lists: int, codewords: int, books: int, rounds: int
         centres = _k_means(rest, k, rng)
         rest = rest - centres[np.argmax(rest @ centres.T - 0.5 * (centres**2).sum(axis=1), axis=1)]
         parts.append(np.concatenate([centres, np.repeat(centres[:1], width - k, axis=0)]))
-    model = Codebooks(np.stack(parts).astype(np.float32))
+    model = Codebooks(np.stack(parts).astype(np.float32), lists)
     for _ in range(rounds):
         codes = encode(data, model)
         used = np.concatenate([one_hot(codes[:, b], width) for b in range(books)], axis=1)
@@ -94,5 +96,5 @@ def train(data: np.ndarray, lists: int, codewords: int, books: int, rounds: int
         # A ridge towards the present words keeps unused ones where they are.
         present = model.words.reshape(books * width, -1)
         solved = np.linalg.solve(gram + np.eye(books * width), right + present)
-        model = Codebooks(solved.reshape(books, width, -1).astype(np.float32))
+        model = Codebooks(solved.reshape(books, width, -1).astype(np.float32), lists)
     return model

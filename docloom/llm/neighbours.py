@@ -2,16 +2,21 @@
 
 Method: additive quantisation (see ``additive``). Codebooks are fitted on a
 bounded sample of each version; every vector is encoded by beam search and kept
-as its codes and the norm of what they leave out. The first code names the
-vector's list. A query is scored against the lists nearest to it by lookup
-tables, the best candidates are fetched and reranked exactly.
-
-Queries stay where they are, in blocks of at most ``QUERY_BLOCK`` of one list;
-what travels to them is codes (a few bytes a vector), in blocks of at most
-``CODE_BLOCK``. A list of any size is many blocks, so no group grows with the
-data. Where only similarities of at least ``least`` are asked for, candidates
-that cannot reach it are dropped by a proven bound: q.x <= q.x' + |x - x'| for
-a vector x, its approximation x' and a query q of unit length.
+with its codes and the norm of what they leave out. The first code names the
+vector's list. A query is scored against the lists it probes by lookup tables;
+the exact cosines of the best give a floor, and every other vector of these
+lists that can still reach it is compared exactly too, however many there are.
+
+What can reach the floor is decided by a proven bound: q.x <= q.x' + |x - x'|
+for a vector x, its approximation x' and a query q of unit length. So within the
+probed lists the result is exact; only the choice of lists is approximate. A
+query probes the ``PROBES`` lists nearest to it and, without a cap, all whose
+codeword is at least ``DENSE`` similar to it: those share a dense group with it.
+
+Queries travel to the lists they probe. Where a list is asked by many, or holds
+many, its queries come in chunks of about ``QUERY_BLOCK`` and its vectors in
+parts of about ``CODE_BLOCK``, each chunk against each part, so no group grows
+with the data. The work on a dense group is quadratic in it.
 """
 
 from __future__ import annotations
@@ -22,17 +27,16 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.additive import Codebooks, encode, train
-from docloom.plans.ranks import ranks
 from docloom.plans.shared import Scratch
 
 SAMPLE = 8192
 BOOKS, CODEWORDS, MAX_LISTS = 8, 64, 2048
-PROBES, CANDIDATES = 12, 48
-QUERY_BLOCK, CODE_BLOCK, BLOCKS_OF_A_LIST = 512, 4096, 16
+PROBES, DENSE = 12, 0.7
+QUERY_BLOCK, CODE_BLOCK, SLICE = 2048, 4096, 256
 
 VECTOR = "vec_id bigint, version int, vector binary"
 
@@ -105,8 +109,11 @@ def encoded(vectors: DataFrame, models: dict[int, Codebooks]) -> DataFrame:
                     data = np.stack([np.frombuffer(v, dtype=np.float32) for v in piece.column(2).to_pylist()])
                     codes = encode(data, model)
                     loss = np.linalg.norm(data - model.decode(codes), axis=1) + 1e-5
-                    near = np.argsort(-(data @ model.words[0].T), axis=1, kind="stable")
-                    probes = [list(dict.fromkeys([own, *order[: 2 * PROBES].tolist()]))[:PROBES] for own, order in zip(codes[:, 0].tolist(), near, strict=True)]
+                    words = model.words[0][: model.lists]
+                    dots = data @ words.T
+                    close = dots >= DENSE * np.linalg.norm(words, axis=1)
+                    near = np.argsort(-dots, axis=1, kind="stable")[:, :PROBES]
+                    probes = [list(dict.fromkeys([own, *order, *np.flatnonzero(more).tolist()])) for own, order, more in zip(codes[:, 0].tolist(), near.tolist(), close, strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [
                             piece.column(0),
@@ -123,95 +130,80 @@ def encoded(vectors: DataFrame, models: dict[int, Codebooks]) -> DataFrame:
     return vectors.mapInArrow(work, ENCODED)
 
 
-def candidates(table: DataFrame, queries: DataFrame, models: dict[int, Codebooks], wanted: int, least: float | None) -> DataFrame:
-    """(version, list, block, query_id, vec_id, guess): the best ``wanted`` candidates of each query by lookup tables."""
+def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``k`` greatest finite values of each row, ties to the first column."""
+    if sims.shape[1] > k:
+        kth = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
+        rows, columns = np.nonzero((sims >= kth[:, None]) & np.isfinite(sims))
+    else:
+        rows, columns = np.nonzero(np.isfinite(sims))
+    order = np.lexsort((columns, -sims[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], columns[keep]
+
+
+def compared(table: DataFrame, queries: DataFrame, models: dict[int, Codebooks], k: int, least: float | None) -> DataFrame:
+    """(version, query_id, vec_id, similarity): the ``k`` vectors of greatest exact cosine in the probed lists, ties by id.
+
+    Cosines are rounded to nine digits, so that copies of a vector tie.
+    """
     shared = table.sparkSession.sparkContext.broadcast(models)
-    codes = ranks(table.select("version", "list", "vec_id", "code", "loss"), ["version", "list"], "vec_id", "r")
-    codes = codes.groupBy("version", "list", F.floor(F.col("r") / CODE_BLOCK).cast("int").alias("part")).agg(
-        F.collect_list(F.struct("vec_id", "code", "loss")).alias("codes")
-    )
-    codes = codes.select(F.col("version").alias("cv"), F.col("list").alias("cl"), F.floor(F.col("part") / BLOCKS_OF_A_LIST).alias("shard"), "codes")
-    asked = queries.groupBy("version", "list", "block").agg(
-        F.array_distinct(F.flatten(F.collect_list("probes"))).alias("probes"),
-        F.collect_list(F.struct("vec_id", "vector")).alias("queries"),
-    )
-    near = asked.select("version", "list", "block", F.explode("probes").alias("probe"))
-    right = near.join(codes, (F.col("version") == F.col("cv")) & (F.col("probe") == F.col("cl"))).select(
-        *[F.col(c).alias(f"right_{c}") for c in ("version", "list", "block", "shard")], "codes"
-    )
-    shards = codes.groupBy("cv", "cl").agg(F.max("shard").alias("last"))
-    spread = near.join(shards, (F.col("version") == F.col("cv")) & (F.col("probe") == F.col("cl")))
-    spread = spread.groupBy("version", "list", "block").agg(F.max("last").alias("last"))
-    left = asked.select("version", "list", "block", "queries").join(spread, ["version", "list", "block"])
-    left = left.select("version", "list", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("shard"), "queries")
-    key = ["version", "list", "block", "shard"]
-
-    def score(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        columns = ["version", "list", "block", "query_id", "vec_id", "guess"]
+    key = ["version", "list"]
+    asking = queries.select("version", F.explode("probes").alias("list")).groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("chunks"))
+    holding = table.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / CODE_BLOCK).alias("parts"))
+    sizes = F.broadcast(asking.join(holding, key))
+
+    def place(id_: str, count: str) -> Column:
+        return F.pmod(F.xxhash64(id_), count).alias(count[:-1])
+
+    def each(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1)).alias(count[:-1])
+
+    left = queries.select("version", F.explode("probes").alias("list"), F.col("vec_id").alias("query_id"), "vector").join(sizes, key)
+    left = left.select(*key, place("query_id", "chunks"), each("parts"), "query_id", "vector")
+    right = table.join(sizes, key).select(*key, each("chunks"), place("vec_id", "parts"), "vec_id", "code", "loss", "vector")
+    right = right.select(*[F.col(c).alias(f"right_{c}") for c in (*key, "chunk", "part")], "vec_id", "code", "loss", F.col("vector").alias("theirs"))
+    columns = ["version", "query_id", "vec_id", "similarity"]
+
+    def exact(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if mine.empty or theirs.empty:
             return pd.DataFrame(columns=columns)
-        version, list_, block = (int(mine[c].iloc[0]) for c in ("version", "list", "block"))
+        version, theirs = int(mine["version"].iloc[0]), theirs.sort_values("vec_id")
         model = shared.value[version]
-        asked_ids = np.array([q["vec_id"] for q in mine["queries"].iloc[0]], dtype=np.int64)
-        data = np.stack([np.frombuffer(q["vector"], dtype=np.float32) for q in mine["queries"].iloc[0]])
-        tables = model.tables(data)
-        out_ids, out_guess = [], []
-        for entries in theirs["codes"]:
-            ids = np.array([e["vec_id"] for e in entries], dtype=np.int64)
-            word = np.frombuffer(b"".join(e["code"] for e in entries), dtype="<u2").reshape(len(ids), -1).astype(np.int64)
-            loss = np.array([e["loss"] for e in entries], dtype=np.float32)
-            dots = reduce(np.add, (tables[b][:, word[:, b]] for b in range(model.books)))
-            norms = np.maximum(np.linalg.norm(model.decode(word), axis=1), 1e-6)
-            guess = np.where(asked_ids[:, None] == ids[None, :], -np.inf, dots / norms)
+        ids, asked = theirs["vec_id"].to_numpy(), mine["query_id"].to_numpy()
+        code = np.frombuffer(b"".join(theirs["code"]), dtype="<u2").reshape(len(ids), -1).astype(np.int64)
+        loss = theirs["loss"].to_numpy(dtype=np.float32)
+        norms = np.maximum(np.linalg.norm(model.decode(code), axis=1), 1e-6)
+        data = np.frombuffer(b"".join(theirs["theirs"]), dtype=np.float32).reshape(len(ids), -1).astype(np.float64)
+        every = np.frombuffer(b"".join(mine["vector"]), dtype=np.float32).reshape(len(asked), -1)
+        out = []
+        for start in range(0, len(asked), SLICE):
+            query, own = every[start : start + SLICE], asked[start : start + SLICE, None] == ids
+            tables = model.tables(query)
+            dots = reduce(np.add, (tables[b][:, code[:, b]] for b in range(model.books)))
+            floor = np.full(len(query), -np.inf if least is None else least)
+            if len(ids) > k:
+                first = np.argpartition(np.where(own, np.inf, -dots / norms), k - 1, axis=1)[:, :k]
+                floor = np.maximum(floor, np.einsum("qd,qkd->qk", query, data[first], optimize=True).min(axis=1))
+            reach = (dots + loss >= floor[:, None] - 1e-6) & ~own
+            open_ = np.flatnonzero(reach.any(axis=0))
+            if len(open_) == 0:
+                continue
+            sims = np.where(reach[:, open_], np.round(query.astype(np.float64) @ data[open_].T, 9), -np.inf)
             if least is not None:
-                guess = np.where(dots + loss >= least, guess, -np.inf)
-            out_ids.append(ids)
-            out_guess.append(guess)
-        guess, ids = np.concatenate(out_guess, axis=1), np.concatenate(out_ids)
-        keep = min(wanted, guess.shape[1])
-        best = np.argpartition(-guess, keep - 1, axis=1)[:, :keep]
-        value = np.take_along_axis(guess, best, axis=1)
-        good = np.isfinite(value)
-        rows = np.broadcast_to(asked_ids[:, None], good.shape)[good]
-        return pd.DataFrame({"version": version, "list": list_, "block": block, "query_id": rows, "vec_id": ids[best[good]], "guess": value[good].astype(np.float32)}, columns=columns)
-
-    schema = "version int, list int, block int, query_id bigint, vec_id bigint, guess float"
-    found = left.groupBy(*key).cogroup(right.groupBy(*[f"right_{c}" for c in key])).applyInPandas(score, schema)
-    order = Window.partitionBy("version", "query_id").orderBy(F.desc("guess"), "vec_id")
-    return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= wanted).drop("r")
-
-
-def reranked(found: DataFrame, table: DataFrame, k: int, least: float | None) -> DataFrame:
-    """(version, query_id, vec_id, similarity): the ``k`` candidates of greatest exact cosine, ties by id."""
-    key = ["version", "list", "block"]
-    vectors = table.select(F.col("version").alias("tv"), F.col("vec_id").alias("tid"), "vector")
-    asked = found.groupBy(*key, "query_id").agg(F.collect_list("vec_id").alias("cands"))
-    left = asked.join(vectors, (F.col("version") == F.col("tv")) & (F.col("query_id") == F.col("tid"))).select(*key, "query_id", "cands", "vector")
-    right = found.select(*key, "vec_id").distinct().join(vectors, (F.col("version") == F.col("tv")) & (F.col("vec_id") == F.col("tid")))
-    right = right.select(*[F.col(c).alias(f"right_{c}") for c in key], F.col("vec_id").alias("their_id"), F.col("vector").alias("theirs"))
+                sims[sims < least] = -np.inf
+            rows, hits = _best(sims, k)
+            out.append(pd.DataFrame({"version": version, "query_id": asked[start + rows], "vec_id": ids[open_[hits]], "similarity": sims[rows, hits]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=columns)
 
-    def exact(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        columns = ["version", "query_id", "vec_id", "similarity"]
-        if mine.empty or theirs.empty:
-            return pd.DataFrame(columns=columns)
-        place = {int(v): i for i, v in enumerate(theirs["their_id"])}
-        data = np.stack([np.frombuffer(v, dtype=np.float32) for v in theirs["theirs"]]).astype(np.float64)
-        rows: list[tuple[int, int, float]] = []
-        for query, cands, vector in zip(mine["query_id"], mine["cands"], mine["vector"], strict=True):
-            ids = np.array(sorted({int(c) for c in cands}), dtype=np.int64)
-            cosine = data[[place[int(i)] for i in ids]] @ np.frombuffer(vector, dtype=np.float32).astype(np.float64)
-            order = np.lexsort((ids, -cosine))[:k]
-            rows.extend((int(query), int(ids[i]), float(cosine[i])) for i in order if least is None or cosine[i] >= least)
-        out = pd.DataFrame(rows, columns=columns[1:])
-        out.insert(0, "version", int(mine["version"].iloc[0]))
-        return out
-
-    return left.groupBy(*key).cogroup(right.groupBy(*[f"right_{c}" for c in key])).applyInPandas(exact, "version int, query_id bigint, vec_id bigint, similarity double")
-
-
-def nearest(
-    embeddings: DataFrame, versions: DataFrame, k: int = 5, least: float | None = None, only: str | None = None, candidates_of_each: int = CANDIDATES
-) -> DataFrame:
+    group = [*key, "chunk", "part"]
+    found = left.groupBy(*group).cogroup(right.groupBy(*[f"right_{c}" for c in group])).applyInPandas(exact, "version int, query_id bigint, vec_id bigint, similarity double")
+    order = Window.partitionBy("version", "query_id").orderBy(F.desc("similarity"), "vec_id")
+    return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+
+
+def nearest(embeddings: DataFrame, versions: DataFrame, k: int = 5, least: float | None = None, only: str | None = None) -> DataFrame:
     """(version, query_id, vec_id, similarity): for each query its ``k`` most similar vectors of the same version.
 
     All usable vectors are queries, or those for which the SQL condition ``only``
@@ -223,11 +215,7 @@ def nearest(
     vectors = scratch.write(usable_vectors(embeddings, versions), "vectors")
     models = fit(vectors)
     table = scratch.write(encoded(vectors, models), "encoded")
-    asked = table.where(only) if only else table
-    asked = ranks(asked.select("version", "list", "vec_id", "probes", "vector"), ["version", "list"], "vec_id", "r")
-    asked = asked.withColumn("block", F.floor(F.col("r") / QUERY_BLOCK).cast("int"))
-    found = scratch.write(candidates(table, asked, models, candidates_of_each, least), "found")
-    return reranked(found, table, k, least)
+    return compared(table, table.where(only) if only else table, models, k, least)
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

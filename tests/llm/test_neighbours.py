@@ -46,6 +46,28 @@ def test_least_similarity_and_queries(tables):
     assert some and all(r.similarity >= 0.8 and r.query_id % 20 == 0 and r.query_id != r.vec_id for r in some)
 
 
+def wide(spark, vectors):
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = [(i, "c", 1, [float(x) for x in v], 0) for i, v in enumerate(unit)]
+    return spark.createDataFrame(rows, ROWS), spark.createDataFrame([(1, "p", "m", 384)], "embedding_version_id int, provider string, model_name string, dimension int")
+
+
+def test_pairs_of_a_group_of_a_third_of_all_vectors(spark):
+    rng = np.random.default_rng(4)
+    noise = rng.normal(size=(600, 384))
+    vectors = np.concatenate([rng.normal(size=(1200, 384)), 3 * rng.normal(size=384) + noise])
+    want = {p for p, s in exact(vectors, list(range(1800)), 5).items() if s >= 0.8}
+    got = {(r.query_id, r.vec_id) for r in neighbours.nearest(*wide(spark, vectors), 5, least=0.8).collect()}
+    assert len(want) == 3000 and len(got & want) / len(want) >= 0.95 and len(got - want) <= 3000 - len(got & want)
+
+
+def test_copies_tie_by_id(spark):
+    rng = np.random.default_rng(5)
+    vectors = np.concatenate([rng.normal(size=(40, 384)), np.repeat(rng.normal(size=(1, 384)), 200, axis=0)])
+    got = {(r.query_id, r.vec_id) for r in neighbours.nearest(*wide(spark, vectors), 5, least=0.8).collect()}
+    assert got == {(q, v) for q in range(40, 240) for v in [v for v in range(40, 46) if v != q][:5]}
+
+
 def test_no_usable_vector(spark, tables):
     assert neighbours.nearest(spark.createDataFrame([], ROWS), tables[1], 5).count() == 0
     one = spark.createDataFrame([(1, "c", 1, [1.0] * 24, 0)], ROWS)
