@@ -61,6 +61,14 @@ def test_pairs_of_a_group_of_a_third_of_all_vectors(spark):
     assert len(want) == 3000 and len(got & want) / len(want) >= 0.95 and len(got - want) <= 3000 - len(got & want)
 
 
+def test_recall_where_neighbours_are_far(spark):
+    rng = np.random.default_rng(6)
+    vectors = np.repeat(rng.normal(size=(8, 384)), 250, axis=0) + 1.1 * rng.normal(size=(2000, 384))
+    want = {p for p in exact(vectors, list(range(2000)), 5) if p[0] % 20 == 0}
+    got = {(r.query_id, r.vec_id) for r in neighbours.nearest(*wide(spark, vectors), 5, only="vec_id % 20 = 0").collect()}
+    assert len(want) == len(got) == 500 and len(got & want) / 500 >= 0.9
+
+
 def test_copies_tie_by_id(spark):
     rng = np.random.default_rng(5)
     vectors = np.concatenate([rng.normal(size=(40, 384)), np.repeat(rng.normal(size=(1, 384)), 200, axis=0)])
