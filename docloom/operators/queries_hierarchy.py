@@ -27,19 +27,38 @@ def p1_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p1_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants of every topic."""
+    nodes = build_hierarchy(spark.read.parquet(f"{sf_dir}/topics.parquet"))
+    pairs = descendants(nodes, nodes.select("node_id"))
+    return pairs.select(F.col("node_id").alias("topic_id"), F.col("descendant_id").alias("descendant_topic_id"), "distance")
+
+
+def p1_all_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ancestors of every topic."""
+    nodes = build_hierarchy(spark.read.parquet(f"{sf_dir}/topics.parquet"))
+    pairs = ancestors(nodes, nodes.select("node_id"))
+    return pairs.select(F.col("node_id").alias("topic_id"), F.col("ancestor_id").alias("ancestor_topic_id"), "distance")
+
+
 def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search for some topics only, those whose id is divisible by 20; ``p1_all_descendants`` has all."""
     nodes = build_hierarchy(spark.read.parquet(f"{sf_dir}/topics.parquet"))
     pairs = descendants(nodes, nodes.where("node_id % 20 = 0").select("node_id"))
     return pairs.select(F.col("node_id").alias("topic_id"), F.col("descendant_id").alias("descendant_topic_id"), "distance")
 
 
 def p1_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search for some topics only, those whose id is divisible by 20; ``p1_all_ancestors`` has all."""
     nodes = build_hierarchy(spark.read.parquet(f"{sf_dir}/topics.parquet"))
     pairs = ancestors(nodes, nodes.where("node_id % 20 = 0").select("node_id"))
     return pairs.select(F.col("node_id").alias("topic_id"), F.col("ancestor_id").alias("ancestor_topic_id"), "distance")
 
 
-QUERIES = {"p1_found": p1_found, "p1_paths": p1_paths, "p1_descendants": p1_descendants, "p1_ancestors": p1_ancestors}
+QUERIES = {
+    "p1_found": p1_found, "p1_paths": p1_paths, "p1_all_descendants": p1_all_descendants, "p1_all_ancestors": p1_all_ancestors,
+    "p1_descendants": p1_descendants, "p1_ancestors": p1_ancestors,
+}
 
 _NAMES = r"""
 WITH RECURSIVE named AS (
@@ -82,6 +101,14 @@ SELECT topic_id, -1::BIGINT, CASE WHEN topic_id IN (SELECT origin FROM walk WHER
     + """
 SELECT d.catalog_id, d.topic_id, d.full_path, d.depth::INT AS depth, d.root_topic_id, count(u.topic_id)::BIGINT AS descendant_count
 FROM down d LEFT JOIN up u ON u.ancestor_id = d.topic_id GROUP BY ALL""",
+    "p1_all_descendants": _NAMES
+    + _PAIRS
+    + """
+SELECT ancestor_id AS topic_id, topic_id AS descendant_topic_id, distance::INT AS distance FROM up""",
+    "p1_all_ancestors": _NAMES
+    + _PAIRS
+    + """
+SELECT topic_id, ancestor_id AS ancestor_topic_id, distance::INT AS distance FROM up""",
     "p1_descendants": _NAMES
     + _PAIRS
     + """

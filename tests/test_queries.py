@@ -35,6 +35,13 @@ def test_query_equals_sql(spark, small, name):
     assert Counter(tuple(plain(row[c]) for c in columns) for row in df.collect()) == want
 
 
+@pytest.mark.parametrize("name", ["p1_all_descendants", "p1_all_ancestors"])
+def test_pairs_of_all_topics_equal_sql(spark, small, name):
+    test_query_equals_sql(spark, small, name)
+    asked = {r.topic_id for r in entry.queries()[name](spark, small).collect()}
+    assert any(t % 20 for t in asked)
+
+
 def test_entry_runs(spark, small):
     assert entry.entry(spark).columns == ["query_id", "chunk_id", "score", "position"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
