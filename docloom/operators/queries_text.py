@@ -92,7 +92,7 @@ def crawl_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of all pages that stay on the site, as a root-relative crawl would take them."""
     pages = _t(spark, sf_dir, "raw_documents").where("url is not null and html <> '' and status_code = 200")
     latest = pages.groupBy("url").agg(F.max_by("html", F.struct("fetched_at", "raw_id")).alias("html"))
-    return discovery.select_pages(discovery.crawl_plan(latest)).select("root_url", "position", "title", "url")
+    return discovery.crawl_plan(latest).select("root_url", "position", "title", "url")
 
 
 def link_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

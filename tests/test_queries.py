@@ -42,6 +42,14 @@ def test_pairs_of_all_topics_equal_sql(spark, small, name):
     assert any(t % 20 for t in asked)
 
 
+def test_crawl_plan_keeps_all_links(spark, tmp_path):
+    html = "".join(f'<a href="/p{i}">Page {i}</a>' for i in range(120))
+    rows = [(1, "https://a.example/", html, 200, 1)]
+    spark.createDataFrame(rows, "raw_id long, url string, html string, status_code int, fetched_at int").write.parquet(f"{tmp_path}/raw_documents.parquet")
+    got = entry.queries()["crawl_plan"](spark, str(tmp_path)).collect()
+    assert sorted((r.position, r.url) for r in got) == [(i, f"https://a.example/p{i}") for i in range(120)]
+
+
 def test_entry_runs(spark, small):
     assert entry.entry(spark).columns == ["query_id", "chunk_id", "score", "position"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
