@@ -3,9 +3,10 @@
 Method: offsets of the units (characters here, tokens for a given size
 function) are prefix sums; the offsets of all natural boundaries form one
 sorted array for each kind of boundary. A piece ends at the last boundary
-within the limit, found by binary search, the strongest kind first; where no
-boundary lies in the second half of the window the piece is cut hard at the
-limit. The next piece begins the overlap before that end.
+within the limit, found by binary search: in the second half of the window the
+strongest kind first, else the last one of any kind behind the overlap. Only
+where there is none either is the piece cut hard at the limit. The next piece
+begins the overlap before that end.
 """
 
 from __future__ import annotations
@@ -61,12 +62,16 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP, sizes: np.ndarray
             out.append((start, len(text)))
             return out
         floor = max(start + 1, int(np.searchsorted(sums, sums[start] + max(limit // 2, overlap + 1), side="left")))
-        end = far
         for ends in kinds:
             i = int(np.searchsorted(ends, far, side="right")) - 1
             if i >= 0 and ends[i] >= floor:
                 end = int(ends[i])
                 break
+        else:
+            # Behind the overlap, so that the next piece begins farther on.
+            low = int(np.searchsorted(sums, sums[start] + overlap + 1, side="left"))
+            last = max((int(ends[i - 1]) for ends in kinds if (i := int(np.searchsorted(ends, far, side="right")))), default=0)
+            end = last if last >= max(start + 1, low) else far
         out.append((start, end))
         start = max(start + 1, int(np.searchsorted(sums, sums[end] - overlap, side="left")))
 

@@ -24,6 +24,14 @@ def test_boundaries_by_strength_and_hard_cuts():
     assert len(s.boundaries(code)[0]) == 0
 
 
+def test_early_boundary_before_a_hard_cut():
+    text = "a" * 9 + " " + "b" * 8 + "\n" + "c" * 60
+    assert s.cut(text, 40, 5) == [(0, 19), (14, 54), (49, 79)]
+    # A boundary within the overlap would not lead on.
+    assert s.cut("abc " + "d" * 60, 40, 5)[0] == (0, 40)
+    assert s.cut("e " * 10 + "f" * 60, 40, 19) == [(0, 20), (1, 41), (22, 62), (43, 80)]
+
+
 def test_token_sizes():
     import numpy as np
 
