@@ -130,7 +130,7 @@ def current_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The corpus as a first and a second import: pages fetched before a day, then all pages."""
+    """The corpus as a first and a second import: pages with an odd id, then all pages."""
     pages = _t(spark, sf_dir, "clean_documents").withColumnRenamed("package_name", "package").withColumnRenamed("package_version", "version").withColumnRenamed("page_id", "position")
     return pages.where("position % 2 = 1"), pages
 
@@ -147,11 +147,28 @@ def lineage_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan["metrics"].select(*[F.col(n).cast("bigint").alias(n) for n in names])
 
 
+def lineage_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All counters of an import of all pages over one of the pages fetched before 2025; chunks are those of the documents that count."""
+    _, pages = _halves(spark, sf_dir)
+    then, now = datetime(2025, 1, 1, tzinfo=UTC), datetime(2026, 1, 1, tzinfo=UTC)
+
+    def chunks(documents: DataFrame) -> DataFrame:
+        # Of several fetches of a URL only the last is a document; the others' chunks are not its chunks.
+        last = lineage.incoming_documents(documents)
+        return chunking.chunk_documents(last.withColumnsRenamed({"package_name": "package", "package_version": "version", "page_title": "title"}), order_col="position")
+
+    first = pages.where(F.col("fetched_at") < F.lit(then))
+    store = upgrade(spark, {})
+    store = lineage.apply_lineage(store, lineage.plan_lineage(store, first, chunks(first), then), then)
+    metrics = lineage.plan_lineage(store, pages, chunks(pages), now)["metrics"]
+    return metrics.select(*[F.col(n).cast("bigint").alias(n) for n in metrics.columns])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         vector_topk, vector_topk_batch, hybrid_search, lexical_scores, retrieval_evaluation, evaluation_comparison, missing_embeddings, embedding_coverage,
-        indexed_chunks, current_revisions, lineage_counters,
+        indexed_chunks, current_revisions, lineage_counters, lineage_imports,
     )
 }
 

@@ -131,3 +131,20 @@ def test_markdown_files_last_wins(spark, tmp_path):
     df = spark.createDataFrame([("a/b", "one", 0), ("a\\b", "two", 1), ("c", None, 2), (None, "x", 3)], "title string, markdown string, position long")
     assert writers.save_markdown_files(df, str(tmp_path)) == 2
     assert (tmp_path / "a_b.md").read_text() == "two" and (tmp_path / "c.md").read_text() == ""
+
+
+def test_all_counters_of_two_imports(spark, tmp_path):
+    from docloom.operators.queries_retrieval import QUERIES
+
+    before, after = datetime(2024, 5, 1, tzinfo=UTC), datetime(2025, 5, 1, tzinfo=UTC)
+    rows = [
+        (1, "A", "https://e.example/a", "# A\n\none", "demo", "1.0", before), (2, "B", "https://e.example/b", "# B\n\ntwo", "demo", "1.0", before),
+        (3, "A", "https://e.example/a", "# A\n\nthree", "demo", "1.0", after), (4, "C", "https://e.example/c", "# C\n\nfour", "demo", "2.0", after),
+        (5, "B", "https://e.example/b", "# B\n\ntwo", "demo", "1.0", after),
+    ]
+    kind = "page_id long, title string, url string, markdown string, package_name string, package_version string, fetched_at timestamp"
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/clean_documents.parquet")
+    assert QUERIES["lineage_imports"](spark, str(tmp_path)).first().asDict() == {
+        "packages_inserted": 0, "versions_inserted": 1, "runs_inserted": 2, "sources_inserted": 1, "sources_reused": 2,
+        "documents_inserted": 2, "documents_reused": 1, "chunks_inserted": 2, "chunks_reused": 1,
+    }
