@@ -16,7 +16,7 @@ EM uses the same view of a record: unlabelled passages of records that are
 mostly content are no error pages or notices, whatever their words.
 
 The model is fitted on a bounded sample of records (``FIT_RECORDS``, the
-smallest hashes of the id); every record is scored, by its whole text.
+smallest hashes of the id), each by its whole text; every record is scored, by its whole text too.
 """
 
 from __future__ import annotations
@@ -33,8 +33,6 @@ from pyspark.sql import functions as F
 from docloom.functions.markdown import code_lines
 
 FIT_RECORDS = 10_000
-#: A record gives the fit at most so many sentences, of at most so many characters; scoring reads all.
-FIT_SENTENCES, FIT_CHARACTERS = 2000, 2000
 ROUNDS = 5
 MAX_CONTENT = 0.4
 #: Pseudo-words, spread as in the whole sample, that each class gets besides its own.
@@ -256,8 +254,8 @@ def fitted(records: DataFrame, id_col: str, text_col: str, bound: int = FIT_RECO
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[x for paragraph in paragraphs(t) for x in paragraph][:FIT_SENTENCES] for t in batch.column(0).to_pylist()]
-            texts = pa.array([[p[:FIT_CHARACTERS] for p, _ in r] for r in rows], pa.list_(pa.string()))
+            rows = [[x for paragraph in paragraphs(t) for x in paragraph] for t in batch.column(0).to_pylist()]
+            texts = pa.array([[p for p, _ in r] for r in rows], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([texts, pa.array([[x for _, x in r] for r in rows], pa.list_(pa.bool_()))], ["p", "l"])
 
     found = chosen.mapInArrow(split, "p array<string>, l array<boolean>").collect()

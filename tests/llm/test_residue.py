@@ -43,3 +43,11 @@ def test_empty_table_and_parts(spark):
     flat = [s for p in r.paragraphs("# H\n\nOne `x`. Two?\n```\ncode {{ a }}\n```\n&lt;name&gt; three") for s in p]
     assert flat == [("H", True), ("One \x00.", False), ("Two?", False), ("<name> three", True)]
     assert r.is_placeholder("a {{ b }}") and not r.is_placeholder("<s> and </s> and <|x|>")
+
+
+def test_fit_reads_whole_records(spark, monkeypatch):
+    long = " ".join(f"This is sentence number {i} of a very long record." for i in range(2500)) + "\n\n" + "word " * 1000 + "end."
+    monkeypatch.setattr(r, "fit", lambda rows: rows)
+    rows = r.fitted(spark.createDataFrame([(1, long)], "doc_id long, text string"), "doc_id", "text")
+    assert rows == [[x for paragraph in r.paragraphs(long) for x in paragraph]]
+    assert len(rows[0]) > 2000 and max(len(p) for p, _ in rows[0]) > 2000
