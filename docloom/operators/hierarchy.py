@@ -124,10 +124,14 @@ def _on_cycles(endless: DataFrame, scratch: Scratch) -> DataFrame:
     return targets
 
 
-def _ranges_downward(trees: DataFrame, scratch: Scratch, with_path: bool) -> DataFrame:
-    """Add root_id, depth, range_start, range_end (and path) to finished nodes (.., parent_id, size)."""
-    offsets = prefix_sums(trees, ["group_id", "parent_id"], "node_id", F.col("size"), "__offset")
-    path = {"path": F.array("name")} if with_path else {}
+def _ranges_downward(trees: DataFrame, scratch: Scratch, with_path: bool, bits: int) -> DataFrame:
+    """Add root_id, depth, range_start, range_end (and path) to finished nodes (.., parent_id, size).
+
+    A round moves and writes only the nodes that have not reached their root;
+    those that have stay in the tables of the round in which they did.
+    """
+    offsets = prefix_sums(trees, ["group_id", "parent_id"], "node_id", F.col("size"), "__offset", bits)
+    root = F.col("parent_id").isNull()
     state = offsets.select(
         "group_id",
         "node_id",
@@ -135,16 +139,20 @@ def _ranges_downward(trees: DataFrame, scratch: Scratch, with_path: bool) -> Dat
         "parent_id",
         "size",
         F.col("parent_id").alias("ptr"),
-        F.col("node_id").alias("root_id"),
-        F.lit(0).alias("depth"),
+        F.coalesce("parent_id", "node_id").alias("root_id"),
+        F.when(root, 0).otherwise(1).alias("depth"),
         # A child's range starts one behind its parent's own place.
-        (F.col("__offset") + F.when(F.col("parent_id").isNull(), 0).otherwise(1)).alias("range_start"),
-    ).withColumns({**path, "depth": F.when(F.col("parent_id").isNull(), 0).otherwise(1)})
-    state = scratch.write(state, "down0")
-    round_ = 0
-    while state.where("ptr is not null").count():
+        (F.col("__offset") + F.when(root, 0).otherwise(1)).alias("range_start"),
+        *([F.array("name").alias("path")] if with_path else []),
+    )
+    done, moving, round_ = [], scratch.write(state, "down0"), 0
+    while True:
+        done.append(moving.where("ptr is null"))
+        moving = moving.where("ptr is not null")
+        if moving.isEmpty():
+            break
         round_ += 1
-        above = state.select(
+        above = reduce(DataFrame.unionByName, done, moving).select(
             F.col("node_id").alias("a_id"),
             F.col("ptr").alias("a_ptr"),
             F.col("root_id").alias("a_root"),
@@ -152,7 +160,6 @@ def _ranges_downward(trees: DataFrame, scratch: Scratch, with_path: bool) -> Dat
             F.col("range_start").alias("a_start"),
             *([F.col("path").alias("a_path")] if with_path else []),
         )
-        moved = state.where("ptr is not null").join(above, F.col("ptr") == F.col("a_id"))
         changes = {
             "root_id": F.col("a_root"),
             "depth": F.col("depth") + F.col("a_depth"),
@@ -161,11 +168,9 @@ def _ranges_downward(trees: DataFrame, scratch: Scratch, with_path: bool) -> Dat
         }
         if with_path:
             changes["path"] = F.concat("a_path", "path")
-        moved = moved.withColumns(changes).select(*state.columns)
-        state = scratch.write(state.where("ptr is null").unionByName(moved), f"down{round_}")
-        if round_ > 1:
-            scratch.drop(f"down{round_ - 1}")
-    return state.withColumn("range_end", F.col("range_start") + F.col("size"))
+        moved = moving.join(above, F.col("ptr") == F.col("a_id")).withColumns(changes).select(*state.columns)
+        moving = scratch.write(moved, f"down{round_}")
+    return reduce(DataFrame.unionByName, done).withColumn("range_end", F.col("range_start") + F.col("size"))
 
 
 def build_hierarchy(
@@ -192,8 +197,10 @@ def build_hierarchy(
     """
     scratch = Scratch(rows.sparkSession, "hierarchy")
     linked = scratch.write(link_parents(latest_nodes(rows, group, node, name, parent, version)), "linked")
+    top = linked.agg(F.max("node_id").alias("m"), F.min("node_id").alias("n")).first()
+    bits = 63 if top["m"] is None or top["n"] < 0 else max(1, int(top["m"]).bit_length())
     sizes, endless = _sizes_upward(linked, scratch)
-    state = _ranges_downward(linked.join(sizes, "node_id"), scratch, with_path)
+    state = _ranges_downward(linked.join(sizes, "node_id"), scratch, with_path, bits)
     cycle = _on_cycles(endless, scratch).select(F.col("node_id").alias("c"))
     lost = linked.join(endless.select("node_id"), "node_id", "left_semi").join(cycle, F.col("node_id") == F.col("c"), "left")
     lost = lost.select(
@@ -208,7 +215,7 @@ def build_hierarchy(
         *([F.lit(None).cast("array<string>").alias("path")] if with_path else []),
     )
     keep = NODE_COLUMNS + (["path"] if with_path else [])
-    return state.select(*keep).unionByName(lost.select(*keep))
+    return scratch.result(state.select(*keep).unionByName(lost.select(*keep)))
 
 
 def _bits(nodes: DataFrame) -> int:

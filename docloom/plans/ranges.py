@@ -37,16 +37,18 @@ def points_in_ranges(
     """All pairs of a point and a range of the same group with start <= point < end.
 
     Columns of the two sides must have different names but for ``group``.
-    Points and bounds must be not negative and below ``2**bits``; a small
-    ``bits`` saves work, since a point is sent once for each level. Null groups
-    match each other. An empty side gives an empty result.
+    Points and bounds must be not negative and below ``2**bits``. A point is
+    sent once for each level that the cover of the ranges has, at most
+    ``bits + 1`` and for short ranges few; these levels are asked for first.
+    Null groups match each other. An empty side gives an empty result.
     """
-    left = points.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(bits))))
-    left = left.withColumn("__index", F.expr(f"shiftright(cast(`{point}` as bigint), __level)"))
     right = ranges.withColumnRenamed(group, "__group").withColumn(
         "__c", F.explode(_cover(F.col(start).cast("bigint"), F.col(end).cast("bigint"), bits))
     )
     right = right.withColumn("__rl", F.col("__c.level")).withColumn("__ri", F.col("__c.index")).drop("__c")
+    levels = sorted(r[0] for r in right.select("__rl").distinct().collect())
+    left = points.withColumn("__level", F.explode(F.lit(levels).cast("array<int>")))
+    left = left.withColumn("__index", F.expr(f"shiftright(cast(`{point}` as bigint), __level)"))
     match = F.col(group).eqNullSafe(F.col("__group"))
     match = match & (F.col("__level") == F.col("__rl")) & (F.col("__index") == F.col("__ri"))
     return left.join(right, match, "inner").drop("__level", "__index", "__rl", "__ri", "__group")
