@@ -54,9 +54,7 @@ def index(store: lineage.SnapshotStore, config: EmbeddingConfig, embedder: embed
     counts = metrics.first().asDict()
     known = tables["embedding_versions"]
     row = store.spark.createDataFrame([(embedding.embedding_version_id(config), config.provider, config.model, config.dimension)], known.schema)
-    tables["embedding_versions"] = known.unionByName(row.join(known.select("id"), "id", "left_anti"))
-    tables["chunk_embeddings"] = tables["chunk_embeddings"].unionByName(new)
-    store.commit(tables)
+    store.append({"embedding_versions": row.join(known.select("id"), "id", "left_anti"), "chunk_embeddings": new})
     return counts
 
 

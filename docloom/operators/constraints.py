@@ -100,35 +100,87 @@ def evidence_violations(evidence: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def store_violations(tables: Tables) -> DataFrame:
-    """All violations of a lineage and embedding store (``schemas.TABLES``), catalogs aside."""
-    p, v, r, s, d, c = (tables[n] for n in ("packages", "documentation_versions", "pipeline_runs", "sources", "source_documents", "chunks"))
-    e, ev = tables["chunk_embeddings"], tables["embedding_versions"]
+def store_violations(tables: Tables, fresh: Tables | None = None) -> DataFrame:
+    """All violations of a store (``schemas.TABLES``), catalogs included.
+
+    With ``fresh`` (rows just added, by table, already part of ``tables``) only
+    what these rows can break: their own checks and references, and keys that
+    one of them has; of the other rows only keys are read.
+    """
     col = F.col
+
+    def rows(name: str) -> DataFrame:
+        return tables[name] if fresh is None else fresh.get(name, tables[name].limit(0))
+
+    def key(name: str, constraint: str, *columns: str, where: str = "true") -> DataFrame:
+        def keys(df: DataFrame, side: str) -> DataFrame:
+            return df.where(where).select(*[F.expr(c).alias(f"{side}{i}") for i, c in enumerate(columns)])
+
+        own = keys(tables[name], "k")
+        if fresh is not None:
+            same = [col(f"k{i}") == col(f"f{i}") for i in range(len(columns))]
+            own = own.join(keys(rows(name), "f").dropna().distinct(), reduce(Column.__and__, same), "left_semi")
+        return unique(own, name, constraint, *[col(c) for c in own.columns])
+
+    def holds(name: str, constraint: str, condition: Column, of: str = "id") -> DataFrame:
+        return check(rows(name), name, constraint, condition, col(of))
+
+    def refers(name: str, constraint: str, column: str, parent: str) -> DataFrame:
+        return foreign_key(rows(name), name, constraint, col(column), tables[parent], "id")
+
+    def allowed(name: str, column: str, of: str = "id") -> DataFrame:
+        return enum(rows(name), name, column, col(of))
+
     parts = [
-        unique(p, "packages", "ecosystem_name_unique", col("ecosystem"), col("name")),
-        check(p, "packages", "name_normalized", F.rlike("name", F.lit(r"^[^-_.A-Z]+(-[^-_.A-Z]+)*$")), col("id")),
-        unique(v, "documentation_versions", "package_version_unique", col("package_id"), col("package_version")),
-        enum(v, "documentation_versions", "status", col("id")),
-        foreign_key(v, "documentation_versions", "package_exists", col("package_id"), p, "id"),
-        enum(r, "pipeline_runs", "status", col("id")),
-        foreign_key(r, "pipeline_runs", "version_exists", col("documentation_version_id"), v, "id"),
-        unique(s, "sources", "version_url_unique", col("documentation_version_id"), col("canonical_url")),
-        enum(s, "sources", "confirmation_status", col("id")),
-        foreign_key(s, "sources", "version_exists", col("documentation_version_id"), v, "id"),
-        unique(d, "source_documents", "one_current", col("source_id"), col("canonical_url"), where=col("is_current")),
-        check(d, "source_documents", "http_status_range", col("http_status").between(100, 599), col("id")),
-        foreign_key(d, "source_documents", "source_exists", col("source_id"), s, "id"),
-        foreign_key(d, "source_documents", "run_exists", col("pipeline_run_id"), r, "id"),
-        unique(c, "chunks", "document_index_unique", col("source_document_id"), col("chunk_index")),
-        check(c, "chunks", "chunk_index_not_negative", col("chunk_index") >= 0, col("id")),
-        check(c, "chunks", "character_count_positive", col("character_count") > 0, col("id")),
-        foreign_key(c, "chunks", "document_exists", col("source_document_id"), d, "id"),
-        unique(ev, "embedding_versions", "identity_unique", col("provider"), col("model_name"), col("dimension")),
-        check(ev, "embedding_versions", "dimension_positive", col("dimension") > 0, col("id")),
-        unique(e, "chunk_embeddings", "chunk_version_unique", col("chunk_id"), col("embedding_version_id")),
-        foreign_key(e, "chunk_embeddings", "chunk_exists", col("chunk_id"), c, "id"),
+        key("packages", "ecosystem_name_unique", "ecosystem", "name"),
+        holds("packages", "name_normalized", F.rlike("name", F.lit(r"^[^-_.A-Z]+(-[^-_.A-Z]+)*$"))),
+        key("documentation_versions", "package_version_unique", "package_id", "package_version"),
+        allowed("documentation_versions", "status"),
+        refers("documentation_versions", "package_exists", "package_id", "packages"),
+        allowed("pipeline_runs", "status"),
+        refers("pipeline_runs", "version_exists", "documentation_version_id", "documentation_versions"),
+        key("sources", "version_url_unique", "documentation_version_id", "canonical_url"),
+        allowed("sources", "confirmation_status"),
+        refers("sources", "version_exists", "documentation_version_id", "documentation_versions"),
+        key("source_documents", "one_current", "source_id", "canonical_url", where="is_current"),
+        holds("source_documents", "http_status_range", col("http_status").between(100, 599)),
+        refers("source_documents", "source_exists", "source_id", "sources"),
+        refers("source_documents", "run_exists", "pipeline_run_id", "pipeline_runs"),
+        key("chunks", "document_index_unique", "source_document_id", "chunk_index"),
+        holds("chunks", "chunk_index_not_negative", col("chunk_index") >= 0),
+        holds("chunks", "character_count_positive", col("character_count") > 0),
+        refers("chunks", "document_exists", "source_document_id", "source_documents"),
+        key("embedding_versions", "identity_unique", "provider", "model_name", "dimension"),
+        holds("embedding_versions", "dimension_positive", col("dimension") > 0),
+        key("chunk_embeddings", "chunk_version_unique", "chunk_id", "embedding_version_id"),
+        refers("chunk_embeddings", "chunk_exists", "chunk_id", "chunks"),
+        refers("chunk_embeddings", "version_exists", "embedding_version_id", "embedding_versions"),
     ]
+    if "topic_catalogs" in tables:
+        approved = col("status") == "approved"
+        parts += [
+            refers("topic_catalogs", "version_exists", "documentation_version_id", "documentation_versions"),
+            key("topic_catalogs", "version_config_unique", "documentation_version_id", "config_hash"),
+            allowed("topic_catalogs", "status"),
+            holds("topic_catalogs", "approval_is_whole", (approved == col("approved_by").isNotNull()) & (approved == col("approved_at").isNotNull())),
+            key("topics", "qualified_name_unique", "catalog_id", "lower(qualified_name)"),
+            key("topics", "output_path_unique", "catalog_id", "lower(output_path)"),
+            holds("topics", "slug_form", F.rlike("slug", F.lit(SAFE_SLUG))),
+            holds("topics", "output_path_safe", safe_path(col("output_path"))),
+            refers("topics", "catalog_exists", "catalog_id", "topic_catalogs"),
+            refers("topics", "parent_exists", "parent_topic_id", "topics"),
+            holds("topics", "not_own_parent", col("parent_topic_id") != col("id")),
+            holds("topics", "sort_order_not_negative", col("sort_order") >= 0),
+            allowed("topics", "kind"),
+            allowed("topics", "status"),
+            key("topic_evidence", "topic_chunk_unique", "topic_id", "chunk_id"),
+            key("topic_evidence", "topic_rank_unique", "topic_id", "rank"),
+            refers("topic_evidence", "topic_exists", "topic_id", "topics"),
+            refers("topic_evidence", "chunk_exists", "chunk_id", "chunks"),
+            allowed("topic_evidence", "role", "topic_id"),
+            holds("topic_evidence", "rank_positive", col("rank") >= 1, "topic_id"),
+            holds("topic_evidence", "score_in_range", col("score").between(-1.0, 1.0), "topic_id"),
+        ]
     return reduce(DataFrame.unionByName, parts)
 
 

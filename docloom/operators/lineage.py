@@ -1,8 +1,8 @@
 """Revision lineage: what an import adds to the store, closes and reuses.
 
 ``plan_lineage`` is a pure function of the store's tables and the incoming
-frames, built from joins; ``SnapshotStore`` writes all tables of the result into
-a new folder and then moves one pointer, so a reader sees all of it or nothing.
+frames, built from joins; ``SnapshotStore`` writes what the plan adds and then
+one manifest, so a reader sees all of it or nothing.
 
 Decisions where plain replaying would break: incoming documents are one for each
 canonical URL (the last wins), chunks belong to a document revision, so going
@@ -12,20 +12,29 @@ part of the run's identity.
 
 from __future__ import annotations
 
+import uuid
 from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docloom.config import ChunkingConfig
 from docloom.functions.identity import canonical_url, normalize_package_name, sha256, sha256_of, stored_chunk_id
 from docloom.operators import constraints
 from docloom.plans.digests import set_digest
+from docloom.plans.manifest import Manifest
 from docloom.plans.shared import Scratch
-from docloom.schemas import TABLES, schema, upgrade
+from docloom.schemas import TABLES, schema
 
 Tables = dict[str, DataFrame]
+#: Tables to which an import only adds rows, and the names of these rows in a plan.
+ADDED = {"packages": "packages", "sources": "sources", "source_documents": "docs", "chunks": "chunks"}
+
+
+def _instant(now: datetime) -> Column:
+    return F.lit(now.astimezone(UTC).replace(tzinfo=None)).cast("timestamp")
 
 
 def _id(*parts: Column) -> Column:
@@ -69,7 +78,7 @@ def plan_lineage(current: Tables, documents: DataFrame, chunks: DataFrame, now:
     """
     # Each of the steps below is read by several planned tables: written once, not computed again.
     scratch = Scratch(documents.sparkSession, "lineage")
-    at = F.lit(now.astimezone(UTC).replace(tzinfo=None)).cast("timestamp")
+    at = _instant(now)
     setting = F.lit(sha256_of({k: getattr(config or ChunkingConfig(), k) for k in ("max_characters", "overlap_characters", "headers")}))
     docs = scratch.write(incoming_documents(documents), "incoming")
     version_key = ["package_name", "package_version"]
@@ -135,27 +144,25 @@ def plan_lineage(current: Tables, documents: DataFrame, chunks: DataFrame, now:
     marked = scratch.write(marked, "chunks")
     chunks_ins = marked.where("kid is null").select(*stored.columns)
 
-    def counted(rows: DataFrame, name: str) -> DataFrame:
-        return rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
-
-    counts = [
-        counted(packages_ins, "packages_inserted"),
-        counted(versions_ins, "versions_inserted"),
-        counted(runs_ins, "runs_inserted"),
-        counted(sources_ins, "sources_inserted"),
-        counted(docs.select("source_id"), "sources_seen"),
-        counted(fresh, "documents_inserted"),
-        counted(compared.where("reused"), "documents_reused"),
-        counted(chunks_ins, "chunks_inserted"),
-        counted(marked.where("kid is not null"), "chunks_reused"),
-    ]
-    long = reduce(DataFrame.unionByName, counts)
-
-    def value(name: str) -> Column:
-        return F.sum(F.when(F.col("name") == name, F.col("n")).otherwise(0))
-
-    plain = ["packages_inserted", "versions_inserted", "runs_inserted", "sources_inserted", "documents_inserted", "documents_reused", "chunks_inserted", "chunks_reused"]
-    metrics = long.agg(*[value(n).alias(n) for n in plain], (value("sources_seen") - value("sources_inserted")).alias("sources_reused"))
+    # Three aggregates over the tables just written: runs, documents with their sources, chunks.
+    def known_of(column: str, table: str) -> DataFrame:
+        return current[table].select(F.col("id").alias(column), F.lit(True).alias(f"has_{column}"))
+
+    old = runs
+    for column, table in (("package_id", "packages"), ("version_id", "documentation_versions"), ("run_id", "pipeline_runs")):
+        old = old.join(known_of(column, table), column, "left")
+    by_run = old.agg(
+        F.count_distinct(F.when(F.col("has_package_id").isNull(), F.col("package_id"))).alias("packages_inserted"),
+        F.count_if(F.col("has_version_id").isNull()).alias("versions_inserted"), F.count_if(F.col("has_run_id").isNull()).alias("runs_inserted"),
+    )
+    by_document = compared.join(known_of("source_id", "sources"), "source_id", "left").agg(
+        F.count_if(F.col("has_source_id").isNull()).alias("sources_inserted"), F.count("has_source_id").alias("sources_reused"),
+        F.count_if(~F.col("reused")).alias("documents_inserted"), F.count_if("reused").alias("documents_reused"),
+    )
+    by_chunk = marked.agg(F.count_if(F.col("kid").isNull()).alias("chunks_inserted"), F.count("kid").alias("chunks_reused"))
+    counted = [one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in one.columns]))) for one in (by_run, by_document, by_chunk)]
+    names = [c for one in (by_run, by_document, by_chunk) for c in one.columns]
+    metrics = reduce(DataFrame.unionByName, counted).agg(*[F.coalesce(F.sum(F.when(F.col("name") == n, F.col("n"))), F.lit(0)).alias(n) for n in names])
     return {
         "packages_ins": packages_ins, "versions_ins": versions_ins, "runs_ins": runs_ins, "sources_ins": sources_ins, "docs_ins": docs_ins,
         "docs_closed": docs_closed, "chunks_ins": chunks_ins, "runs_done": runs.select(F.col("run_id").alias("id")),
@@ -165,7 +172,7 @@ def plan_lineage(current: Tables, documents: DataFrame, chunks: DataFrame, now:
 
 def apply_lineage(current: Tables, plan: Tables, now: datetime) -> Tables:
     """The store's tables after an import."""
-    at = F.lit(now.astimezone(UTC).replace(tzinfo=None)).cast("timestamp")
+    at = _instant(now)
 
     def touched(table: DataFrame, ids: DataFrame, changes: dict[str, Column]) -> DataFrame:
         marked = table.join(ids.select(F.col("id").alias("__t")).distinct(), F.col("id") == F.col("__t"), "left")
@@ -183,65 +190,93 @@ def apply_lineage(current: Tables, plan: Tables, now: datetime) -> Tables:
 
 
 class SnapshotStore:
-    """Tables in numbered snapshot folders under a root, with a pointer to the current one.
-
-    Large tables are partitioned by package and version where they have them.
-    One writer at a time; readers are never disturbed.
+    """The tables of ``schemas.TABLES`` as folders of files, and the manifests that say which folders count.
+
+    A commit writes what is new and nothing else: rows added to a table are one
+    more folder, superseded document revisions are rows (id, valid_to) of their
+    own that a reader applies, and only the tables of versions and runs, one row
+    for each import, are replaced. ``compact`` folds all that into one folder a
+    table, ``vacuum`` deletes what no recent commit names. Readers are never
+    disturbed: see ``plans.manifest``. Large tables are partitioned by package
+    and version where they have them.
     """
 
+    CLOSED = "id STRING, valid_to TIMESTAMP"
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs
-
-    def _path(self, name: str):
-        return self._fs.Path(f"{self.root}/{name}")
-
-    def _system(self):
-        return self._path("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def current(self) -> str | None:
-        """The folder of the current snapshot, None in a new store."""
-        if not self._system().exists(self._path("CURRENT")):
-            return None
-        return self.spark.read.text(f"{self.root}/CURRENT").first()[0]
-
-    def read(self) -> Tables:
-        """All tables of the current snapshot; those that it lacks are empty."""
-        folder = self.current()
-        found: Tables = {}
-        if folder:
-            for name in TABLES:
-                if self._system().exists(self._path(f"{folder}/{name}")):
-                    found[name] = self.spark.read.schema(schema(name)).parquet(f"{self.root}/{folder}/{name}")
-        return upgrade(self.spark, found)
-
-    def commit(self, tables: Tables, verify: bool = True) -> str:
-        """Write all tables as a new snapshot, check its constraints and make it current."""
-        folder = f"snapshot-{int((self.current() or 'snapshot-0').rsplit('-', 1)[1]) + 1:08d}"
-        for name in TABLES:
-            if name in tables:
-                by = [c for c in ("package_name", "package_version") if c in tables[name].columns]
-                writer = tables[name].select(*schema(name).names).write.mode("overwrite")
-                (writer.partitionBy(*by) if by else writer).parquet(f"{self.root}/{folder}/{name}")
-        if verify:
-            written = upgrade(self.spark, {n: self.spark.read.schema(schema(n)).parquet(f"{self.root}/{folder}/{n}") for n in tables if n in TABLES})
-            constraints.require(constraints.store_violations(written))
-        system = self._system()
-        out = system.create(self._path("CURRENT.tmp"), True)
-        out.write(bytearray(folder.encode()))
-        out.close()
-        system.delete(self._path("CURRENT"), False)
-        system.rename(self._path("CURRENT.tmp"), self._path("CURRENT"))
+        self.manifest = Manifest(spark, root)
+
+    def _load(self, name: str, folders: list[str]) -> DataFrame:
+        kind = StructType.fromDDL(self.CLOSED) if name == "closed" else schema(name)
+        if not folders:
+            return self.spark.createDataFrame([], kind)
+        rows = self.spark.read.schema(kind).option("basePath", f"{self.root}/{name}").parquet(*[f"{self.root}/{f}" for f in folders])
+        return rows.select(*kind.names)
+
+    def _write(self, name: str, number: int, df: DataFrame) -> str:
+        names = StructType.fromDDL(self.CLOSED).names if name == "closed" else schema(name).names
+        by = [c for c in ("package_name", "package_version") if c in names]
+        folder = f"{name}/commit={number:09d}-{uuid.uuid4().hex[:8]}"
+        writer = df.select(*names).write.option("compression", "zstd")
+        (writer.partitionBy(*by) if by else writer).parquet(f"{self.root}/{folder}")
         return folder
 
+    def _tables(self, content: dict[str, list[str]]) -> Tables:
+        found = {name: self._load(name, content.get(name, [])) for name in TABLES}
+        if content.get("closed"):
+            documents = found["source_documents"]
+            ended = self._load("closed", content["closed"]).groupBy(F.col("id").alias("__id")).agg(F.min("valid_to").alias("__end"))
+            joined = documents.join(ended, F.col("id") == F.col("__id"), "left")
+            over = F.col("__id").isNotNull()
+            changes = {"is_current": F.col("is_current") & ~over, "valid_to": F.coalesce("valid_to", "__end")}
+            found["source_documents"] = joined.withColumns(changes).select(*documents.columns)
+        return found
+
+    def read(self, number: int | None = None) -> Tables:
+        """All tables as of a commit, by default the last; those without rows are empty."""
+        return self._tables(self.manifest.read(number)[1])
+
+    def append(self, added: Tables, replaced: Tables | None = None, closed: DataFrame | None = None, verify: bool = True) -> int:
+        """Commit new rows, replaced tables and superseded revisions (``CLOSED``); the commit's number.
+
+        With ``verify`` the constraints are checked for what is new before it
+        counts; a violation is a ValueError, and the store stays as it was.
+        """
+        last, content = self.manifest.read()
+        number, content = last + 1, {k: list(v) for k, v in content.items()}
+        fresh: Tables = {}
+        for name, df in {**added, **(replaced or {}), **({"closed": closed} if closed is not None else {})}.items():
+            folder = self._write(name, number, df)
+            content[name] = [folder] if replaced and name in replaced else [*content.get(name, []), folder]
+            fresh[name] = self._load(name, [folder])
+        if verify:
+            constraints.require(constraints.store_violations(self._tables(content), fresh))
+        self.manifest.publish(number, content)
+        return number
+
+    def compact(self) -> int:
+        """Commit each table as one folder, superseded revisions applied."""
+        tables = self.read()
+        last, content = self.manifest.read()
+        self.manifest.publish(last + 1, {n: [self._write(n, last + 1, tables[n])] for n in TABLES if content.get(n)})
+        return last + 1
+
+    def vacuum(self, keep: int = 10) -> None:
+        """Delete the files that none of the last ``keep`` commits names."""
+        self.manifest.forget(keep, lambda content: [f for folders in content.values() for f in folders])
+
 
 def import_frames(store: SnapshotStore, documents: DataFrame, chunks: DataFrame, now: datetime | None = None, config: ChunkingConfig | None = None) -> dict[str, int]:
     """Plan, write and commit an import; returns its counters. Without documents or chunks it is an error."""
     if documents.isEmpty() or chunks.isEmpty():
-        raise ValueError("persistence requires cleaned documents and chunks")
+        raise ValueError("an import needs documents and their chunks")
     now = now or datetime.now(UTC)
     current = store.read()
     plan = plan_lineage(current, documents, chunks, now, config)
     counters = plan["metrics"].first().asDict()
-    store.commit(apply_lineage(current, plan, now))
+    after = apply_lineage(current, plan, now)
+    added = {table: plan[f"{short}_ins"] for table, short in ADDED.items()}
+    closed = plan["docs_closed"].withColumn("valid_to", _instant(now))
+    store.append(added, {n: after[n] for n in ("documentation_versions", "pipeline_runs")}, closed)
     return counters

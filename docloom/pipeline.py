@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docloom.config import ChunkingConfig, CrawlConfig, EmbeddingConfig
 from docloom.operators import chunking, discovery, embedding, ingest, lineage
 from docloom.sources.readers import DiscoveryProvider, captured_pages
-from docloom.sources.writers import ProgressReporter
+from docloom.sources.writers import StageLog
 
 
 @dataclass(frozen=True)
@@ -74,32 +74,30 @@ def index(frames: PipelineFrames, store: lineage.SnapshotStore, config: Embeddin
     version = tables["packages"].sparkSession.createDataFrame(
         [(embedding.embedding_version_id(config), config.provider, config.model, config.dimension)], tables["embedding_versions"].schema
     )
-    known = tables["embedding_versions"]
-    tables["embedding_versions"] = known.unionByName(version.join(known.select("id"), "id", "left_anti"))
-    tables["chunk_embeddings"] = tables["chunk_embeddings"].unionByName(new)
-    store.commit(tables)
+    known = tables["embedding_versions"].select("id")
+    store.append({"embedding_versions": version.join(known, "id", "left_anti"), "chunk_embeddings": new})
     return replace(frames, index_counts=counts)
 
 
 def run_pipeline(
     packages: DataFrame, provider: DiscoveryProvider, answers: DataFrame, captured: DataFrame, store: lineage.SnapshotStore,
-    embedding_config: EmbeddingConfig, embedder: embedding.Embedder, reporter: ProgressReporter | None = None,
+    embedding_config: EmbeddingConfig, embedder: embedding.Embedder, reporter: StageLog | None = None,
     chunking_config: ChunkingConfig | None = None, crawl_config: CrawlConfig | None = None, now: datetime | None = None,
 ) -> PipelineFrames:
     """All stages in order, reported as each completes."""
-    report = reporter or ProgressReporter()
+    report = reporter or StageLog()
     frames = discover(PipelineFrames(packages), provider, answers)
     found = frames.sources.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "verified").alias("v")).first()
-    report.completed("Official documentation discovery", {"sources_found": found["n"], "sources_verified": found["v"]})
+    report.done("Official documentation discovery", {"sources_found": found["n"], "sources_verified": found["v"]})
     frames = plan_crawl(frames, captured)
-    report.completed("Crawl planning", {"pages_planned": frames.plan.count()})
+    report.done("Crawl planning", {"pages_planned": frames.plan.count()})
     frames = fetch_and_clean(frames, captured, crawl_config)
-    report.completed("Download, extraction, and Markdown normalization", {"documents_cleaned": frames.clean_documents.count()})
+    report.done("Download, extraction, and Markdown normalization", {"documents_cleaned": frames.clean_documents.count()})
     frames = chunk(frames, chunking_config)
-    report.completed("Markdown chunking", {"chunks_created": frames.chunks.count()})
+    report.done("Markdown chunking", {"chunks_created": frames.chunks.count()})
     frames = persist(frames, store, now or datetime.now(UTC), chunking_config)
-    report.completed("Lineage persistence", frames.import_counts)
+    report.done("Lineage persistence", frames.import_counts)
     frames = index(frames, store, embedding_config, embedder)
-    report.completed("Embeddings and indexing", frames.index_counts)
-    report.next_stage("Metadata-filtered retrieval evaluation")
+    report.done("Embeddings and indexing", frames.index_counts)
+    report.next("Metadata-filtered retrieval evaluation")
     return frames

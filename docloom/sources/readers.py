@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.config import DatabaseConfig
 from docloom.schemas import RECORDS, TABLES, schema
 
 METADATA = "package STRING, version STRING, project_urls MAP<STRING,STRING>, docs_url STRING, home_page STRING"
@@ -165,9 +166,9 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{root.rstrip('/')}/{name}")
 
 
-def read_jdbc_table(spark: SparkSession, url: str, name: str, partition: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
+def read_jdbc_table(spark: SparkSession, database: DatabaseConfig, name: str, partition: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
     """A table of a relational database; ``partition`` is (column, lower, upper, number of reads at once)."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
+    reader = spark.read.format("jdbc").options(url=database.url, dbtable=name, **database.options, **options)
     if partition:
         column, low, high, number = partition
         reader = reader.options(partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=str(number))

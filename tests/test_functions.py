@@ -115,13 +115,13 @@ def test_html_blocks_of_broken_pages():
 
 
 def test_configuration_checks():
-    with pytest.raises(ValueError, match="smaller than"):
+    with pytest.raises(ValueError, match="below the size"):
         ChunkingConfig(max_characters=10, overlap_characters=10)
     for headers in ([], ["#", "#"], ["#", "heading"]):
-        with pytest.raises(ValueError, match="headers"):
+        with pytest.raises(ValueError, match="heading mark"):
             ChunkingConfig(headers=headers)
     embedding = EmbeddingConfig("local", "m", 384)
-    with pytest.raises(ValueError, match="unique ignoring case"):
+    with pytest.raises(ValueError, match="in any case"):
         CatalogConfig(embedding, ("/a", "/A"))
     base = CatalogConfig(embedding, ("/python/a/",)).hash("A_b", "1", "run", "snap")
     assert base == CatalogConfig(EmbeddingConfig("local", "m", 384, batch_size=1, cache_directory="x"), ("/python/a",)).hash("a-b", "1", "run", "snap")

@@ -109,7 +109,7 @@ def test_pipeline_and_stream_end_to_end(spark, tmp_path):
     store, said = lineage.SnapshotStore(spark, f"file://{tmp_path}/store"), io.StringIO()
     config, embedder = EmbeddingConfig("local", "hashing", 64), embedding.HashingEmbedder(64)
     provider = readers.CapturedMetadata(spark, f"file://{tmp_path}/meta")
-    frames = pipeline.run_pipeline(packages, provider, answers, captured, store, config, embedder, writers.ProgressReporter(said))
+    frames = pipeline.run_pipeline(packages, provider, answers, captured, store, config, embedder, writers.StageLog(said.write))
     assert frames.import_counts["documents_inserted"] == 2 and frames.index_counts["chunks_indexed"] == 2
     assert "[COMPLETED] Crawl planning\n  Pages planned: 2" in said.getvalue() and "[NEXT]" in said.getvalue()
     tables = store.read()

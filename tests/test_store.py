@@ -3,7 +3,7 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.config import EmbeddingConfig
+from docloom.config import DatabaseConfig, EmbeddingConfig
 from docloom.operators import chunking, constraints, embedding, lineage, snapshot
 from docloom.schemas import downgrade, schema, upgrade
 from docloom.sources import readers, writers
@@ -41,7 +41,7 @@ def test_revisions_are_inserted_reused_and_superseded(filled):
     # Going back to the first text makes a revision of its own, with its own chunk.
     assert tables["chunks"].where(F.col("source_document_id") == current.id).count() == 1
     assert constraints.store_violations(tables).count() == 0
-    with pytest.raises(ValueError, match="requires"):
+    with pytest.raises(ValueError, match="needs"):
         lineage.import_frames(store, tables["chunks"].limit(0), tables["chunks"].limit(0))
 
 
@@ -64,27 +64,26 @@ def test_snapshot_errors_come_in_order(spark, filled):
     current = tables["source_documents"].where("is_current").first()
     run = current.pipeline_run_id
 
-    def fails(message, **changes):
-        with pytest.raises(snapshot.CatalogSnapshotError, match=message):
-            snapshot.resolve_snapshot(tables | changes, "demo.pkg", "1.0", run, config)
-
-    with pytest.raises(snapshot.CatalogSnapshotError, match="UUID"):
-        snapshot.resolve_snapshot(tables, "demo-pkg", "1.0", "nonsense", config)
-    with pytest.raises(snapshot.CatalogSnapshotError, match="does not belong"):
-        snapshot.resolve_snapshot(tables, "other", "1.0", run, config)
-    fails("version must be completed", documentation_versions=tables["documentation_versions"].withColumn("status", F.lit("running")))
-    fails("run must be completed", pipeline_runs=tables["pipeline_runs"].withColumn("completed_at", F.lit(None).cast("timestamp")))
-    fails("no source documents", source_documents=tables["source_documents"].limit(0))
-    fails("non-current", source_documents=tables["source_documents"].withColumn("is_current", F.lit(False)))
-    fails("no chunks", chunks=tables["chunks"].limit(0))
-    fails("mixed package", chunks=tables["chunks"].withColumn("package_version", F.lit("2")))
-    fails("does not exist")
+    def fails(code, package="demo.pkg", run_id=run, **changes):
+        with pytest.raises(snapshot.UnusableSnapshot) as caught:
+            snapshot.resolve_snapshot(tables | changes, package, "1.0", run_id, config)
+        assert caught.value.code == code
+
+    fails("malformed_run_id", run_id="nonsense")
+    fails("unknown_run", package="other")
+    fails("version_not_completed", documentation_versions=tables["documentation_versions"].withColumn("status", F.lit("running")))
+    fails("run_not_completed", pipeline_runs=tables["pipeline_runs"].withColumn("completed_at", F.lit(None).cast("timestamp")))
+    fails("no_documents", source_documents=tables["source_documents"].limit(0))
+    fails("superseded_documents", source_documents=tables["source_documents"].withColumn("is_current", F.lit(False)))
+    fails("no_chunks", chunks=tables["chunks"].limit(0))
+    fails("foreign_chunks", chunks=tables["chunks"].withColumn("package_version", F.lit("2")))
+    fails("unknown_embedding")
     version = spark.createDataFrame([("ev", "local", "hashing", 32)], schema("embedding_versions"))
-    fails("covers 0/", embedding_versions=version)
+    fails("missing_vectors", embedding_versions=version)
     vectors = tables["chunks"].select(F.col("id").alias("chunk_id"), F.lit("ev").alias("embedding_version_id"), F.array(F.lit(1.0)).cast("array<float>").alias("embedding"))
     good = snapshot.resolve_snapshot(tables | {"embedding_versions": version, "chunk_embeddings": vectors}, "Demo_pkg", "1.0", run, config)
     same = snapshot.snapshot_hash("demo-pkg", "1.0", good.documentation_version_id, run, good.chunks.repartition(3))
-    assert good.chunk_count >= 1 and good.input_snapshot_hash == same
+    assert good.chunk_count >= 1 and good.digest == same
     assert same != snapshot.snapshot_hash("demo-pkg", "1.1", good.documentation_version_id, run, good.chunks)
     assert snapshot.flat_snapshot_hash("a", "1", "v", "r", [("b", "2"), ("a", "1")]) == snapshot.flat_snapshot_hash("A", "1", "v", "r", [("a", "1"), ("b", "2")])
 
@@ -148,3 +147,61 @@ def test_all_counters_of_two_imports(spark, tmp_path):
         "packages_inserted": 0, "versions_inserted": 1, "runs_inserted": 2, "sources_inserted": 1, "sources_reused": 2,
         "documents_inserted": 2, "documents_reused": 1, "chunks_inserted": 2, "chunks_reused": 1,
     }
+
+
+def test_a_commit_leaves_readers_alone_and_writes_only_what_is_new(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/store"
+    store, other = lineage.SnapshotStore(spark, root), lineage.SnapshotStore(spark, root)
+    many = documents(spark, *[(f"P{i}", f"https://e.example/{i}", f"# P{i}\n\n" + f"word{i} " * 400) for i in range(60)])
+    load(store, many, 0)
+    size = {p: p.stat().st_size for p in (tmp_path / "store").rglob("*.parquet")}
+    seen, publish = [], store.manifest.publish
+
+    def looking(number, content):
+        seen.append(other.read()["source_documents"].where("is_current").count())
+        publish(number, content)
+        seen.append(other.read()["source_documents"].where("is_current").count())
+
+    monkeypatch.setattr(store.manifest, "publish", looking)
+    load(store, documents(spark, ("P1", "https://e.example/1", "# P1\n\nother"), ("New", "https://e.example/n", "# N\n\nnew")), 1)
+    assert seen == [60, 61]
+    added = {p: p.stat().st_size for p in (tmp_path / "store").rglob("*.parquet") if p not in size}
+    assert all(p.exists() for p in size)
+    texts = lambda files: sum(v for p, v in files.items() if p.parent.parent.name == "source_documents" or "source_documents" in str(p))
+    assert 0 < texts(added) < texts(size)
+    docs = {(d.canonical_url, d.is_current): d for d in other.read()["source_documents"].where("canonical_url like '%/1'").collect()}
+    assert docs["https://e.example/1", True].supersedes_id == docs["https://e.example/1", False].id and docs["https://e.example/1", False].valid_to
+    before = sorted(map(str, other.read()["source_documents"].collect()))
+    with pytest.raises(FileExistsError):
+        publish(2, {})
+    other.compact()
+    other.vacuum(keep=1)
+    assert sorted(map(str, store.read()["source_documents"].collect())) == before and not any(p.exists() for p in size)
+    bad = store.read()["chunks"].limit(1)
+    with pytest.raises(ValueError, match="document_index_unique"):
+        store.append({"chunks": bad})
+    assert store.read()["chunks"].count() == 62
+
+
+def test_catalog_tables_have_constraints(spark):
+    tables = upgrade(spark, {})
+    catalogs = spark.createDataFrame([("c", "v", "h", "approved", None, None), ("d", "v", "h", "draft", None, None)], schema("topic_catalogs"))
+    topics = spark.createDataFrame([("t", "c", "a.b", "b", "class", "b", "b.md", "t", [], "", -1, "proposed", None), ("u", "x", "a", "a", "thing", "a", "a.md", None, [], "", 0, "proposed", None)], schema("topics"))
+    evidence = spark.createDataFrame([("t", "k", "primary", 1, 2.0), ("t", "k", "first", 1, None)], schema("topic_evidence"))
+    got = {r.constraint_name for r in constraints.store_violations(tables | {"topic_catalogs": catalogs, "topics": topics, "topic_evidence": evidence}).collect()}
+    assert got == {
+        "version_exists", "version_config_unique", "approval_is_whole", "catalog_exists", "not_own_parent", "sort_order_not_negative", "kind_allowed",
+        "topic_chunk_unique", "topic_rank_unique", "chunk_exists", "role_allowed", "score_in_range",
+    }
+
+
+def test_stage_log_and_settings_of_a_database():
+    said = []
+    log = writers.StageLog(said.append)
+    log.done("Stage", {"rows_read": 3}, "/tmp/x")
+    log.next("More")
+    assert "".join(said) == "\n[COMPLETED] Stage\n  Rows read: 3\n  Saved at: /tmp/x\n\n[NEXT] More\n"
+    database = DatabaseConfig("h", "d", "u")
+    assert database.url == "jdbc:postgresql://h:5432/d" and database.options["user"] == "u"
+    with pytest.raises(ValueError, match="port"):
+        DatabaseConfig("h", "d", "u", port=0)
