@@ -54,29 +54,44 @@ def query_terms_column(query: Column) -> Column:
     return F.filter(F.split(search_text(query), " "), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
 
 
-def lexical_relevance(terms: Column, heading: Column, title: Column, content: Column, url: Column) -> Column:
-    """How well a hit's names agree with the query's terms, between 0 and 1.
+def lexical_forms(heading: Column, title: Column, content: Column, url: Column) -> Column:
+    """What of a chunk's texts lexical relevance looks at: its words by place, and two texts for phrases.
 
-    ``terms`` is an array of strings, the other columns plain texts. Each term
-    counts what its best place weighs; the mean of that, and a bonus if the terms
-    stand as one phrase in the headings or else the content. Null texts count as
-    empty; without terms the relevance is 0.
+    Null texts count as empty. Words come once for each place.
     """
     texts = [search_text(F.coalesce(c, F.lit(""))) for c in (heading, title, content, url)]
-    weights = (HEADING_WEIGHT, TITLE_WEIGHT, CONTENT_WEIGHT, URL_WEIGHT)
-    # Bound to a lambda variable, so that texts are normalized and split once, not for each term.
-    places = F.struct(texts[0].alias("heading"), texts[2].alias("content"), *[F.split(t, " ").alias(f"t{i}") for i, t in enumerate(texts)])
+    names = ("heading", "title", "content", "url")
+    bags = [F.array_distinct(F.split(t, " ")).alias(f"{n}_words") for t, n in zip(texts, names, strict=True)]
+    return F.struct(texts[0].alias("heading"), texts[2].alias("content"), *bags)
+
 
-    def score(place: Column) -> Column:
-        def weight_of(term: Column) -> Column:
-            return F.greatest(*[F.when(F.array_contains(place[f"t{i}"], term), F.lit(w)).otherwise(F.lit(0.0)) for i, w in enumerate(weights)])
+def lexical_relevance_of(terms: Column, forms: Column) -> Column:
+    """How well a chunk's ``lexical_forms`` agree with a query's terms (array of strings), between 0 and 1.
+
+    Each term counts what its best place weighs; the mean of that, and a bonus if
+    the terms stand as one phrase in the headings or else the content. Without
+    terms the relevance is 0.
+    """
+    weights = {"heading": HEADING_WEIGHT, "title": TITLE_WEIGHT, "content": CONTENT_WEIGHT, "url": URL_WEIGHT}
 
-        coverage = F.aggregate(F.transform(terms, weight_of), F.lit(0.0), lambda a, x: a + x) / F.size(terms)
-        phrase = F.array_join(terms, " ")
-        bonus = F.when(place["heading"].contains(phrase), HEADING_PHRASE).when(place["content"].contains(phrase), CONTENT_PHRASE).otherwise(0.0)
-        return F.least(F.lit(1.0), coverage + F.when(F.size(terms) < 2, 0.0).otherwise(bonus))
+    def weight_of(term: Column) -> Column:
+        # The best place comes first.
+        found = F.lit(0.0)
+        for place, weight in sorted(weights.items(), key=lambda w: w[1]):
+            found = F.when(F.array_contains(forms[f"{place}_words"], term), F.lit(weight)).otherwise(found)
+        return found
 
-    return F.when(F.size(terms) > 0, F.get(F.transform(F.array(places), score), F.lit(0))).otherwise(F.lit(0.0))
+    coverage = F.aggregate(F.transform(terms, weight_of), F.lit(0.0), lambda a, x: a + x) / F.size(terms)
+    phrase = F.array_join(terms, " ")
+    bonus = F.when(forms["heading"].contains(phrase), HEADING_PHRASE).when(forms["content"].contains(phrase), CONTENT_PHRASE).otherwise(0.0)
+    score = F.least(F.lit(1.0), coverage + F.when(F.size(terms) < 2, 0.0).otherwise(bonus))
+    return F.when(F.size(terms) > 0, score).otherwise(F.lit(0.0))
+
+
+def lexical_relevance(terms: Column, heading: Column, title: Column, content: Column, url: Column) -> Column:
+    """``lexical_relevance_of`` for plain texts."""
+    # Bound to a lambda variable, so that texts are normalized and split once, not for each term.
+    return F.get(F.transform(F.array(lexical_forms(heading, title, content, url)), lambda forms: lexical_relevance_of(terms, forms)), F.lit(0))
 
 
 def plain_markdown(text: Column) -> Column:

@@ -47,9 +47,14 @@ def chunk_documents(documents: DataFrame, config: ChunkingConfig | None = None,
     keyed = hashed.withColumn(
         "id", chunk_id(*[F.col(c) for c in ("package", "version", "source_url", "header_path", "chunk_index", "content_hash")])
     )
-    rest = [c for c in keyed.columns if c not in ("id", "document")]
-    first = keyed.groupBy("id").agg(F.min_by(F.struct(*rest), "document").alias("c"))
-    return first.select("id", "c.content", "c.package", "c.version", "c.source_url", "c.page_title", "c.header_path", "c.chunk_index", "c.content_hash", "c.character_count")
+    return first_of_each(keyed, "id", "document").select("id", "content", "package", "version", "source_url", "page_title", "header_path", "chunk_index", "content_hash", "character_count")
+
+
+def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The rows without those whose key an earlier row (by ``order``) has; a null key is a key of its own."""
+    rest = [c for c in rows.columns if c != key]
+    first = rows.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("__row"))
+    return first.select(key, *[F.col(f"__row.{c}").alias(c) for c in rest])
 
 
 def rebuild_documents(chunks: DataFrame, content: str = "content") -> DataFrame:

@@ -27,10 +27,11 @@ def relevant_ranks(cases: DataFrame, hits: DataFrame) -> DataFrame:
     return cases.join(found, F.col("query_id") == F.col("q"), "left").select("query_id", "query", "rank")
 
 
-def evaluate(ranks: DataFrame) -> DataFrame:
+def evaluate(ranks: DataFrame, with_ranks: bool = True) -> DataFrame:
     """One row: query_count, hits_at_k, hit_rate_at_k, mean_reciprocal_rank, ranks in the order of query_id.
 
-    Without queries both rates are 0.
+    Without queries both rates are 0. ``ranks`` lists every case in one row; for
+    more cases than a report should list, leave it out by ``with_ranks``.
     """
     n = F.count(F.lit(1))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("query_id", "rank"))), lambda r: r["rank"].cast("int"))
@@ -40,7 +41,7 @@ def evaluate(ranks: DataFrame) -> DataFrame:
         F.count("rank").alias("hits_at_k"),
         F.when(n > 0, F.count("rank") / n).otherwise(F.lit(0.0)).alias("hit_rate_at_k"),
         F.when(n > 0, total / n).otherwise(F.lit(0.0)).alias("mean_reciprocal_rank"),
-        listed.alias("ranks"),
+        *([listed.alias("ranks")] if with_ranks else []),
     )
 
 

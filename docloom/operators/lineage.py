@@ -16,7 +16,7 @@ import uuid
 from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -67,6 +67,25 @@ def incoming_documents(documents: DataFrame) -> DataFrame:
     return last.select(*key, *[F.col(f"d.{c}").alias(c) for c in rest]).withColumn("normalized_content_hash", sha256(F.col("markdown")))
 
 
+def revisions(fetches: DataFrame, id_col: str, at_col: str) -> DataFrame:
+    """What imports of all fetches, one after the other, leave as revisions: the fetches that changed a page's text.
+
+    ``fetches``: package, version, url, markdown, an id and a time. Adds
+    package_name, canonical_url, normalized_content_hash, ``supersedes`` (the id
+    of the revision before), ``valid_to`` (the time of the next one) and
+    ``is_current``. Fetches at one time follow their ids. Rows without package,
+    url or text are no fetches.
+    """
+    rows = fetches.dropna(subset=["package", "url", "markdown"]).select(
+        F.col(id_col), F.col(at_col), normalize_package_name(F.col("package")).alias("package_name"), F.col("version").alias("package_version"),
+        canonical_url(F.col("url")).alias("canonical_url"), sha256(F.col("markdown")).alias("normalized_content_hash"),
+    )
+    order = Window.partitionBy("package_name", "package_version", "canonical_url").orderBy(at_col, id_col)
+    before = F.lag("normalized_content_hash").over(order)
+    changed = rows.withColumn("__before", before).where(~F.col("__before").eqNullSafe(F.col("normalized_content_hash"))).drop("__before")
+    return changed.withColumns({"supersedes": F.lag(id_col).over(order), "valid_to": F.lead(at_col).over(order)}).withColumn("is_current", F.col("valid_to").isNull())
+
+
 def plan_lineage(current: Tables, documents: DataFrame, chunks: DataFrame, now: datetime, config: ChunkingConfig | None = None) -> Tables:
     """Everything an import changes, as DataFrames.
 

@@ -248,6 +248,11 @@ SELECT c AS constraint_name, count(*)::BIGINT AS violations FROM v GROUP BY 1"""
     "chunk_violations": r"""
 SELECT 'content_not_blank' AS constraint_name, load_seq::VARCHAR AS violating_key FROM chunks WHERE NOT regexp_matches(coalesce(content, ''), '[^\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]')
 UNION ALL SELECT 'character_count_is_length', load_seq::VARCHAR FROM chunks WHERE character_count <> length(content)""",
+    "snapshot_digests": r"""
+WITH i AS (SELECT DISTINCT package_name, package_version, sha256(concat_ws(chr(0), chunk_id, content_hash)) AS h FROM chunks),
+a AS (SELECT package_name, package_version, h[:4] || sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM i GROUP BY package_name, package_version, h[:4]),
+b AS (SELECT package_name, package_version, h[:2] || sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM a GROUP BY package_name, package_version, h[:2])
+SELECT package_name, package_version, sha256(string_agg(h, chr(10) ORDER BY h)) AS digest FROM b GROUP BY 1, 2""",
     "key_violations": """
 WITH v AS (
   SELECT 'lineitem' AS t, 'order_line_unique' AS c FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)

@@ -7,12 +7,13 @@ query vectors are stored vectors themselves.
 from __future__ import annotations
 
 from datetime import UTC, datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions.identity import canonical_url, sha256
-from docloom.operators import chunking, embedding, evaluation, lineage, search
+from docloom.config import EmbeddingConfig
+from docloom.operators import chunking, embedding, evaluation, lineage, search, snapshot
 from docloom.schemas import upgrade
 
 QUERY_TEXT = "restore the SessionCrawler registry"
@@ -22,42 +23,76 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _versions(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
+    """(id, dimension) of the embedding versions, a table of fixed size."""
+    return [tuple(r) for r in _t(spark, sf_dir, "embedding_versions").select("embedding_version_id", "dimension").orderBy("embedding_version_id").collect()]
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Usable vectors of the first embedding version, one for each id."""
-    rows = _t(spark, sf_dir, "chunk_embeddings").where("embedding_version_id = 1 and embedding is not null and size(embedding) = 384")
+    """Usable vectors of all embedding versions."""
+    dims = _t(spark, sf_dir, "embedding_versions").select("embedding_version_id", "dimension")
+    rows = _t(spark, sf_dir, "chunk_embeddings").join(F.broadcast(dims), "embedding_version_id").where("embedding is not null and size(embedding) = dimension")
     return rows.where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & F.exists("embedding", lambda x: x != 0))
 
 
-def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 10 vectors nearest to the first one, by distance and id."""
+def _each_version(spark: SparkSession, sf_dir: str, run) -> DataFrame:
+    """``run`` (version, its vectors) for each version, united, with ``embedding_version_id``."""
     vectors = _vectors(spark, sf_dir)
-    first = vectors.orderBy("vec_id").limit(1).select(F.lit(0).alias("query_id"), F.col("embedding").alias("vector"))
-    near = search.top_k(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), first, 10)
-    return near.select(F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"), "rank")
+    parts = [run(v, vectors.where(F.col("embedding_version_id") == v)).withColumn("embedding_version_id", F.lit(v)) for v, _ in _versions(spark, sf_dir)]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5 nearest vectors of every vector whose id is divisible by 20."""
-    vectors = _vectors(spark, sf_dir)
-    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    near = search.top_k(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), queries, 5)
-    return near.select("query_id", F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"), "rank")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 vectors nearest to the first one of each embedding version, by distance and id."""
+
+    def run(_: int, vectors: DataFrame) -> DataFrame:
+        first = vectors.orderBy("vec_id").limit(1).select(F.lit(0).alias("query_id"), F.col("embedding").alias("vector"))
+        return search.top_k(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), first, 10)
+
+    near = _each_version(spark, sf_dir, run)
+    return near.select("embedding_version_id", F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def vector_topk_batch(spark: SparkSession, sf_dir: str, few: int = search.FEW) -> DataFrame:
+    """The 5 nearest vectors of every vector whose id is divisible by 20, within its embedding version."""
+
+    def run(_: int, vectors: DataFrame) -> DataFrame:
+        queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+        return search.top_k(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), queries, 5, few)
+
+    return _each_version(spark, sf_dir, run).select("embedding_version_id", "query_id", F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def vector_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vector_topk_batch`` by blocks of queries that meet parts of the corpus, as more queries than ``search.FEW`` do."""
+    return vector_topk_batch(spark, sf_dir, few=0)
+
+
+def _queries(vectors: DataFrame) -> DataFrame:
+    return vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.lit(QUERY_TEXT).alias("query"), F.col("embedding").alias("vector"))
 
 
 def _hits(spark: SparkSession, sf_dir: str, hybrid: bool) -> DataFrame:
     chunks = _t(spark, sf_dir, "chunks").where("content is not null")
     columns = ("content", "source_url", "page_title", "header_path")
     first = chunks.groupBy("chunk_id").agg(F.min_by(F.struct(*columns), "load_seq").alias("c")).select(F.col("chunk_id").alias("id"), "c.*")
-    vectors = _vectors(spark, sf_dir)
-    one = vectors.groupBy("chunk_id").agg(F.min_by("embedding", "vec_id").alias("embedding"))
-    rows = one.select("chunk_id", F.lit("1").alias("embedding_version_id"), "embedding")
-    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.lit(QUERY_TEXT).alias("query"), F.col("embedding").alias("vector"))
-    return search.search(first, rows, queries, "1", limit=5, hybrid=hybrid)
+
+    def run(version: int, vectors: DataFrame) -> DataFrame:
+        one = vectors.groupBy("chunk_id").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+        rows = one.select("chunk_id", F.lit(version).alias("embedding_version_id"), "embedding")
+        return search.search(first, rows, _queries(vectors), version, limit=5, hybrid=hybrid)
+
+    return _each_version(spark, sf_dir, run)
+
+
+def _cases(spark: SparkSession, sf_dir: str, *expected: str) -> DataFrame:
+    """The evaluation cases: every query, whether it has hits or not."""
+    return _queries(_vectors(spark, sf_dir)).select("query_id", "query", F.array(*[F.lit(e) for e in expected]).alias("expected_any"))
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine search of many query vectors among chunks, reranked by one query text."""
-    return _hits(spark, sf_dir, True).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "position")
+    return _hits(spark, sf_dir, True).select("embedding_version_id", "query_id", "chunk_id", F.round("score", 6).alias("score"), "position")
 
 
 def lexical_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +108,7 @@ def lexical_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieval_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit rate and mean reciprocal rank of plain search: relevant are chunks that name a session."""
-    hits = _hits(spark, sf_dir, False)
-    cases = hits.select("query_id").distinct().withColumn("query", F.lit(QUERY_TEXT)).withColumn("expected_any", F.array(F.lit("session_crawler"), F.lit("Session")))
-    scored = evaluation.evaluate(evaluation.relevant_ranks(cases, hits))
+    scored = evaluation.evaluate(evaluation.relevant_ranks(_cases(spark, sf_dir, "session_crawler", "Session"), _hits(spark, sf_dir, False)))
     return scored.select("query_count", "hits_at_k", F.round("hit_rate_at_k", 6).alias("hit_rate_at_k"), F.round("mean_reciprocal_rank", 6).alias("mean_reciprocal_rank"), F.to_json("ranks").alias("ranks"))
 
 
@@ -83,9 +116,7 @@ def evaluation_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks of the same cases without and with the lexical rerank."""
 
     def run(hybrid: bool) -> DataFrame:
-        hits = _hits(spark, sf_dir, hybrid)
-        cases = hits.select("query_id").distinct().withColumn("query", F.lit(QUERY_TEXT)).withColumn("expected_any", F.array(F.lit("Session")))
-        return evaluation.relevant_ranks(cases, hits)
+        return evaluation.relevant_ranks(_cases(spark, sf_dir, "Session"), _hits(spark, sf_dir, hybrid))
 
     return evaluation.compare(run(False), run(True))
 
@@ -115,67 +146,128 @@ def indexed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select(F.col("id").alias("chunk_id"), F.size("v").alias("dimension"), F.round(squares, 3).alias("squared_length"))
 
 
-def _revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _t(spark, sf_dir, "clean_documents").where("url is not null and markdown is not null and package_name is not null")
-    return pages.select("page_id", F.col("package_name"), F.col("package_version"), canonical_url(F.col("url")).alias("canonical_url"), sha256(F.col("markdown")).alias("hash"), "fetched_at")
-
-
 def current_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's fetches as revisions: which supersedes which, until when it is valid, and which is current."""
-    rows = _revisions(spark, sf_dir)
-    order = Window.partitionBy("package_name", "package_version", "canonical_url").orderBy("fetched_at", "page_id")
-    changed = rows.withColumn("before", F.lag("hash").over(order)).where("before is null or before <> hash")
-    again = changed.withColumn("supersedes", F.lag("page_id").over(order)).withColumn("valid_to", F.lead("fetched_at").over(order))
-    return again.select("page_id", "canonical_url", "supersedes", "valid_to", F.col("valid_to").isNull().alias("is_current"))
+    pages = _t(spark, sf_dir, "clean_documents").withColumnRenamed("package_name", "package").withColumnRenamed("package_version", "version")
+    return lineage.revisions(pages, "page_id", "fetched_at").select("page_id", "canonical_url", "supersedes", "valid_to", "is_current")
+
+
+FIRST, SECOND = datetime(2025, 1, 1, tzinfo=UTC), datetime(2026, 1, 1, tzinfo=UTC)
 
 
-def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The corpus as a first and a second import: pages with an odd id, then all pages."""
+def _imports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The corpus as a first and a second import: pages fetched before 2025, then all pages."""
     pages = _t(spark, sf_dir, "clean_documents").withColumnRenamed("package_name", "package").withColumnRenamed("package_version", "version").withColumnRenamed("page_id", "position")
-    return pages.where("position % 2 = 1"), pages
+    return pages.where(F.col("fetched_at") < F.lit(FIRST)), pages
 
 
-def lineage_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters of a second import over a first one, planned without writing."""
-    first, second = _halves(spark, sf_dir)
-    then, now = datetime(2024, 6, 1, tzinfo=UTC), datetime(2024, 6, 2, tzinfo=UTC)
+def _whole(documents: DataFrame) -> DataFrame:
+    """Each document that counts as one chunk."""
+    last = lineage.incoming_documents(documents)
+    return last.select(
+        F.sha2(F.concat_ws("\0", "package_name", "package_version", "url"), 256).alias("id"), F.col("package_name").alias("package"), F.col("package_version").alias("version"),
+        F.col("url").alias("source_url"), "page_title", F.array().cast("array<string>").alias("header_path"), F.lit(0).alias("chunk_index"),
+        F.col("markdown").alias("content"), F.col("normalized_content_hash").alias("content_hash"), F.length("markdown").alias("character_count"),
+    )
+
+
+def _second_plan(spark: SparkSession, sf_dir: str) -> tuple[lineage.Tables, lineage.Tables]:
+    """(store after the first import, plan of the second)."""
+    first, every = _imports(spark, sf_dir)
     store = upgrade(spark, {})
-    chunks = chunking.chunk_documents(first, order_col="position")
-    store = lineage.apply_lineage(store, lineage.plan_lineage(store, first, chunks, then), then)
-    plan = lineage.plan_lineage(store, second, chunking.chunk_documents(second, order_col="position"), now)
-    names = ["packages_inserted", "versions_inserted", "sources_inserted", "sources_reused", "documents_inserted", "documents_reused"]
-    return plan["metrics"].select(*[F.col(n).cast("bigint").alias(n) for n in names])
+    store = lineage.apply_lineage(store, lineage.plan_lineage(store, first, _whole(first), FIRST), FIRST)
+    return store, lineage.plan_lineage(store, every, _whole(every), SECOND)
+
+
+def lineage_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All counters of a second import over a first one, planned without writing; a document is one chunk."""
+    metrics = _second_plan(spark, sf_dir)[1]["metrics"]
+    return metrics.select(*[F.col(n).cast("bigint").alias(n) for n in metrics.columns])
+
+
+def lineage_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document revisions that both imports leave: which are current, until when the others were, what they supersede."""
+    store, plan = _second_plan(spark, sf_dir)
+    after = lineage.apply_lineage(store, plan, SECOND)
+    documents = after["source_documents"].select("id", "source_id", "canonical_url", "normalized_content_hash", "is_current", "valid_to", "supersedes_id")
+    older = documents.select(F.col("id").alias("o"), F.col("normalized_content_hash").alias("supersedes_hash"))
+    sources = after["sources"].select(F.col("id").alias("s"), "documentation_version_id")
+    versions = after["documentation_versions"].select(F.col("id").alias("v"), "package_id", "package_version")
+    packages = after["packages"].select(F.col("id").alias("p"), F.col("name").alias("package_name"))
+    joined = documents.join(older, F.col("supersedes_id") == F.col("o"), "left").join(sources, F.col("source_id") == F.col("s"))
+    joined = joined.join(versions, F.col("documentation_version_id") == F.col("v")).join(packages, F.col("package_id") == F.col("p"))
+    return joined.select("package_name", "package_version", "canonical_url", F.col("normalized_content_hash").alias("hash"), "is_current", "valid_to", "supersedes_hash")
+
+
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of current documents after both imports: those of a package are found by its name."""
+    store, plan = _second_plan(spark, sf_dir)
+    after = lineage.apply_lineage(store, plan, SECOND)
+    chunks = embedding.current_chunks(after["chunks"], after["source_documents"], "zuvelgraph")
+    return chunks.select("package_version", "source_url", "content_hash", "character_count")
+
+
+def _store(spark: SparkSession, sf_dir: str) -> lineage.Tables:
+    """The tables as a store: a run and its sources for each documentation version, some of them unfinished or superseded."""
+    text = lambda name: F.col(name).cast("string")
+    versions = _t(spark, sf_dir, "documentation_versions")
+    packages = _t(spark, sf_dir, "packages").select(text("package_id").alias("id"), F.lit("pypi").alias("ecosystem"), F.col("package_name").alias("name"))
+    runs = versions.select(
+        text("version_id").alias("id"), text("version_id").alias("documentation_version_id"), F.when(F.col("version_id") % 7 == 0, "failed").otherwise("completed").alias("status"),
+        F.when(F.col("version_id") % 11 != 0, F.col("created_at")).alias("completed_at"),
+    )
+    pages = _t(spark, sf_dir, "clean_documents").select("page_id", "package_name", "package_version")
+    named = versions.join(_t(spark, sf_dir, "packages").select("package_id", "package_name"), "package_id").select("version_id", "package_name", "package_version")
+    owned = pages.join(named, ["package_name", "package_version"])
+    chunks = _t(spark, sf_dir, "chunks")
+    first = chunks.groupBy("chunk_id").agg(F.min_by(F.struct("page_id", "content_hash", "package_name", "package_version"), "load_seq").alias("c"))
+    return {
+        "packages": packages,
+        "documentation_versions": versions.select(text("version_id").alias("id"), text("package_id").alias("package_id"), "package_version", "status"),
+        "pipeline_runs": runs,
+        "sources": owned.select(text("page_id").alias("id"), text("version_id").alias("documentation_version_id")),
+        "source_documents": owned.select(text("page_id").alias("id"), text("page_id").alias("source_id"), text("version_id").alias("pipeline_run_id"), (F.col("page_id") % 97 != 0).alias("is_current")),
+        "chunks": first.select(F.col("chunk_id").alias("id"), F.col("c.page_id").cast("string").alias("source_document_id"), "c.content_hash", "c.package_name", "c.package_version"),
+        "embedding_versions": _t(spark, sf_dir, "embedding_versions").select(text("embedding_version_id").alias("id"), "provider", "model_name", "dimension"),
+        "chunk_embeddings": _t(spark, sf_dir, "chunk_embeddings").select("chunk_id", text("embedding_version_id").alias("embedding_version_id")),
+    }
+
+
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each run of the store its counts and what keeps it from being a snapshot."""
+    store = _store(spark, sf_dir)
+    identity = store["embedding_versions"].where("id = '1'").first()
+    report = snapshot.run_report(store, EmbeddingConfig(identity["provider"], identity["model_name"], identity["dimension"]))
+    return report.select("run_id", "package", "version", "documents", "superseded", "bare_documents", "chunks", "foreign_chunks", "embedded", "problem")
 
 
 def lineage_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All counters of an import of all pages over one of the pages fetched before 2025; chunks are those of the documents that count."""
-    _, pages = _halves(spark, sf_dir)
-    then, now = datetime(2025, 1, 1, tzinfo=UTC), datetime(2026, 1, 1, tzinfo=UTC)
 
     def chunks(documents: DataFrame) -> DataFrame:
         # Of several fetches of a URL only the last is a document; the others' chunks are not its chunks.
         last = lineage.incoming_documents(documents)
         return chunking.chunk_documents(last.withColumnsRenamed({"package_name": "package", "package_version": "version", "page_title": "title"}), order_col="position")
 
-    first = pages.where(F.col("fetched_at") < F.lit(then))
+    first, pages = _imports(spark, sf_dir)
     store = upgrade(spark, {})
-    store = lineage.apply_lineage(store, lineage.plan_lineage(store, first, chunks(first), then), then)
-    metrics = lineage.plan_lineage(store, pages, chunks(pages), now)["metrics"]
+    store = lineage.apply_lineage(store, lineage.plan_lineage(store, first, chunks(first), FIRST), FIRST)
+    metrics = lineage.plan_lineage(store, pages, chunks(pages), SECOND)["metrics"]
     return metrics.select(*[F.col(n).cast("bigint").alias(n) for n in metrics.columns])
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        vector_topk, vector_topk_batch, hybrid_search, lexical_scores, retrieval_evaluation, evaluation_comparison, missing_embeddings, embedding_coverage,
-        indexed_chunks, current_revisions, lineage_counters, lineage_imports,
+        vector_topk, vector_topk_batch, vector_topk_blocks, hybrid_search, lexical_scores, retrieval_evaluation, evaluation_comparison, missing_embeddings, embedding_coverage,
+        indexed_chunks, current_revisions, lineage_counters, lineage_documents, stored_chunks, lineage_imports, run_report,
     )
 }
 
 _USABLE = """usable AS (
-  SELECT vec_id, chunk_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM chunk_embeddings
-  WHERE embedding_version_id = 1 AND embedding IS NOT NULL AND len(embedding) = 384
-    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
+  SELECT e.vec_id, e.chunk_id, e.embedding_version_id AS ver, list_transform(e.embedding, lambda x: x::DOUBLE) AS v
+  FROM chunk_embeddings e JOIN embedding_versions w ON e.embedding_version_id = w.embedding_version_id AND len(e.embedding) = w.dimension
+  WHERE len(list_filter(e.embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(e.embedding, lambda x: x <> 0)) > 0)"""
 _SIM = "greatest(-1.0, least(1.0, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))))"
 
 
@@ -198,29 +290,40 @@ def _lexical(heading: str, title: str, content: str, url: str) -> str:
 
 _FIRST = f"""firsts AS (SELECT chunk_id, arg_min(content, load_seq) AS content, arg_min(source_url, load_seq) AS source_url,
   first(page_title ORDER BY load_seq) AS page_title, first(header_path ORDER BY load_seq) AS header_path FROM chunks WHERE content IS NOT NULL GROUP BY 1),
-one AS (SELECT chunk_id, arg_min(v, vec_id) AS v FROM usable GROUP BY 1),
-scored AS (SELECT a.vec_id AS query_id, b.chunk_id, {_SIM} AS sim FROM usable a, (SELECT * FROM one WHERE chunk_id IN (SELECT chunk_id FROM firsts)) b WHERE a.vec_id % 20 = 0),
+one AS (SELECT ver, chunk_id, arg_min(v, vec_id) AS v FROM usable GROUP BY 1, 2),
+scored AS (SELECT a.vec_id AS query_id, a.ver, b.chunk_id, {_SIM} AS sim FROM usable a JOIN (SELECT * FROM one WHERE chunk_id IN (SELECT chunk_id FROM firsts)) b ON a.ver = b.ver WHERE a.vec_id % 20 = 0),
+cases AS (SELECT DISTINCT vec_id AS query_id FROM usable WHERE vec_id % 20 = 0),
 near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS r FROM scored),
 texts AS (SELECT chunk_id, {_words("array_to_string(header_path, ' ')")} AS h, {_words("page_title")} AS t, {_words("content")} AS c, {_words("source_url")} AS u,
   trim(regexp_replace(lower(replace(concat_ws(' ', page_title, array_to_string(header_path, ' '), source_url, content), '\\_', '_')), '[^a-z0-9]+', ' ', 'g')) AS hit FROM firsts)"""
 _HYBRID = f"""{_FIRST},
-hybrid AS (SELECT query_id, n.chunk_id, sim, 0.85::DOUBLE * sim + 0.15::DOUBLE * {_lexical("h", "t", "c", "u")} AS score, hit FROM near n JOIN texts USING (chunk_id) WHERE r <= 40),
+hybrid AS (SELECT query_id, ver, n.chunk_id, sim, 0.85::DOUBLE * sim + 0.15::DOUBLE * {_lexical("h", "t", "c", "u")} AS score, hit FROM near n JOIN texts USING (chunk_id) WHERE r <= 40),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sim DESC, chunk_id)::INT AS position FROM hybrid)"""
 
+_IMPORTS = r"""
+WITH d AS (SELECT page_id, nullif(trim(lower(regexp_replace(package_name, '[-_.]+', '-', 'g')), '-'), '') AS p, package_version AS v, url, length(markdown) AS n, fetched_at,
+    CASE WHEN regexp_replace(b, '/+$', '') = '' THEN b ELSE regexp_replace(b, '/+$', '') END AS u, sha256(markdown) AS h
+  FROM (SELECT *, regexp_replace(trim(url), '#.*$', '') AS b FROM clean_documents WHERE url IS NOT NULL AND markdown IS NOT NULL)),
+a AS (SELECT p, v, u, arg_max(h, page_id) AS h FROM d WHERE p IS NOT NULL AND v IS NOT NULL AND fetched_at < TIMESTAMP '2025-01-01' GROUP BY ALL),
+b AS (SELECT p, v, u, arg_max(h, page_id) AS h FROM d WHERE p IS NOT NULL AND v IS NOT NULL GROUP BY ALL)"""
+
 ORACLES = {
     "vector_topk": f"""
-WITH {_USABLE}, q AS (SELECT * FROM usable ORDER BY vec_id LIMIT 1), s AS (SELECT b.vec_id, {_SIM} AS sim FROM q a, usable b)
-SELECT vec_id, round(sim, 6) AS similarity, rank::INT AS rank FROM (SELECT *, row_number() OVER (ORDER BY sim DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
-    "vector_topk_batch": f"""
-WITH {_USABLE}, s AS (SELECT a.vec_id AS query_id, b.vec_id, {_SIM} AS sim FROM usable a, usable b WHERE a.vec_id % 20 = 0)
-SELECT query_id, vec_id, round(sim, 6) AS similarity, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+WITH {_USABLE}, q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ver ORDER BY vec_id) AS n FROM usable) WHERE n = 1),
+s AS (SELECT b.ver, b.vec_id, {_SIM} AS sim FROM q a JOIN usable b ON a.ver = b.ver)
+SELECT ver AS embedding_version_id, vec_id, round(sim, 6) AS similarity, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY ver ORDER BY sim DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+    "vector_topk_batch": (_BATCH := f"""
+WITH {_USABLE}, s AS (SELECT a.ver, a.vec_id AS query_id, b.vec_id, {_SIM} AS sim FROM usable a JOIN usable b ON a.ver = b.ver WHERE a.vec_id % 20 = 0)
+SELECT ver AS embedding_version_id, query_id, vec_id, round(sim, 6) AS similarity, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""),
+    "vector_topk_blocks": _BATCH,
     "lexical_scores": f"""
 SELECT load_seq, round({_lexical("h", "t", "c", "u")}, 6) AS relevance FROM (
   SELECT load_seq, {_words("array_to_string(header_path, ' ')")} AS h, {_words("page_title")} AS t, {_words("content")} AS c, {_words("source_url")} AS u FROM chunks)""",
-    "hybrid_search": f"WITH {_USABLE}, {_HYBRID} SELECT query_id, chunk_id, round(score, 6) AS score, position FROM ranked WHERE position <= 5",
+    "hybrid_search": f"WITH {_USABLE}, {_HYBRID} SELECT ver AS embedding_version_id, query_id, chunk_id, round(score, 6) AS score, position FROM ranked WHERE position <= 5",
     "retrieval_evaluation": f"""
 WITH {_USABLE}, {_FIRST},
-ranks AS (SELECT query_id, min(r) FILTER (WHERE contains(hit, 'session')) AS rank FROM near JOIN texts USING (chunk_id) WHERE r <= 5 GROUP BY 1)
+found AS (SELECT query_id, min(r) FILTER (WHERE contains(hit, 'session')) AS rank FROM near JOIN texts USING (chunk_id) WHERE r <= 5 GROUP BY 1),
+ranks AS (SELECT query_id, rank FROM cases LEFT JOIN found USING (query_id))
 SELECT count(*)::BIGINT AS query_count, count(rank)::BIGINT AS hits_at_k, round(count(rank) / count(*), 6) AS hit_rate_at_k,
        round(sum(coalesce(1.0::DOUBLE / rank, 0)) / count(*), 6) AS mean_reciprocal_rank, '[' || string_agg(coalesce(rank::VARCHAR, 'null'), ',' ORDER BY query_id) || ']' AS ranks
 FROM ranks""",
@@ -228,7 +331,11 @@ FROM ranks""",
 WITH {_USABLE}, {_HYBRID},
 a AS (SELECT query_id, min(r) FILTER (WHERE contains(hit, 'session'))::INT AS x FROM near JOIN texts USING (chunk_id) WHERE r <= 5 GROUP BY 1),
 b AS (SELECT query_id, min(position) FILTER (WHERE contains(hit, 'session'))::INT AS y FROM ranked WHERE position <= 5 GROUP BY 1)
-SELECT query_id, '{QUERY_TEXT}' AS query, x AS baseline_rank, y AS tuned_rank FROM a FULL JOIN b USING (query_id)""",
+SELECT query_id, '{QUERY_TEXT}' AS query, x AS baseline_rank, y AS tuned_rank FROM cases LEFT JOIN a USING (query_id) LEFT JOIN b USING (query_id)""",
+    "indexed_chunks": """
+SELECT chunk_id, 384 AS dimension, CASE WHEN regexp_matches(content, '[\\p{L}\\p{N}]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS squared_length
+FROM (SELECT chunk_id, arg_min(content, load_seq) AS content FROM chunks WHERE content IS NOT NULL GROUP BY 1)
+WHERE chunk_id NOT IN (SELECT chunk_id FROM chunk_embeddings WHERE embedding_version_id = 1 AND chunk_id IS NOT NULL)""",
     "missing_embeddings": """
 SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM chunk_embeddings WHERE embedding_version_id = 1 AND chunk_id IS NOT NULL)""",
     "embedding_coverage": """
@@ -240,15 +347,34 @@ WITH r AS (SELECT page_id, package_name, package_version, CASE WHEN regexp_repla
 c AS (SELECT * FROM (SELECT *, lag(h) OVER (PARTITION BY package_name, package_version, canonical_url ORDER BY fetched_at, page_id) AS before FROM r) WHERE before IS NULL OR before <> h),
 f AS (SELECT *, lag(page_id) OVER w AS supersedes, lead(fetched_at) OVER w AS valid_to FROM c WINDOW w AS (PARTITION BY package_name, package_version, canonical_url ORDER BY fetched_at, page_id))
 SELECT page_id, canonical_url, supersedes, valid_to, valid_to IS NULL AS is_current FROM f""",
-    "lineage_counters": r"""
-WITH d AS (SELECT page_id, nullif(trim(lower(regexp_replace(package_name, '[-_.]+', '-', 'g')), '-'), '') AS p, package_version AS v,
-    CASE WHEN regexp_replace(b, '/+$', '') = '' THEN b ELSE regexp_replace(b, '/+$', '') END AS u, sha256(markdown) AS h
-  FROM (SELECT *, regexp_replace(trim(url), '#.*$', '') AS b FROM clean_documents WHERE url IS NOT NULL AND markdown IS NOT NULL)),
-a AS (SELECT p, v, u, arg_max(h, page_id) AS h FROM d WHERE p IS NOT NULL AND v IS NOT NULL AND page_id % 2 = 1 GROUP BY ALL),
-b AS (SELECT p, v, u, arg_max(h, page_id) AS h FROM d WHERE p IS NOT NULL AND v IS NOT NULL GROUP BY ALL)
+    "lineage_counters": _IMPORTS + """
 SELECT (SELECT count(*) FROM (SELECT p FROM b EXCEPT SELECT p FROM a))::BIGINT AS packages_inserted,
        (SELECT count(*) FROM (SELECT p, v FROM b EXCEPT SELECT p, v FROM a))::BIGINT AS versions_inserted,
+       (SELECT count(*) FROM (SELECT p, v, list(u || h ORDER BY u) FROM b GROUP BY 1, 2 EXCEPT SELECT p, v, list(u || h ORDER BY u) FROM a GROUP BY 1, 2))::BIGINT AS runs_inserted,
        count(*) FILTER (WHERE a.u IS NULL)::BIGINT AS sources_inserted, count(a.u)::BIGINT AS sources_reused,
-       count(*) FILTER (WHERE a.h IS DISTINCT FROM b.h)::BIGINT AS documents_inserted, count(*) FILTER (WHERE a.h = b.h)::BIGINT AS documents_reused
+       count(*) FILTER (WHERE a.h IS DISTINCT FROM b.h)::BIGINT AS documents_inserted, count(*) FILTER (WHERE a.h = b.h)::BIGINT AS documents_reused,
+       count(*) FILTER (WHERE a.h IS DISTINCT FROM b.h)::BIGINT AS chunks_inserted, count(*) FILTER (WHERE a.h = b.h)::BIGINT AS chunks_reused
 FROM b LEFT JOIN a USING (p, v, u)""",
+    "lineage_documents": _IMPORTS + """
+SELECT p AS package_name, v AS package_version, u AS canonical_url, a.h AS hash, b.h = a.h AS is_current, CASE WHEN b.h <> a.h THEN TIMESTAMP '2026-01-01' END AS valid_to, NULL::VARCHAR AS supersedes_hash FROM a JOIN b USING (p, v, u)
+UNION ALL SELECT p, v, u, b.h, true, NULL, a.h FROM b LEFT JOIN a USING (p, v, u) WHERE a.h IS DISTINCT FROM b.h""",
+    "stored_chunks": _IMPORTS + """
+SELECT v AS package_version, arg_max(url, page_id) AS source_url, arg_max(h, page_id) AS content_hash, arg_max(n, page_id)::INT AS character_count
+FROM d WHERE p = 'zuvelgraph' AND v IS NOT NULL GROUP BY v, u""",
+    "run_report": """
+WITH c AS (SELECT chunk_id, arg_min(page_id, load_seq) AS page_id, arg_min(package_name, load_seq) AS pn, arg_min(package_version, load_seq) AS pv FROM chunks GROUP BY 1),
+ver AS (SELECT v.version_id, p.package_name, v.package_version, v.status, v.created_at FROM documentation_versions v JOIN packages p USING (package_id)),
+d AS (SELECT v.version_id, d.page_id, d.page_id % 97 <> 0 AS cur FROM clean_documents d JOIN ver v USING (package_name, package_version)),
+e AS (SELECT DISTINCT chunk_id FROM chunk_embeddings WHERE embedding_version_id = 1),
+per AS (SELECT d.version_id, d.page_id, d.cur, count(c.chunk_id) AS n, count(e.chunk_id) AS m,
+          count(*) FILTER (WHERE c.chunk_id IS NOT NULL AND (c.pn IS DISTINCT FROM v.package_name OR c.pv IS DISTINCT FROM v.package_version)) AS f
+        FROM d JOIN ver v USING (version_id) LEFT JOIN c ON c.page_id = d.page_id LEFT JOIN e ON e.chunk_id = c.chunk_id GROUP BY ALL),
+t AS (SELECT version_id, count(*) AS documents, count(*) FILTER (WHERE NOT cur) AS superseded, count(*) FILTER (WHERE n = 0) AS bare, sum(n) AS chunks, sum(f) AS foreign_, sum(m) AS embedded FROM per GROUP BY 1),
+r AS (SELECT v.*, coalesce(documents, 0)::BIGINT AS documents, coalesce(superseded, 0)::BIGINT AS superseded, coalesce(bare, 0)::BIGINT AS bare, coalesce(chunks, 0)::BIGINT AS chunks,
+        coalesce(foreign_, 0)::BIGINT AS foreign_, coalesce(embedded, 0)::BIGINT AS embedded FROM ver v LEFT JOIN t USING (version_id))
+SELECT version_id::VARCHAR AS run_id, package_name AS package, package_version AS version, documents, superseded, bare AS bare_documents, chunks, foreign_ AS foreign_chunks, embedded,
+  CASE WHEN status <> 'completed' THEN 'version_not_completed' WHEN version_id % 7 = 0 OR version_id % 11 = 0 OR created_at IS NULL THEN 'run_not_completed' WHEN documents = 0 THEN 'no_documents'
+       WHEN superseded > 0 THEN 'superseded_documents' WHEN chunks = 0 THEN 'no_chunks' WHEN foreign_ > 0 THEN 'foreign_chunks' WHEN bare > 0 THEN 'bare_documents'
+       WHEN embedded < chunks THEN 'missing_vectors' END AS problem
+FROM r""",
 }

@@ -51,9 +51,7 @@ def chunk_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unique_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first delivery of each chunk id."""
-    chunks = _t(spark, sf_dir, "chunks")
-    first = chunks.groupBy("chunk_id").agg(F.min("load_seq").alias("load_seq"), F.count(F.lit(1)).alias("deliveries"))
-    return first
+    return chunking.first_of_each(_t(spark, sf_dir, "chunks"), "chunk_id", "load_seq").select("chunk_id", "load_seq", "page_id", "chunk_index")
 
 
 def framework_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +177,10 @@ SELECT load_seq, content_hash, chunk_id, chunk_id || ':' || content_hash[:16] AS
   SELECT load_seq, sha256(content) AS content_hash,
          sha256(concat_ws(chr(0), package_name, package_version, source_url, array_to_string(header_path, '/'), chunk_index::VARCHAR, sha256(content))) AS chunk_id
   FROM chunks WHERE content IS NOT NULL AND header_path IS NOT NULL)""",
-    "unique_chunks": "SELECT chunk_id, min(load_seq) AS load_seq, count(*)::BIGINT AS deliveries FROM chunks GROUP BY 1",
+    "unique_chunks": "SELECT chunk_id, load_seq, page_id, chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY load_seq) AS n FROM chunks) WHERE n = 1",
+    "slugs": r"""
+SELECT topic_id, CASE WHEN display_name IS NULL THEN NULL ELSE coalesce(nullif(trim(regexp_replace(lower(regexp_replace(strip_accents(display_name), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'topic') END AS slug,
+       replace(lower(qualified_name), 'ß', 'ss') AS name_key FROM topics""",
     "framework_counts": """
 SELECT CASE WHEN html IS NULL THEN NULL WHEN contains(lower(html), 'mintlify') THEN 'mintlify' WHEN contains(lower(html), 'docusaurus') THEN 'docusaurus'
             WHEN contains(lower(html), 'mkdocs') THEN 'mkdocs' WHEN contains(lower(html), 'sphinx') THEN 'sphinx' ELSE 'generic' END AS framework, count(*)::BIGINT AS pages

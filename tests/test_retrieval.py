@@ -26,9 +26,10 @@ def test_rerank_lifts_exact_names_and_scores_relevance(spark):
         [(0, "ToolRuntime class", "a", 0.81, "generic text", "u", "Tools", ["Other"]), (0, "ToolRuntime class", "b", 0.76, "text", "u", "Tools", ["ToolRuntime"])],
         "query_id long, query string, id string, similarity double, content string, source_url string, page_title string, header_path array<string>",
     )
-    ranked = search.rerank(hits, 1).collect()
+    chunks = hits.select("id", "content", "source_url", "page_title", "header_path")
+    ranked = search.rerank(hits.select("query_id", "query", "id", "similarity"), chunks, 1).collect()
     assert [(r.id, r.position) for r in ranked] == [("b", 1)]
-    found = search.rerank(hits).withColumn("content", F.lit("see create\\_agent"))
+    found = search.rerank(hits, chunks.distinct()).withColumn("content", F.lit("see create\\_agent"))
     cases = spark.createDataFrame([(0, "q", ["create_agent"]), (1, "none", ["x"])], "query_id long, query string, expected_any array<string>")
     ranks = evaluation.relevant_ranks(cases, found)
     row = evaluation.evaluate(ranks).first()
