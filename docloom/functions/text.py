@@ -139,11 +139,10 @@ def ascii_slug(column: Column) -> Column:
     return F.when(slug == "", F.lit("topic")).otherwise(slug)
 
 
-def casefold(column: Column) -> Column:
-    """Python's full case folding, for keys that must be unique in all scripts; null stays null."""
+def fold(column: Column) -> Column:
+    """Text without differences of letter case, for keys (``ß`` and ``SS`` are one); null stays null.
 
-    @F.pandas_udf(T.StringType())
-    def fold(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else v.casefold())
-
-    return fold(column)
+    Full case folding by the JVM's case mappings: lower, upper and lower again,
+    with one form of sigma.
+    """
+    return F.translate(F.lower(F.upper(F.lower(column))), "ς", "σ")

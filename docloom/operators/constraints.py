@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.text import fold
 from docloom.operators.hierarchy import build_hierarchy
 from docloom.schemas import ENUMS
 
@@ -61,15 +62,32 @@ def chunk_violations(chunks: DataFrame, content: str = "content", count: str = "
     return blank.unionByName(wrong)
 
 
+def topic_cycles(topics: DataFrame) -> DataFrame:
+    """(key, parent_key, name) of topics (qualified_name, parent_qualified_name) on a cycle of parents, names without case.
+
+    A parent with a shorter name than its child's closes no cycle, so links of
+    dotted names need one look, and trees are built only where that fails.
+    """
+    key, parent = fold(F.col("qualified_name")), fold(F.col("parent_qualified_name"))
+    links = topics.where(key.isNotNull() & parent.isNotNull()).select(key.alias("key"), parent.alias("parent_key"), F.col("qualified_name").alias("name"))
+    if links.where(F.length("parent_key") >= F.length("key")).isEmpty():
+        return links.limit(0)
+    # Digests of the names, which ``build_hierarchy`` compares as they are.
+    digests = [F.sha2(c, 256).alias(c) for c in ("key", "parent_key")]
+    numbered = links.select(F.lit(0).alias("g"), F.xxhash64("key").bitwiseAND((1 << 62) - 1).alias("node"), *digests, F.lit(0).alias("v"))
+    lost = build_hierarchy(numbered, "g", "node", "key", "parent_key", "v").where("depth = -1").select(F.col("name").alias("on"))
+    return links.join(lost, F.sha2("key", 256) == F.col("on"), "left_semi")
+
+
 def topic_violations(topics: DataFrame, group: str = "catalog_id", key: str = "topic_id") -> DataFrame:
     """What a topic catalog must hold: safe paths and slugs, own names, clean aliases, unique names and
     paths in any case, existing parents, no cycles."""
     t, k = "topics", F.col(key)
     aliases = F.coalesce(F.col("aliases"), F.array().cast("array<string>"))
-    folded = F.transform(aliases, lambda a: F.lower(F.trim(a)))
-    name, parent, group_ = F.lower("qualified_name"), F.nullif(F.trim("parent_qualified_name"), F.lit("")), F.col(group)
+    folded = F.transform(aliases, lambda a: fold(F.trim(a)))
+    name, parent, group_ = fold(F.col("qualified_name")), F.nullif(F.trim("parent_qualified_name"), F.lit("")), F.col(group)
     known = topics.select(group_.alias("pg"), name.alias("pn")).distinct()
-    orphans = topics.where(parent.isNotNull()).join(known, group_.eqNullSafe(F.col("pg")) & (F.lower(parent) == F.col("pn")), "left_anti")
+    orphans = topics.where(parent.isNotNull()).join(known, group_.eqNullSafe(F.col("pg")) & (fold(parent) == F.col("pn")), "left_anti")
     cyclic = build_hierarchy(topics, group, key).where("root_id = -1")
     parts = [
         check(topics, t, "output_path_safe", safe_path(F.col("output_path")), k),
@@ -81,7 +99,7 @@ def topic_violations(topics: DataFrame, group: str = "catalog_id", key: str = "t
         enum(topics, t, "kind", k),
         enum(topics, t, "status", k),
         unique(topics, t, "qualified_name_unique", group_, name),
-        unique(topics, t, "output_path_unique", group_, F.lower("output_path")),
+        unique(topics, t, "output_path_unique", group_, fold(F.col("output_path"))),
         _report(orphans, t, "parent_exists", k),
         _report(cyclic, t, "parents_acyclic", F.col("node_id")),
     ]

@@ -11,12 +11,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.text import STOP_WORDS
 from docloom.operators import catalog, constraints
+from docloom.operators.embedding import embed_column
 from docloom.operators.queries_hierarchy import ORACLES as HIERARCHY
+from docloom.operators.queries_retrieval import _words
 from docloom.plans.digests import set_digest
+from docloom.plans.shared import Scratch
 
 PACKAGE = "zuvelgraph"
 _MARKERS = {"module": "Module", "class": "Class", "function": "Function", "concept": "Type", "guide": "Constant"}
@@ -37,7 +42,7 @@ def catalog_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = F.when(F.col("topic_id") % 7 == 0, "other").otherwise(PACKAGE)
     url = F.concat(F.lit("https://ref.example/python/"), home, F.lit("/c"), F.col("catalog_id").cast("string"))
     rows = topics.select(F.col("topic_id").cast("string").alias("id"), content.alias("content"), url.alias("source_url"), F.array(last).alias("header_path"))
-    return rows.withColumn("character_count", F.length("content"))
+    return rows.withColumn("character_count", F.length("content")).withColumn("page_title", F.lit("").cast("string"))
 
 
 def catalog_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +60,8 @@ def catalog_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged, _, _ = catalog.merge_topics(catalog.extract(catalog_chunks(spark, sf_dir), PACKAGE).topics, PACKAGE)
+    topics, structural, _, _ = catalog.merge_topics(catalog.extract(catalog_chunks(spark, sf_dir), PACKAGE).topics, PACKAGE)
+    merged = catalog.with_chunk_ids(topics, structural)
     return merged.select(
         "kind", "qualified_name", "display_name", "definition", "parent_qualified_name",
         F.array_join("structural_chunk_ids", ",").alias("chunk_ids"), F.array_join("aliases", ",").alias("aliases"),
@@ -63,16 +69,37 @@ def topic_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kind_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, issues, _ = catalog.merge_topics(catalog.extract(catalog_chunks(spark, sf_dir), PACKAGE).topics, PACKAGE)
+    _, _, issues, _ = catalog.merge_topics(catalog.extract(catalog_chunks(spark, sf_dir), PACKAGE).topics, PACKAGE)
     return issues.select("code", "qualified_name", "blocking")
 
 
 def module_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged, _, _ = catalog.merge_topics(catalog.extract(catalog_chunks(spark, sf_dir), PACKAGE).topics, PACKAGE)
-    derived = catalog.derive_ancestors(merged, PACKAGE)
+    topics, structural, _, _ = catalog.merge_topics(catalog.extract(catalog_chunks(spark, sf_dir), PACKAGE).topics, PACKAGE)
+    derived = catalog.with_chunk_ids(*catalog.derive_ancestors(topics, structural, PACKAGE))
     return derived.select("qualified_name", "display_name", "canonical_target", "parent_qualified_name", F.array_join("structural_chunk_ids", ",").alias("chunk_ids"))
 
 
+def curated_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics of hand-written pages, normalized: the topics' rows stand for pages of the package's root, its quick install and concept pages."""
+    topics = _t(spark, sf_dir, "topics")
+    which = F.col("topic_id") % 9
+    page = F.element_at(F.array(*[F.lit(x) for x in ("", "/", "", "/agents", "/middleware/", "/models", "/models/deep", "/tools", "/agents")]), (which + 1).cast("int"))
+    path = F.when(which == 2, F.array(F.lit("Intro"), F.lit("Quick Install"))).when(which == 8, F.array(F.lit("A"), F.lit("B"))).otherwise(F.array(F.concat(F.lit("## `T "), "slug", F.lit("`"))))
+    chunks = topics.select(
+        F.col("topic_id").cast("string").alias("id"), F.concat(F.lit("# Head\n\nAbout *"), "slug", F.lit("*.\nMore.")).alias("content"),
+        F.concat(F.lit("https://ref.example/python/"), F.when(F.col("topic_id") % 5 == 0, "zuvel").otherwise(PACKAGE), page).alias("source_url"), path.alias("header_path"),
+    )
+    merged, structural, _, _ = catalog.merge_topics(catalog.extract(chunks, PACKAGE).topics, PACKAGE)
+    counted = structural.groupBy("key", "kind").agg(F.count(F.lit(1)).alias("chunks"), F.min_by("chunk_id", "place").alias("first_chunk"))
+    return merged.join(counted, ["key", "kind"]).select("kind", "qualified_name", "canonical_target", "definition", "chunks", "first_chunk")
+
+
+def proposal_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps all topics' rows, taken as one catalog, from being a proposal."""
+    found = catalog.proposal_issues(_t(spark, sf_dir, "topics"))
+    return found.groupBy("code").agg(F.count(F.lit(1)).alias("issues"))
+
+
 def _catalog(spark: SparkSession, sf_dir: str) -> catalog.Catalog:
     return catalog.build_catalog(catalog_chunks(spark, sf_dir), PACKAGE)
 
@@ -85,6 +112,24 @@ def catalog_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _catalog(spark, sf_dir).evidence.select("qualified_name", "kind", "chunk_id", "role", F.col("rank").cast("int").alias("rank"))
 
 
+class LetterEmbedder:
+    """Texts as counts of the letters a to z, an embedding that SQL can express, too."""
+
+    dimension = 26
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        lower = [t.lower() for t in texts]
+        return np.array([[t.count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in lower], dtype=np.float32).reshape(len(texts), 26)
+
+
+def semantic_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence with what one search a topic finds behind its structural chunks, by letter counts."""
+    chunks = Scratch(spark, "semantic").write(catalog_chunks(spark, sf_dir), "chunks")
+    vectors = chunks.select(F.col("id").alias("chunk_id"), F.lit(1).alias("embedding_version_id"), embed_column(LetterEmbedder())("content").alias("embedding"))
+    built = catalog.build_catalog(chunks, PACKAGE, semantic=catalog.Semantic(vectors, 1, LetterEmbedder()))
+    return built.evidence.select("qualified_name", "kind", "chunk_id", "role", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
+
+
 def catalog_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _catalog(spark, sf_dir).issues.groupBy("code", "blocking").agg(F.count(F.lit(1)).alias("issues"))
 
@@ -131,7 +176,7 @@ def snapshot_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        catalog_extraction, catalog_deferred, catalog_exclusions, topic_merge, kind_conflicts, module_ancestors, catalog_topics, catalog_evidence, catalog_issues,
+        catalog_extraction, catalog_deferred, catalog_exclusions, topic_merge, kind_conflicts, module_ancestors, curated_topics, proposal_problems, catalog_topics, catalog_evidence, semantic_evidence, catalog_issues,
         catalog_coverage, topic_violations, chunk_violations, key_violations, snapshot_digests,
     )
 }
@@ -190,6 +235,8 @@ ev AS (
 per AS (SELECT f.qualified_name, f.kind, count(e.chunk_id) AS n, min(e.chars) AS shortest FROM fin f LEFT JOIN ev e USING (qualified_name, kind) GROUP BY ALL),
 coll AS (SELECT count(*) - count(DISTINCT lower(output_path)) AS n FROM fin)"""
 
+_LETTERS = "list_transform(range(97, 123), lambda x: (length(lower({0})) - length(replace(lower({0}), chr(x::INT), '')))::DOUBLE)"
+
 ORACLES = {
     "catalog_extraction": _SRC + "\nSELECT kind, nm AS qualified_name, display AS display_name, target AS canonical_target, definition, id AS source_chunk_id FROM ref WHERE fate = 'topic'",
     "catalog_deferred": _SRC
@@ -207,6 +254,38 @@ SELECT name AS qualified_name, string_split(name, '.')[-1] AS display_name, '/py
     "catalog_topics": _SRC
     + "\nSELECT kind, qualified_name, slug, output_path, derived, row_number() OVER (ORDER BY o, lower(display_name), lower(qualified_name), qualified_name) - 1 AS sort_order FROM fin",
     "catalog_evidence": _SRC + "\nSELECT qualified_name, kind, chunk_id, CASE WHEN rank = 1 THEN 'primary' ELSE 'supporting' END AS role, rank FROM ev",
+    "semantic_evidence": _SRC
+    + f"""
+, chk AS (SELECT *, parts[-1] || ' - ' || summary || ' ](/python/' || replace(nm, '.', '/') || ')[' || marker || ']' AS content FROM ref),
+cv AS (SELECT id, url, eligible, {_LETTERS.format("content")} AS v, string_split({_words("parts[-1]")}, ' ') AS h, {_words("parts[-1]")} AS hs, string_split({_words("content")}, ' ') AS c, {_words("content")} AS cs,
+         string_split({_words("url")}, ' ') AS u FROM chk),
+fq AS (SELECT f.qualified_name, f.kind, f.qualified_name || ' ' || f.display_name || ' ' || f.kind || coalesce(' ' || t.definition, '') AS q FROM fin f LEFT JOIN top t ON t.kind = f.kind AND t.qualified_name = f.qualified_name),
+qv AS (SELECT *, {_LETTERS.format("q")} AS v, list_filter(string_split({_words("q")}, ' '), lambda t: length(t) > 1 AND t NOT IN ({", ".join(f"'{w}'" for w in STOP_WORDS)})) AS terms FROM fq),
+sim AS (SELECT q.qualified_name, q.kind, q.terms, c.*, least(1.0, round(list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))), 12)) AS s FROM qv q, cv c),
+near AS (SELECT *, row_number() OVER (PARTITION BY qualified_name, kind ORDER BY s DESC, id) AS r FROM sim QUALIFY r <= 128),
+lex AS (SELECT *, CASE WHEN len(terms) = 0 THEN 0 ELSE least(1.0::DOUBLE, list_sum(list_transform(terms, lambda t: CASE WHEN list_contains(h, t) THEN 1.0::DOUBLE WHEN list_contains(c, t) THEN 0.55::DOUBLE WHEN list_contains(u, t) THEN 0.35::DOUBLE ELSE 0::DOUBLE END)) / len(terms)
+   + CASE WHEN len(terms) < 2 THEN 0 WHEN contains(hs, array_to_string(terms, ' ')) THEN 0.25::DOUBLE WHEN contains(cs, array_to_string(terms, ' ')) THEN 0.15::DOUBLE ELSE 0 END) END AS l FROM near),
+hit AS (SELECT *, 0.85::DOUBLE * s + 0.15::DOUBLE * l AS score, row_number() OVER (PARTITION BY qualified_name, kind ORDER BY 0.85::DOUBLE * s + 0.15::DOUBLE * l DESC, s DESC, id) AS pos FROM lex QUALIFY pos <= 16),
+two AS (SELECT qualified_name, kind, chunk_id, 0 AS o, rank AS pl, NULL::DOUBLE AS score FROM ev
+  UNION ALL SELECT qualified_name, kind, id, 1, pos, score FROM hit h WHERE eligible AND NOT EXISTS (SELECT 1 FROM ev e WHERE e.qualified_name = h.qualified_name AND e.kind = h.kind AND e.chunk_id = h.id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qualified_name, kind ORDER BY o, pl)::INT AS rank FROM two)
+SELECT qualified_name, kind, chunk_id, CASE WHEN rank = 1 AND o = 0 THEN 'primary' ELSE 'supporting' END AS role, rank, CASE WHEN score IS NOT NULL THEN round(greatest(-1.0, least(1.0, score)), 6) END AS score FROM ranked WHERE rank <= 8""",
+    "curated_topics": r"""
+WITH c AS (SELECT topic_id::VARCHAR AS id, topic_id % 9 AS w, slug, 'https://ref.example/python/zuvelgraph' || ['', '/', '', '/agents', '/middleware/', '/models', '/models/deep', '/tools', '/agents'][(topic_id % 9 + 1)::INT] AS url FROM topics WHERE topic_id % 5 <> 0),
+k AS (SELECT *, CASE WHEN w IN (0, 1, 2) THEN 'guide' ELSE 'concept' END AS kind, CASE w WHEN 0 THEN 'guides.overview' WHEN 1 THEN 'guides.overview' WHEN 2 THEN 'guides.quick_install' WHEN 3 THEN 'concepts.agents' WHEN 4 THEN 'concepts.middleware' WHEN 5 THEN 'concepts.models' END AS name,
+        '/python/zuvelgraph' || CASE w WHEN 2 THEN '#quick-install' WHEN 3 THEN '/agents' WHEN 4 THEN '/middleware' WHEN 5 THEN '/models' ELSE '' END AS target, 'About ' || slug || '.' AS definition FROM c WHERE w <= 5 AND (slug IS NOT NULL OR w = 2)),
+o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY length(coalesce(definition, '')) DESC, url, id) AS n FROM k)
+SELECT kind, 'zuvelgraph.' || name AS qualified_name, max(target) AS canonical_target, max(definition) FILTER (WHERE n = 1) AS definition, count(*)::BIGINT AS chunks, max(id) FILTER (WHERE n = 1) AS first_chunk FROM o GROUP BY 1, 2""",
+    "proposal_problems": r"""
+WITH RECURSIVE t AS (SELECT lower(qualified_name) AS k, lower(parent_qualified_name) AS p, lower(output_path) AS o FROM topics),
+e AS (SELECT k, arg_max(p, sha256(p)) AS p FROM t WHERE p IS NOT NULL AND k IS NOT NULL GROUP BY k),
+w AS (SELECT k AS origin, p AS place FROM e UNION SELECT w.origin, e.p FROM w JOIN e ON e.k = w.place),
+v AS (SELECT 'shared_name' AS code FROM t WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1
+  UNION ALL SELECT 'shared_path' FROM t WHERE o IS NOT NULL GROUP BY o HAVING count(*) > 1
+  UNION ALL SELECT 'unknown_parent' FROM t WHERE p IS NOT NULL AND p NOT IN (SELECT k FROM t WHERE k IS NOT NULL)
+  UNION ALL SELECT 'own_parent' FROM t WHERE p = k
+  UNION ALL SELECT 'parent_cycle' FROM t WHERE p <> k AND k IN (SELECT origin FROM w WHERE origin = place))
+SELECT code, count(*)::BIGINT AS issues FROM v GROUP BY 1""",
     "catalog_issues": _SRC
     + """
 SELECT code, blocking, count(*)::BIGINT AS issues FROM (

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docloom.config import EmbeddingConfig
 from docloom.operators import chunking, embedding, evaluation, lineage, search, snapshot
+from docloom.plans.shared import Scratch
 from docloom.schemas import upgrade
 
 QUERY_TEXT = "restore the SessionCrawler registry"
@@ -76,6 +77,8 @@ def _hits(spark: SparkSession, sf_dir: str, hybrid: bool) -> DataFrame:
     chunks = _t(spark, sf_dir, "chunks").where("content is not null")
     columns = ("content", "source_url", "page_title", "header_path")
     first = chunks.groupBy("chunk_id").agg(F.min_by(F.struct(*columns), "load_seq").alias("c")).select(F.col("chunk_id").alias("id"), "c.*")
+    # Read for each version by the search, the rerank and the hits' texts.
+    first = Scratch(spark, "search").write(first, "chunks")
 
     def run(version: int, vectors: DataFrame) -> DataFrame:
         one = vectors.groupBy("chunk_id").agg(F.min_by("embedding", "vec_id").alias("embedding"))

@@ -117,7 +117,7 @@ def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "topics").select("topic_id", text.slugify(F.col("display_name")).alias("slug"), text.casefold(F.col("qualified_name")).alias("name_key"))
+    return _t(spark, sf_dir, "topics").select("topic_id", text.slugify(F.col("display_name")).alias("slug"), text.fold(F.col("qualified_name")).alias("name_key"))
 
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

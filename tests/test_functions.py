@@ -54,7 +54,7 @@ def test_clean_markdown_equals_a_line_loop(spark):
 def test_search_text_and_slugs(spark):
     assert column(spark, ["create\\_agent ToolRuntime v2X", "Ümlaut é", None], text.search_text) == ["create agent tool runtime v2 x", "mlaut", None]
     assert column(spark, ["Foo_Bar", "Ünïcode Café", "***", None], text.slugify) == ["foo-bar", "unicode-cafe", "topic", None]
-    assert column(spark, ["Straße", None], text.casefold) == ["strasse", None]
+    assert column(spark, ["Straße", "STRASSE", "ẞ", "ΟΔΟΣ", "οδος", "ﬁ", None], text.fold) == ["strasse", "strasse", "ss", "οδοσ", "οδοσ", "fi", None]
 
 
 def test_definitions(spark):

@@ -67,7 +67,8 @@ def test_catalog_of_a_small_package(spark):
         (4, "class", "demo.agents.Mid"), (5, "function", "demo.agents.factory.make_agent"), (6, "concept", "demo.concepts.models"),
         (7, "guide", "demo.guides.overview"), (8, "guide", "demo.guides.quick_install"),
     ]
-    assert topics["demo.agents.factory.make_agent"].structural_chunk_ids == ["c1", "c2"]
+    listed = {r.qualified_name: r.structural_chunk_ids for r in catalog.with_chunk_ids(built.topics, built.structural).collect()}
+    assert listed["demo.agents.factory.make_agent"] == ["c1", "c2"] == listed["demo.agents.factory"]
     assert topics["demo.agents.factory.make_agent"].output_path == "modules/agents/factory/functions/make-agent.md"
     assert topics["demo.agents.Foo-Bar"].output_path == "modules/agents/classes/foo-bar.md"
     assert topics["demo.agents.Foo_Bar"].output_path.startswith("modules/agents/classes/foo-bar-")
@@ -84,7 +85,7 @@ def test_semantic_evidence_follows_structural(spark):
     chunks = demo_chunks(spark)
 
     def hits(topics):
-        one = topics.where("qualified_name = 'demo.agents.Mid'").select("qualified_name", "kind")
+        one = topics.where("qualified_name = 'demo.agents.Mid'").select("key", "kind")
         found = spark.createDataFrame([("c3", 1.0, 1), ("c9", 0.9, 2), ("c6", 1.0000000002, 3)], "chunk_id string, score double, position int")
         return one.join(found)
 
