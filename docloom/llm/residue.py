@@ -1,7 +1,7 @@
 """Template residue, filler, error pages and script notices.
 
 Method: positive-unlabelled naive Bayes by expectation-maximization. Passages
-that are residue beyond doubt (``TRUSTED``) are the labelled positives of four
+that are residue beyond doubt (``SEEDS``) are the labelled positives of four
 classes; all others are unlabelled. EM fits word and shape frequencies of the
 four classes and of plain content; then every passage of every document is
 scored and the record is decided from its passages:
@@ -15,8 +15,9 @@ scored and the record is decided from its passages:
 EM uses the same view of a record: unlabelled passages of records that are
 mostly content are no error pages or notices, whatever their words.
 
-The model is fitted on a bounded sample of records (``FIT_RECORDS``, the
-smallest hashes of the id), each by its whole text; every record is scored, by its whole text too.
+The model is fitted on a bounded sample of records, those of the smallest hashes
+of the id: at most ``FIT_RECORDS``, with at most ``FIT_CHARACTERS`` in all, each
+by its whole text. Every record is scored, by its whole text too.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions.markdown import code_lines
 
-FIT_RECORDS = 10_000
+#: The documented bounds of the sample: records, and characters of all their texts.
+FIT_RECORDS, FIT_CHARACTERS = 10_000, 40_000_000
 ROUNDS = 5
 MAX_CONTENT = 0.4
 #: Pseudo-words, spread as in the whole sample, that each class gets besides its own.
@@ -41,13 +44,16 @@ BACKGROUND = 200.0
 LABEL_WORDS = 9
 PLACEHOLDER, FILLER, ERROR, NOTICE, CONTENT = range(5)
 
-#: Forms in which template languages and authors write a place to be filled in.
+#: Forms in which template languages and authors write a place to be filled in, of any length. No form holds
+#: another opening mark of its own, so that a passage is read once, however many marks it opens.
 FRAME = re.compile(
-    r"\{\{.{0,60}?\}\}\}?|\{%.{0,60}?%\}|<%.{0,60}?%>|\$\{[^{}\n]{1,60}\}|\$\(\w[^()\n]{0,60}\)|#\{[^{}\n]{1,60}\}"
-    r"|%\(\w+\)[a-z]|%[A-Za-z]\w*%|(?<![\w%])%[sd](?!\w)|(?<![\w{])\{[A-Za-z0-9][\w .-]{0,40}\}(?!\})|<<[^<>\n]{1,60}>>"
-    r"|\[\[[^\[\]\n]{1,60}\]\]|@@\w+@@|__[A-Z]\w*?__|«[^«»\n]{1,40}»|\bX{2,}(?:-\w+-X{2,}|X\b)"
-    r"|</?[A-Za-z][^<>\n]{0,60}>|<\|\w+\|>|(?<!\])\[[^\[\]\n]{2,60}\](?![(\[:])"
+    r"\{\{(?:(?!\{\{|\}\}).)*\}\}\}?|\{%(?:(?!\{%|%\}).)*%\}|<%(?:(?!<%|%>).)*%>|\$\{[^{}\n]+\}|\$\(\w[^()\n]*\)|#\{[^{}\n]+\}"
+    r"|%\(\w+\)[a-z]|%[A-Za-z]\w*%|(?<![\w%])%[sd](?!\w)|(?<![\w{])\{[A-Za-z0-9][\w .-]*\}(?!\})|<<[^<>\n]+>>"
+    r"|\[\[[^\[\]\n]+\]\]|@@\w+@@|__[A-Z]\w*?__|«[^«»\n]+»|\bX{2,}(?:-\w+-X{2,}|X\b)"
+    r"|</?[A-Za-z][^<>\n]*>|<\|\w+\|>|(?<!\])\[[^\[\]\n]{2,}\](?![(\[:])"
 )
+#: A passage without any of these characters holds no frame.
+MARKS = re.compile(r"[{<$#%\[@«]|__|XX")
 CODE = re.compile(r"(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
 TAGGED_CODE = re.compile(r"<(code|pre|kbd|samp|script|style)\b[^>]*>.*?</\1\s*>", re.S | re.I)
 ENDS = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])\s*")
@@ -59,8 +65,8 @@ WORD = re.compile(r"[^\W_]+|\x00")
 WIDE = re.compile(r"[぀-ヿ㐀-鿿]{2,}")
 DIGITS = re.compile(r"\d+")
 
-#: What is residue beyond doubt, by class, as a passage in lower case.
-TRUSTED = {
+#: Seeds: what is residue beyond doubt, by class, as a passage in lower case with digits as 0. They label; they decide nothing.
+SEEDS = {
     PLACEHOLDER: re.compile(
         r"\{\{.+?\}\}|\{%.+?%\}|<%.+?%>|\$\{\w+\}|#\{\w+\}|%\(\w+\)s|\[\[\w+(:\w+)?\]\]|@@\w+@@|__replace_me__"
         r"|<<\w+>>|[\[<{](your|add|insert|inserte|tbd)\b[^\n]*?[\]>}]|xxx-\w+-xxx|\[object object\]"
@@ -136,33 +142,45 @@ def features(passage: str) -> list[str]:
     if not low.isascii():
         for run in WIDE.findall(low):
             found.extend(run[i : i + 2] for i in range(len(run) - 1))
-    found.extend("⟦" + shape(m[0]) for m in FRAME.finditer(passage))
+    if MARKS.search(passage):
+        found.extend("⟦" + shape(m[0]) for m in FRAME.finditer(passage))
     return found
 
 
-def trusted_class(passage: str) -> int | None:
+def seed_class(passage: str) -> int:
+    """The class of a passage that is residue beyond doubt, else -1."""
     low = DIGITS.sub("0", passage.lower())
-    for kind, pattern in TRUSTED.items():
-        if pattern.search(low):
-            return kind
-    return None
+    return next((kind for kind, pattern in SEEDS.items() if pattern.search(low)), -1)
+
+
+@dataclass(frozen=True)
+class Model:
+    """Log weights of each feature for the five classes, relative to the whole sample, and the classes' log priors.
+
+    ``place`` gives a feature's row in ``weights``; row 0 is that of unknown
+    features, which weigh nothing.
+    """
+
+    place: dict[str, int]
+    weights: np.ndarray
+    prior: np.ndarray
 
 
-def fit(records: list[list[tuple[str, bool]]], rounds: int = ROUNDS) -> dict[str, list[float]]:
-    """Log weights of each feature for the five classes, by EM over a sample of records.
+def fit(records: list[list[tuple]], rounds: int = ROUNDS) -> Model:
+    """The model of a sample of records, by EM.
 
-    A record is the list of its (sentence, label) pairs. Key '' holds the log
-    priors, and a word's weights are relative to the whole sample, so unknown
-    words weigh nothing. Without any sentence everything is content.
+    A record is the list of its (sentence, label) pairs, or of triples with the
+    seed class that is known already (-1 for none). Without any sentence
+    everything is content.
     """
     bags, label, owner, plain = [], [], [], []
     for i, record in enumerate(records):
-        for passage, is_label in record:
+        for passage, is_label, *known in record:
             bag = features(passage)
             if bag:
-                kind = trusted_class(passage)
+                kind = known[0] if known else seed_class(passage)
                 bags.append(bag)
-                label.append(-1 if kind is None else kind)
+                label.append(kind)
                 owner.append(i)
                 plain.append(not is_label)
     vocabulary = {w: i for i, w in enumerate(sorted({w for bag in bags for w in bag}))}
@@ -192,27 +210,27 @@ def fit(records: list[list[tuple[str, bool]]], rounds: int = ROUNDS) -> dict[str
         among = free & (content > bad)[owner]
         post[among, CONTENT] += post[among, ERROR] + post[among, NOTICE]
         post[among, ERROR] = post[among, NOTICE] = 0.0
-    model = {w: logs[i].tolist() for w, i in vocabulary.items()}
-    model[""] = prior.tolist()
-    return model
-
-
-def class_of(passage: str, model: dict[str, list[float]]) -> tuple[int, int]:
-    """(class, number of words) of a passage; content if nothing speaks for another class."""
-    bag = features(passage)
-    a, b, c, d, e = model[""]
-    for word in bag:
-        w = model.get(word)
-        if w is not None:
-            a += w[0]
-            b += w[1]
-            c += w[2]
-            d += w[3]
-            e += w[4]
-    best = max(a, b, c, d)
-    if e >= best:
-        return CONTENT, len(bag)
-    return (a, b, c, d).index(best), len(bag)
+    return Model({w: i + 1 for w, i in vocabulary.items()}, np.concatenate([np.zeros((1, 5)), logs]).astype(np.float32), prior)
+
+
+def classes(passages: list[str], model: Model) -> tuple[list[int], list[int]]:
+    """(class, number of features) of each passage; content if nothing speaks for another class.
+
+    All passages are scored at once, as the product of the passages' features with the weights.
+    """
+    if not passages:
+        return [], []
+    known, ids, sizes = model.place.get, [], []
+    for passage in passages:
+        found = features(passage)
+        sizes.append(len(found))
+        ids.extend([known(w, 0) for w in found])
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    sums = np.concatenate((np.zeros((1, 5)), np.cumsum(model.weights[np.array(ids, dtype=np.int64)], axis=0, dtype=np.float64)))
+    scores = sums[ends[1:]] - sums[ends[:-1]] + model.prior
+    best = scores[:, :CONTENT].argmax(axis=1)
+    best[scores[:, CONTENT] >= scores[:, :CONTENT].max(axis=1) - 1e-9] = CONTENT
+    return best.tolist(), sizes
 
 
 def is_placeholder(passage: str) -> bool:
@@ -220,13 +238,14 @@ def is_placeholder(passage: str) -> bool:
     return any(not MARKERS.fullmatch(m[0]) for m in FRAME.finditer(passage))
 
 
-def decide(text: str, model: dict[str, list[float]]) -> int | None:
-    """The class of a record, or None if it is real content; null, empty and blank texts are None."""
-    words = [0] * 5
-    for paragraph in paragraphs(text):
+def verdict(record: list[list[tuple[str, bool]]], kinds: list[int], sizes: list[int]) -> int | None:
+    """The class of a record from the classes and sizes of its passages, or None if it is real content."""
+    words, at = [0] * 5, 0
+    for paragraph in record:
         filler = size = 0
         for passage, label in paragraph:
-            kind, n = class_of(passage, model)
+            kind, n = kinds[at], sizes[at]
+            at += 1
             if kind == PLACEHOLDER:
                 if is_placeholder(passage):
                     return kind
@@ -244,24 +263,46 @@ def decide(text: str, model: dict[str, list[float]]) -> int | None:
     return None
 
 
-def fitted(records: DataFrame, id_col: str, text_col: str, bound: int = FIT_RECORDS) -> dict[str, list[float]]:
-    """The model from at most ``bound`` records with text, those of the smallest id hashes."""
-    usable = records.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    # The bound-th smallest hash, from hashes alone; then one filter on the texts, without a sort or shuffle of them.
-    hashes = usable.select(F.xxhash64(id_col).alias("h")).orderBy("h").limit(bound)
-    last = hashes.agg(F.max("h").alias("h")).first()["h"]
+def decide(texts: list[str], model: Model) -> list[int | None]:
+    """The class of each text, or None if it is real content; empty and blank texts are None."""
+    records = [paragraphs(t) for t in texts]
+    kinds, sizes = classes([p for r in records for paragraph in r for p, _ in paragraph], model)
+    out, at = [], 0
+    for record in records:
+        n = sum(map(len, record))
+        out.append(verdict(record, kinds[at : at + n], sizes[at : at + n]))
+        at += n
+    return out
+
+
+def fitted(records: DataFrame, id_col: str, text_col: str, bound: int = FIT_RECORDS, characters: int = FIT_CHARACTERS) -> Model:
+    """The model from a sample of records with text, those of the smallest id hashes.
+
+    The sample ends before it has more than ``bound`` records or ``characters``
+    characters; a record longer than all of ``characters`` is passed over.
+    """
+    usable = records.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) <= characters))
+    # Hashes and lengths alone choose the sample; then one filter on the texts, without a sort or shuffle of them.
+    first = usable.select(F.xxhash64(id_col).alias("h"), F.length(text_col).alias("n")).orderBy("h", "n").limit(bound).collect()
+    whole = np.searchsorted(np.cumsum([r["n"] for r in first]), characters, side="right")
+    last = first[whole - 1]["h"] if whole else None
     chosen = usable.where(F.xxhash64(id_col) <= F.lit(last)).select(F.col(text_col).alias("t"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [[x for paragraph in paragraphs(t) for x in paragraph] for t in batch.column(0).to_pylist()]
-            texts = pa.array([[p for p, _ in r] for r in rows], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([texts, pa.array([[x for _, x in r] for r in rows], pa.list_(pa.bool_()))], ["p", "l"])
+            texts, labels = ([[x[i] for x in r] for r in rows] for i in (0, 1))
+            seeds = [[seed_class(p) for p in r] for r in texts]
+            kinds = (pa.string(), pa.bool_(), pa.int8())
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.list_(k)) for v, k in zip((texts, labels, seeds), kinds, strict=True)], ["p", "l", "k"])
 
-    found = chosen.mapInArrow(split, "p array<string>, l array<boolean>").collect()
-    return fit([list(zip(r["p"], r["l"], strict=True)) for r in found])
+    # Rows with the last id hash are few more than counted only where an id is repeated.
+    found = chosen.mapInArrow(split, "p array<string>, l array<boolean>, k array<tinyint>").collect()
+    return fit([list(zip(r["p"], r["l"], r["k"], strict=True)) for r in found])
 
 
+#: Records whose passages are scored at once.
+BATCH = 128
 NAMES = {PLACEHOLDER: "placeholder", FILLER: "filler", ERROR: "error_page", NOTICE: "script_notice"}
 
 
@@ -274,15 +315,12 @@ def residue(records: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     model = records.sparkSession.sparkContext.broadcast(fitted(records, id_col, text_col))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = model.value
         for batch in batches:
-            ids, kinds = [], []
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                kind = decide(text, weights)
-                if kind is not None:
-                    ids.append(id_)
-                    kinds.append(NAMES[kind])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string())], ["id", "residue"])
+            for start in range(0, batch.num_rows, BATCH):
+                part = batch.slice(start, BATCH)
+                kinds = decide(part.column(1).to_pylist(), model.value)
+                hits = [(i, NAMES[k]) for i, k in zip(part.column(0).to_pylist(), kinds, strict=True) if k is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in hits], pa.int64()), pa.array([k for _, k in hits], pa.string())], ["id", "residue"])
 
     slim = records.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     return slim.where("id is not null and text is not null").mapInArrow(score, "id bigint, residue string")
@@ -296,8 +334,23 @@ def p9_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus without the records found."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = residue(documents).select(F.col("id").alias("doc_id")).distinct()
-    return documents.select("doc_id", "source", "lang", "n_chars").join(found, "doc_id", "left_anti")
+    return documents.select("doc_id", "source", "lang", "text").join(found, "doc_id", "left_anti")
+
+
+def p9_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records the operator finds, how many of them hold a seed passage, and how many records with one it keeps."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = residue(documents).select(F.col("id").alias("found_id"), "residue").distinct()
+
+    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [any(seed_class(p) >= 0 for paragraph in paragraphs(t) for p, _ in paragraph) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.bool_())], ["doc_id", "seeded"])
+
+    marked = documents.where("text is not null").select("doc_id", "text").mapInArrow(seeded, "doc_id bigint, seeded boolean")
+    joined = marked.join(found, F.col("doc_id") == F.col("found_id"), "left")
+    return joined.groupBy(F.coalesce("residue", F.lit("content")).alias("decision"), "seeded").agg(F.count(F.lit(1)).alias("records"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_corpus": p9_corpus}
+QUERIES = {"p9_found": p9_found, "p9_corpus": p9_corpus, "p9_seeds": p9_seeds}
 ORACLES: dict[str, str] = {}

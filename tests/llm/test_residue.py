@@ -49,5 +49,33 @@ def test_fit_reads_whole_records(spark, monkeypatch):
     long = " ".join(f"This is sentence number {i} of a very long record." for i in range(2500)) + "\n\n" + "word " * 1000 + "end."
     monkeypatch.setattr(r, "fit", lambda rows: rows)
     rows = r.fitted(spark.createDataFrame([(1, long)], "doc_id long, text string"), "doc_id", "text")
-    assert rows == [[x for paragraph in r.paragraphs(long) for x in paragraph]]
-    assert len(rows[0]) > 2000 and max(len(p) for p, _ in rows[0]) > 2000
+    assert [[(p, x) for p, x, _ in row] for row in rows] == [[x for paragraph in r.paragraphs(long) for x in paragraph]]
+    assert len(rows[0]) > 2000 and max(len(p) for p, _, _ in rows[0]) > 2000
+
+
+def test_the_sample_ends_at_its_bounds(spark, monkeypatch):
+    monkeypatch.setattr(r, "fit", lambda rows: rows)
+    df = spark.createDataFrame([(i, "One word. " * (50_000 if i == 3 else 10)) for i in range(40)], "doc_id long, text string")
+    assert len(r.fitted(df, "doc_id", "text")) == 40
+    assert len(r.fitted(df, "doc_id", "text", bound=7)) == 7
+    assert len(r.fitted(df, "doc_id", "text", characters=1000)) == 10
+    assert r.fitted(df, "doc_id", "text", characters=10) == []
+
+
+def test_placeholders_of_any_length():
+    name = "a" * 84
+    long = [f"{{{{ {name} }}}}", "[Insert the name of the product owner and of everybody else who has a say in this matter here]", f"<<{'owner_' * 20}>>", f"${{{name}}}", f"{{% {name} %}}", f"«{name}»"]
+    assert all(r.is_placeholder(f"Set {p} first.") for p in long)
+    filled = [f"The default is kept by the owner. Set {p} before the router of shard {i} is closed." for i in range(5) for p in long]
+    good = ["The default is kept by the owner. Set the queue before the router is closed."] * 60
+    model = r.fit([[x for paragraph in r.paragraphs(t) for x in paragraph] for t in good + filled])
+    assert [k is not None for k in r.decide(good + filled, model)] == [False] * 60 + [True] * 30
+
+
+def test_frames_are_found_in_one_pass():
+    import time
+
+    for marks in ("{{", "<%", "{%", "[[", "«", "<<", "${", "%(", "$(a", "[a"):
+        began = time.time()
+        assert not r.is_placeholder(marks * 50_000)
+        assert time.time() - began < 5
