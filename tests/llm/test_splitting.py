@@ -1,7 +1,11 @@
+from pathlib import Path
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docloom.llm import splitting as s
+from docloom.llm.tokens import VOCABULARY, tokenizer
 
 
 @settings(max_examples=200, deadline=None)
@@ -47,6 +51,33 @@ def test_sections_and_contents(spark):
     got = s.oversized(df, "page_id", "markdown").collect()
     assert {(r.item_id, r.section_no, tuple(r.header_path)) for r in got} == {(1, 1, ("A",)), (1, 2, ("A", "B")), (5, 0, ())}
     assert all(len(r.content) <= 4000 for r in got)
-    whole = s.oversized(df.withColumn("header_path", df.header_path), "page_id", "markdown", "header_path", with_pieces=False).collect()
-    assert {(r.item_id, r.section_no, r.piece_no) for r in whole} == {(1, 0, 0), (5, 0, 0)}
+    whole = s.oversized(df.withColumn("header_path", df.header_path), "page_id", "markdown", "header_path").where("piece_no = 0").collect()
+    assert {(r.item_id, r.section_no) for r in whole} == {(1, 0), (5, 0)}
     assert s.oversized(spark.createDataFrame([], schema), "page_id", "markdown").count() == 0
+
+
+def test_boundaries_outside_code_come_first():
+    text = "Some text. More\n\n```\n" + "x = 1\n" * 12 + "```\nafter it"
+    ends = s.boundaries(text)
+    code = (text.index("```") + 4, text.rindex("```") + 3)
+    assert all(not code[0] <= e <= code[1] - 3 for kind in ends[:4] for e in kind.tolist())
+    assert text.rindex("```") + 4 in ends[1].tolist() and len(ends[4]) == 13
+    # The blank line before the code is early in the window, but the code's lines are weaker.
+    assert s.cut(text, 60, 3)[0] == (0, text.index("```"))or s.cut(text, 60, 3)[0][1] in ends[4].tolist()
+    assert s.cut("a b\n\n```\n" + "long line\n" * 20 + "```", 50, 3)[0][1] in s.boundaries("a b\n\n```\n" + "long line\n" * 20 + "```")[4].tolist()
+
+
+@pytest.mark.skipif(not Path(VOCABULARY).exists(), reason="no vocabulary here")
+def test_pieces_in_tokens(spark):
+    texts = ["Words of a sentence, with numbers 12345 and names_like_this. " * 200, "日本語の文章です。" * 300, "x" * 5000, "short", None, "", "emoji 🎉👩‍👩‍👧 " * 300]
+    df = spark.createDataFrame([(i, t, ["h"]) for i, t in enumerate(texts)], "id long, t string, h array<string>")
+    encode = tokenizer(VOCABULARY).encode_ordinary
+    pieces = {}
+    for r in s.oversized(df, "id", "t", "h", limit=120, overlap=10, vocabulary=VOCABULARY).collect():
+        pieces.setdefault(r.item_id, []).append((r.start, r.end, r.content))
+    assert set(pieces) == {i for i, t in enumerate(texts) if t and len(encode(t.strip())) > 120}
+    for i, rows in pieces.items():
+        rows.sort()
+        assert rows[0][0] == 0 and rows[-1][1] == len(texts[i].strip()) and max(len(encode(c)) for _, _, c in rows) <= 120
+        assert all(b[0] < a[1] for a, b in zip(rows, rows[1:], strict=False))
+        assert sum(s.token_sizes(texts[i], VOCABULARY)) == len(encode(texts[i]))
