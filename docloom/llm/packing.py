@@ -3,7 +3,10 @@
 Method: optimal length buckets. A global histogram of item sizes (at most
 ``capacity`` numbers, whatever the number of items) goes to the driver, where
 dynamic programming chooses the bucket boundaries that minimise padding, which
-is what is lost if each item counts as its bucket's upper bound. Token-budget
+is what is lost if each item counts as its bucket's upper bound. Padding of a
+bucket follows from prefix sums, and the best start of a bucket never moves back
+as its end moves on, so each round halves its way through ranges that add up to
+the number of sizes: buckets x sizes x log(sizes) steps, and no matrix. Token-budget
 batches then form inside each bucket, the largest bucket first: a batch takes as
 many items of the bucket as its budget of ``capacity`` allows.
 
@@ -30,8 +33,38 @@ from docloom.plans.ranks import prefix_sums, ranks
 from docloom.plans.shared import Scratch
 
 CAPACITY, BUCKETS = 2048, 512
-#: The dynamic programming takes so many columns at once, with no more rows above them than it needs.
-COLUMNS = 256
+
+
+def _round(best: np.ndarray, items: np.ndarray, mass: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each end j the least best[i] + padding(i, j) over starts i < j, and the first i that gives it.
+
+    Ends are taken in the order of a binary tree: the starts of one level's ends
+    lie between those already found for the ends beside them.
+    """
+    n = len(best)
+    least, start = np.full(n, np.inf), np.zeros(n, dtype=np.int32)
+    least[0] = 0.0
+    step = 1 << max(0, (n - 1).bit_length() - 1)
+    known = np.zeros(n, dtype=bool)
+    while step:
+        ends = np.arange(step, n, step)
+        ends = ends[~known[ends]]
+        before, behind = ends - step, ends + step
+        low = np.where(known[before], start[before], 0)
+        inside = behind < n
+        high = ends - 1
+        high[inside] = np.where(known[behind[inside]], np.minimum(start[behind[inside]], high[inside]), high[inside])
+        width = high - low + 1
+        first = np.concatenate(([0], np.cumsum(width)[:-1]))
+        i = np.repeat(low - first, width) + np.arange(width.sum())
+        j = np.repeat(ends, width)
+        value = best[i] + upper[j] * (items[j] - items[i]) - (mass[j] - mass[i])
+        least[ends] = np.minimum.reduceat(value, first)
+        hits = np.flatnonzero(value == np.repeat(least[ends], width))
+        start[ends] = i[hits[np.searchsorted(hits, first)]]
+        known[ends] = True
+        step >>= 1
+    return least, start
 
 
 def bucket_bounds(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
@@ -42,30 +75,16 @@ def bucket_bounds(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int
     counts = np.array([histogram[s] for s in sizes.tolist()], dtype=np.float64)
     items = np.concatenate(([0.0], np.cumsum(counts)))
     mass = np.concatenate(([0.0], np.cumsum(counts * sizes)))
-    # cost[i, j]: padding of one bucket that holds the sizes i..j-1.
     upper = np.concatenate(([0.0], sizes.astype(np.float64)))
-    cost = upper[None, :] * (items[None, :] - items[:, None]) - (mass[None, :] - mass[:, None])
-    cost[np.tril_indices(len(items))] = np.inf
-    best, choice = cost[0].copy(), []
-    best[0] = 0.0
+    best = upper * items - mass
+    starts = []
     for _ in range(buckets - 1):
-        least, previous = best.copy(), np.zeros(len(best), dtype=np.int32)
-        for start in range(0, len(best), COLUMNS):
-            end = min(start + COLUMNS, len(best))
-            total = best[:end, None] + cost[:end, start:end]
-            previous[start:end] = total.argmin(axis=0)
-            least[start:end] = total[previous[start:end], np.arange(end - start)]
-        choice.append(previous)
-        best = least
-        best[0] = 0.0
+        best, start = _round(best, items, mass, upper)
+        starts.append(start)
     at, bounds = len(sizes), []
-    for previous in reversed(choice):
-        bounds.append(int(sizes[at - 1]))
-        at = int(previous[at])
-        if at == 0:
-            break
-    if at:
+    while at:
         bounds.append(int(sizes[at - 1]))
+        at = int(starts.pop()[at]) if starts else 0
     return sorted(bounds)
 
 
@@ -122,6 +141,24 @@ def _planned(items: DataFrame, capacity: int, buckets: int) -> tuple[list[int],
     return bounds, counts, container_plan(bounds, counts, capacity)
 
 
+def padding(sizes: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, upper_bound, items, tokens, padding) of the buckets that the dynamic programming chooses for items (doc_id, n)."""
+    scratch = Scratch(sizes.sparkSession, "packing")
+    items = scratch.write(_with_pieces(sizes, capacity), "items")
+    histogram = {r["rest"]: r["n"] for r in items.where("rest > 0").groupBy("rest").agg(F.count(F.lit(1)).alias("n")).collect()}
+    scratch.keep()
+    rows, at = [], 0
+    known = sorted(histogram)
+    for number, bound in enumerate(bucket_bounds(histogram, buckets)):
+        own = []
+        while at < len(known) and known[at] <= bound:
+            own.append(known[at])
+            at += 1
+        number_of, mass = sum(histogram[s] for s in own), sum(s * histogram[s] for s in own)
+        rows.append((number, bound, number_of, mass, bound * number_of - mass))
+    return sizes.sparkSession.createDataFrame(rows, "bucket int, upper_bound int, items bigint, tokens bigint, padding bigint")
+
+
 def pack(sizes: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
     """(container_id, doc_id, piece_no, token_start, token_end) of items (doc_id, n).
 
@@ -170,7 +207,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) ->
         (F.col("piece") * capacity).alias("token_start"),
         ((F.col("piece") + 1) * capacity).alias("token_end"),
     )
-    return rests.unionByName(split)
+    return scratch.result(rests.unionByName(split))
 
 
 def token_counts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -183,13 +220,20 @@ def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The buckets that the dynamic programming chose: upper bound, items, tokens of padding."""
-    sizes = token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    items = Scratch(spark, "packing").write(_with_pieces(sizes, CAPACITY), "items")
-    bounds, counts, _ = _planned(items, CAPACITY, BUCKETS)
-    schema = "bucket int, upper_bound int, items bigint"
-    return spark.createDataFrame([(i, b, n) for i, (b, n) in enumerate(zip(bounds, counts, strict=True))], schema)
+    """The buckets that the dynamic programming chose: upper bound, items, their tokens, tokens of padding."""
+    return padding(token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def p8_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the packing: no container overfull, no gap in their numbers, no document split without need, none lost."""
+    packed = p8_pack(spark, sf_dir)
+    by_container = packed.groupBy("container_id").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("used"))
+    by_container = by_container.agg(F.count_if(F.col("used") > CAPACITY).alias("overfull"), (F.coalesce(F.max("container_id") + 1, F.lit(0)) - F.count(F.lit(1))).alias("gaps"))
+    by_document = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.max("token_end").alias("n"), F.sum(F.col("token_end") - F.col("token_start")).alias("placed"))
+    needless = (F.col("pieces") > F.ceil(F.col("n") / CAPACITY)) | (F.col("placed") != F.col("n"))
+    by_document = by_document.agg(F.count(F.lit(1)).alias("documents"), F.count_if(needless).alias("split_or_cut"))
+    return by_container.join(by_document)
 
 
-QUERIES = {"p8_pack": p8_pack, "p8_buckets": p8_buckets}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p8_pack": p8_pack, "p8_buckets": p8_buckets, "p8_properties": p8_properties}
+ORACLES = {"p8_properties": "SELECT 0::BIGINT AS overfull, 0::BIGINT AS gaps, 0::BIGINT AS split_or_cut, count(*)::BIGINT AS documents FROM documents WHERE text <> ''"}

@@ -90,3 +90,25 @@ def test_bounds_are_optimal():
     best = min(padding([*c, sizes[-1]]) for k in range(3) for c in combinations(sizes[:-1], k))
     assert padding(packing.bucket_bounds(histogram, 3)) == best
     assert packing.bucket_bounds({}, 3) == []
+
+
+def test_bounds_of_many_sizes_are_optimal_and_quick():
+    import time
+
+    rng = random.Random(8)
+    for n, buckets in ((1, 1), (2, 1), (7, 3), (40, 5), (41, 40), (65, 9)):
+        histogram = {s: rng.randrange(1, 50) for s in rng.sample(range(1, 400), n)}
+        sizes = sorted(histogram)
+
+        def cost(i, j, sizes=sizes, histogram=histogram):
+            return sum(histogram[s] * (sizes[j - 1] - s) for s in sizes[i:j])
+
+        best = [0.0] + [cost(0, j) for j in range(1, n + 1)]
+        for _ in range(buckets - 1):
+            best = [0.0] + [min(best[i] + cost(i, j) for i in range(j)) for j in range(1, n + 1)]
+        bounds = packing.bucket_bounds(histogram, buckets)
+        assert len(bounds) <= buckets
+        assert sum(c * (min(b for b in bounds if b >= s) - s) for s, c in histogram.items()) == best[n]
+    began = time.time()
+    packing.bucket_bounds({s: rng.randrange(1, 1000) for s in range(1, 8193)}, 512)
+    assert time.time() - began < 15
