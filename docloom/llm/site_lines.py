@@ -5,11 +5,12 @@ the bitmaps of a line's variants (same letters, other case, digits or
 punctuation) are united, exact cardinalities are held against the thresholds,
 and lines are deleted by looking documents up in the bitmaps.
 
-A document id is split as in roaring bitmaps: the upper bits name a container,
-the lower 16 bits a place in it. A container is one table row, written as the
-smallest of a sorted list of places, a list of runs, or 8 KB of bits. So no row
-grows beyond 8 KB, and a line that stands on a third of all pages is spread
-over as many rows as it has containers.
+A site's documents are numbered without gaps first, whatever their ids, so a
+bitmap is as dense as its line is frequent. Bitmaps are cut into buckets of
+32,768 documents, a row of 4 KB at most each, and written compressed; a line that
+stands on a third of all pages is spread over as many rows as it has buckets.
+Building, uniting, counting and looking up are functions of the JVM; Python only
+reads the lines.
 """
 
 from __future__ import annotations
@@ -17,20 +18,20 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions.markdown import FenceState, is_heading
 from docloom.functions.urls import host
+from docloom.llm.splitting import FENCED_LINES
+from docloom.plans.ranks import ranks
 from docloom.plans.shared import Scratch
 
 NOT_LETTER = re.compile(r"[\W\d_]+")
-LOW_BITS = 16
 MIN_LETTERS, MIN_PAGES, MIN_PERCENT = 12, 5, 15
 
 
@@ -39,77 +40,10 @@ def letters(line: str) -> str:
     return NOT_LETTER.sub("", line.casefold())
 
 
-def encode_places(places: np.ndarray) -> bytes:
-    """A container of places below 65536: the smallest of list (L), runs (R) and bits (B)."""
-    values = np.unique(np.asarray(places, dtype=np.int64))
-    breaks = np.flatnonzero(np.diff(values) != 1)
-    starts = values[np.concatenate(([0], breaks + 1))] if len(values) else values
-    ends = values[np.concatenate((breaks, [len(values) - 1]))] if len(values) else values
-    if len(starts) * 4 < min(len(values) * 2, 8192):
-        return b"R" + np.stack([starts, ends], axis=1).astype("<u2").tobytes()
-    if len(values) * 2 <= 8192:
-        return b"L" + values.astype("<u2").tobytes()
-    bits = np.zeros(1 << LOW_BITS, dtype=bool)
-    bits[values] = True
-    return b"B" + np.packbits(bits, bitorder="little").tobytes()
-
-
-def decode_bits(container: bytes) -> np.ndarray:
-    """A container as 65536 booleans."""
-    bits = np.zeros(1 << LOW_BITS, dtype=bool)
-    kind, body = container[:1], container[1:]
-    if kind == b"B":
-        return np.unpackbits(np.frombuffer(body, dtype=np.uint8), bitorder="little").astype(bool)
-    values = np.frombuffer(body, dtype="<u2")
-    if kind == b"L":
-        bits[values] = True
-        return bits
-    for start, end in values.reshape(-1, 2):
-        bits[start : int(end) + 1] = True
-    return bits
-
-
-def unite(containers: list[bytes]) -> bytes:
-    """The union of containers of the same upper bits."""
-    if len(containers) == 1:
-        return bytes(containers[0])
-    bits = decode_bits(bytes(containers[0])).copy()
-    for other in containers[1:]:
-        bits |= decode_bits(bytes(other))
-    return encode_places(np.flatnonzero(bits))
-
-
-def cardinality(container: bytes) -> int:
-    """The number of places in a container."""
-    kind, body = container[:1], container[1:]
-    if kind == b"B":
-        return int(np.unpackbits(np.frombuffer(body, dtype=np.uint8)).sum())
-    values = np.frombuffer(body, dtype="<u2").astype(np.int64)
-    return len(values) if kind == b"L" else int((values[1::2] - values[::2] + 1).sum())
-
-
-@F.pandas_udf(T.BinaryType())
-def _encode(places: pd.Series) -> pd.Series:
-    return places.map(encode_places)
-
-
-@F.pandas_udf(T.StructType().add("container", T.BinaryType()).add("pages", T.LongType()))
-def _unite(variants: pd.Series) -> pd.DataFrame:
-    united = [unite(list(v)) for v in variants]
-    return pd.DataFrame({"container": united, "pages": [cardinality(u) for u in united]})
-
-
-@F.pandas_udf(T.BooleanType())
-def _contains(containers: pd.Series, places: pd.Series) -> pd.Series:
-    out, cache = [], {}
-    for container, place in zip(containers, places, strict=True):
-        bits = cache.get(container)
-        if bits is None:
-            if len(cache) > 256:
-                cache.clear()
-            bits = cache[container] = decode_bits(container)
-        out.append(bool(bits[place]))
-    return pd.Series(out, dtype=bool)
+def has_place(bitmap: Column, place: Column) -> Column:
+    """Whether a bit of a bitmap (binary, lowest bit first) is set; places count from 0."""
+    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte.cast("bigint"), place.bitwiseAND(7).cast("int")) == 1
 
 
 def _counted_lines(batches: Iterator[pa.RecordBatch], min_letters: int) -> Iterator[pa.RecordBatch]:
@@ -155,29 +89,35 @@ def line_occurrences(pages: DataFrame, id_col: str, url_col: str, text_col: str,
     )
 
 
-def repeated_lines(
-    occurrences: DataFrame, site_rows: DataFrame, min_pages: int = MIN_PAGES, min_percent: int = MIN_PERCENT
-) -> DataFrame:
-    """(site, key, container_no, container) of lines on at least ``min_pages`` pages and
-    ``min_percent`` percent of the site's rows (``site_rows``: site, rows)."""
-    # A line stands on no more pages than it has occurrences: a plain count, in the JVM,
-    # leaves only lines that can reach the thresholds, before any bitmap is built.
+def numbered_pages(occurrences: DataFrame) -> DataFrame:
+    """(site, page_id, number): the pages of each site numbered from 0 without gaps, by id."""
+    pages = occurrences.select("site", "page_id").distinct()
+    return ranks(pages, ["site"], "page_id", "number")
+
+
+def repeated_lines(occurrences: DataFrame, site_rows: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES, min_percent: int = MIN_PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(bitmaps, places): lines on at least ``min_pages`` pages and ``min_percent`` percent of the site's rows.
+
+    ``site_rows``: site, rows. ``bitmaps``: site, key, bucket, bitmap, of lines
+    that repeat. ``places``: page_id, line_no, site, key, bucket, place, of all
+    occurrences that may belong to such lines.
+    """
+    # A line stands on no more pages than it has occurrences: a plain count leaves only
+    # lines that can reach the thresholds, before any bitmap is built.
     often = occurrences.groupBy("site", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     often = often.join(site_rows, "site").where(F.col("n") * 100 >= F.col("rows") * min_percent)
-    places = occurrences.join(often.select("site", "key"), ["site", "key"], "left_semi").select(
-        "site",
-        "key",
-        "variant",
-        F.shiftright("page_id", LOW_BITS).alias("container_no"),
-        F.col("page_id").bitwiseAND((1 << LOW_BITS) - 1).cast("int").alias("place"),
+    able = scratch.write(occurrences.join(often.select("site", "key"), ["site", "key"], "left_semi"), "able")
+    number = F.col("number") + 1
+    places = able.join(numbered_pages(able), ["site", "page_id"]).select(
+        "page_id", "line_no", "site", "key", "variant", F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("place")
     )
-    variants = places.groupBy("site", "key", "variant", "container_no").agg(F.collect_set("place").alias("places"))
-    stored = variants.select("site", "key", "container_no", _encode("places").alias("bits"))
-    united = stored.groupBy("site", "key", "container_no").agg(F.collect_list("bits").alias("bits"))
-    united = united.select("site", "key", "container_no", _unite("bits").alias("u")).select("site", "key", "container_no", "u.*")
+    places = scratch.write(places, "places")
+    stored = scratch.write(places.groupBy("site", "key", "variant", "bucket").agg(F.bitmap_construct_agg("place").alias("bitmap")), "variants")
+    united = stored.groupBy("site", "key", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    united = scratch.write(united.withColumn("pages", F.bitmap_count("bitmap")), "united")
     totals = united.groupBy("site", "key").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= min_pages)
     found = totals.join(site_rows, "site").where(F.col("pages") * 100 >= F.col("rows") * min_percent)
-    return united.join(found.select("site", "key"), ["site", "key"], "left_semi").select("site", "key", "container_no", "container")
+    return united.join(found.select("site", "key"), ["site", "key"], "left_semi").select("site", "key", "bucket", "bitmap"), places
 
 
 def repeated_occurrences(
@@ -196,10 +136,9 @@ def repeated_occurrences(
     scratch = Scratch(pages.sparkSession, "site-lines")
     lines = scratch.write(line_occurrences(pages, id_col, url_col, text_col), "lines")
     rows = pages.groupBy(host(F.col(url_col)).alias("site")).agg(F.count(F.lit(1)).alias("rows")).where("site is not null")
-    found = scratch.write(repeated_lines(lines, rows, min_pages, min_percent), "found")
-    looked = lines.withColumn("container_no", F.shiftright("page_id", LOW_BITS)).join(found, ["site", "key", "container_no"])
-    place = F.col("page_id").bitwiseAND((1 << LOW_BITS) - 1).cast("int")
-    return looked.where(_contains("container", place)).select("page_id", "line_no").distinct()
+    bitmaps, places = repeated_lines(lines, rows, scratch, min_pages, min_percent)
+    looked = places.join(bitmaps, ["site", "key", "bucket"]).where(has_place(F.col("bitmap"), F.col("place")))
+    return scratch.result(looked.select("page_id", "line_no").distinct())
 
 
 @F.pandas_udf(T.StringType())
@@ -233,4 +172,22 @@ def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_clean": p4_clean}
-ORACLES: dict[str, str] = {}
+
+_FOUND = (
+    "WITH RECURSIVE "
+    + FENCED_LINES.format("SELECT page_id AS id, markdown AS text FROM clean_documents WHERE markdown IS NOT NULL")
+    + r""",
+site AS (SELECT page_id, nullif(lower(regexp_replace(regexp_replace(regexp_extract(url, '^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#\s]*)', 1), '^.*@', ''), ':\d*$', '')), '') AS site FROM clean_documents),
+size AS (SELECT site, count(*) AS rows FROM site GROUP BY 1),
+ln AS (SELECT f.id AS page_id, f.no AS line_no, s.site, regexp_replace(replace(lower(f.l), 'ß', 'ss'), '[^\p{L}]', '', 'g') AS k FROM fenced_lines f JOIN site s ON s.page_id = f.id
+       WHERE NOT f.code AND s.site IS NOT NULL AND NOT regexp_matches(f.l, '^#{1,4}[ \t]')),
+rep AS (SELECT site, k FROM ln JOIN size USING (site) WHERE length(k) >= 12 GROUP BY site, k, rows HAVING count(DISTINCT page_id) >= 5 AND count(DISTINCT page_id) * 100 >= rows * 15),
+found AS (SELECT page_id, line_no FROM ln JOIN rep USING (site, k))"""
+)
+ORACLES = {
+    "p4_found": _FOUND + "\nSELECT page_id, line_no::INT AS line_no FROM found",
+    "p4_clean": _FOUND
+    + """
+SELECT page_id, CASE WHEN markdown IS NULL THEN NULL ELSE coalesce((SELECT string_agg(l, chr(10) ORDER BY no) FROM fenced_lines f WHERE f.id = d.page_id AND NOT EXISTS (SELECT 1 FROM found x WHERE x.page_id = f.id AND x.line_no = f.no)), '') END AS markdown
+FROM clean_documents d""",
+}

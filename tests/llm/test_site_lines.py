@@ -1,8 +1,5 @@
 import random
 
-import numpy as np
-import pytest
-
 from docloom.llm import site_lines as s
 
 SCHEMA = "page_id long, url string, markdown string, site string, key string"
@@ -38,12 +35,21 @@ def test_empty_table(spark):
     assert s.repeated_occurrences(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-@pytest.mark.parametrize("size", [0, 1, 3, 4000, 5000, 65536])
-def test_containers_round_trip(size):
-    rng = random.Random(size)
-    for places in (sorted(rng.sample(range(65536), size)), list(range(size))):
-        box = s.encode_places(np.array(places, dtype=np.int64))
-        assert np.flatnonzero(s.decode_bits(box)).tolist() == places
-        assert s.cardinality(box) == len(places) and len(box) <= 8193
-    other = s.encode_places(np.array([1, 65535]))
-    assert s.cardinality(s.unite([s.encode_places(np.arange(size)), other])) == len({*range(size), 1, 65535})
+def test_ids_that_are_hashes_are_numbered_densely(spark):
+    rng = random.Random(3)
+    ids = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(40)]
+    rows = [(i, "https://a.example", f"own text of this page {'abcdefgh'[n % 8] * 9}\n\nA line that stands on all pages") for n, i in enumerate(ids)]
+    df = pages(spark, rows)
+    lines = s.line_occurrences(df, "page_id", "url", "markdown")
+    assert sorted(r.number for r in s.numbered_pages(lines).collect()) == list(range(40))
+    assert {(r.page_id, r.line_no) for r in s.repeated_occurrences(df).where("line_no = 3").collect()} == {(i, 3) for i in ids}
+
+
+def test_bitmaps_are_cut_into_buckets(spark):
+    from pyspark.sql import functions as F
+
+    have = {0, 7, 8, 32767, 32768, 70000}
+    df = spark.range(70001).select((F.col("id") + 1).alias("n"), "id")
+    bits = df.where(F.col("id").isin(*have)).groupBy(F.bitmap_bucket_number("n").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("m"))
+    looked = df.join(bits, F.bitmap_bucket_number("n") == F.col("b")).where(s.has_place(F.col("m"), F.bitmap_bit_position("n")))
+    assert {r.id for r in looked.collect()} == have
