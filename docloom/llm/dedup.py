@@ -245,7 +245,7 @@ f AS (SELECT load_seq, chunk_id, page_id, content,
         CASE WHEN is_json THEN list_transform(json_keys(CASE WHEN is_json THEN s END), lambda k: {_BARE.format("k")} || '=' || {_BARE.format("json_extract_string(s, '$.\"' || k || '\"')")})
              WHEN len(lines) > 1 AND len(list_filter(lines, lambda x: NOT regexp_matches(x, '^[^:]*[\p{{L}}\p{{N}}][^:]*:([\s\x{{200b}}\x{{feff}}]|$)'))) = 0
              THEN list_transform(lines, lambda x: {_BARE.format(r"regexp_replace(split_part(x, ':', 1), '^\s*([-*+•]|\d+[.)])\s+', '')")} || '=' || {_BARE.format("substr(x, strpos(x, ':') + 1)")}) END AS fields FROM l),
-k AS (SELECT load_seq, chunk_id, page_id, CASE WHEN len(fields) > 0 THEN 'F' || array_to_string(list_sort(list_filter(fields, lambda x: x <> '=')), chr(10)) ELSE {_BARE.format("content")} END AS key FROM f)"""
+k AS (SELECT load_seq, chunk_id, page_id, content, CASE WHEN len(fields) > 0 THEN 'F' || array_to_string(list_sort(list_filter(fields, lambda x: x <> '=')), chr(10)) ELSE {_BARE.format("content")} END AS key FROM f)"""
 
 ORACLES = {
     "p2_found": _KEYS
