@@ -1,9 +1,11 @@
 """Additive quantisation of vectors: training, beam-search encoding, lookup-table scores.
 
 A vector is approximated by the sum of one codeword from each of several
-full-dimensional codebooks. Training starts from residual k-means and then
-alternates beam-search encoding with the least-squares codebooks for the codes
-found. Plain NumPy over one batch; ``neighbours`` runs it inside Spark.
+full-dimensional codebooks, each of its own size. Training starts from residual
+k-means and then alternates beam-search encoding with least squares, one book at
+a time: given the codes and the other books, the best word of a code is the mean
+of what the others leave of its vectors. Plain NumPy over one batch;
+``neighbours`` runs it inside Spark.
 """
 
 from __future__ import annotations
@@ -13,88 +15,102 @@ from dataclasses import dataclass
 import numpy as np
 
 BEAM = 4
+#: How many vectors' worth the present word counts in its own mean: words of unused codes stay as they are.
+PRIOR = 1.0
 
 
 @dataclass(frozen=True)
 class Codebooks:
-    """``words`` has the shape (books, codewords, dimension); the first ``lists`` words of the first book name the lists."""
+    """``words``: an array (codewords, dimension) for each book; the words of the first book name the lists."""
 
-    words: np.ndarray
-    lists: int
+    words: tuple[np.ndarray, ...]
 
     @property
     def books(self) -> int:
-        return self.words.shape[0]
+        return len(self.words)
 
-    def tables(self, queries: np.ndarray) -> np.ndarray:
-        """Dot products of queries with all codewords: (books, queries, codewords)."""
-        return np.einsum("qd,bkd->bqk", queries, self.words, optimize=True)
+    @property
+    def lists(self) -> int:
+        return len(self.words[0])
+
+    def tables(self, queries: np.ndarray) -> list[np.ndarray]:
+        """Dot products of queries with the words of each book: (queries, codewords)."""
+        return [queries @ book.T for book in self.words]
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
-        return sum(self.words[b][codes[:, b]] for b in range(self.books))
+        out = self.words[0][codes[:, 0]].copy()
+        for b in range(1, self.books):
+            out += self.words[b][codes[:, b]]
+        return out
+
+
+def means(data: np.ndarray, codes: np.ndarray, present: np.ndarray, prior: float = 0.0) -> np.ndarray:
+    """The mean of the vectors of each code, the present word counting ``prior`` times; codes without vectors keep their word."""
+    order = np.argsort(codes, kind="stable")
+    used, first, sizes = np.unique(codes[order], return_index=True, return_counts=True)
+    out = present.copy()
+    if len(used):
+        sums = np.add.reduceat(data[order], first, axis=0)
+        out[used] = (sums + prior * present[used]) / (sizes[:, None] + prior)
+    return out
 
 
-def one_hot(codes: np.ndarray, k: int) -> np.ndarray:
-    out = np.zeros((len(codes), k), dtype=np.float32)
-    out[np.arange(len(codes)), codes] = 1.0
-    return out
+def _nearest(data: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmax(data @ centres.T - 0.5 * (centres**2).sum(axis=1), axis=1)
 
 
 def _k_means(data: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     centres = data[rng.choice(len(data), size=k, replace=len(data) < k)].copy()
     for _ in range(rounds):
-        nearest = np.argmax(data @ centres.T - 0.5 * (centres**2).sum(axis=1), axis=1)
-        sums = one_hot(nearest, k).T @ data
-        sizes = np.bincount(nearest, minlength=k)
-        centres[sizes > 0] = sums[sizes > 0] / sizes[sizes > 0, None]
-        empty = np.flatnonzero(sizes == 0)
+        nearest = _nearest(data, centres)
+        centres = means(data, nearest, centres)
+        empty = np.flatnonzero(np.bincount(nearest, minlength=k) == 0)
         if len(empty):
             centres[empty] = data[rng.choice(len(data), size=len(empty))]
     return centres
 
 
 def encode(data: np.ndarray, books: Codebooks, beam: int = BEAM) -> np.ndarray:
-    """Codes (rows, books) by beam search: after each book the ``beam`` best partial sums stay."""
-    n, words = len(data), books.words
-    codes = np.zeros((n, 1, 0), dtype=np.int64)
-    partial = np.zeros((n, 1, data.shape[1]), dtype=np.float32)
-    for b, book in enumerate(words):
-        book = book[: books.lists] if b == 0 else book
-        norms = (book**2).sum(axis=1)
-        residual = data[:, None, :] - partial
-        # |residual - word|^2 without the data's own norm, which does not vary within a beam entry.
-        cost = (residual**2).sum(axis=2)[:, :, None] - 2 * (residual @ book.T) + norms
-        flat = cost.reshape(n, -1)
+    """Codes (rows, books) by beam search: after each book the ``beam`` best partial sums stay.
+
+    What a choice costs follows from dot products of the data with the words and
+    of words with words, so no residual vector is ever formed.
+    """
+    n = len(data)
+    codes = np.zeros((n, 1, 0), dtype=np.int32)
+    # Of each partial sum: its cost without the data's own norm, |sum|^2 - 2 data.sum.
+    cost = np.zeros((n, 1), dtype=np.float32)
+    rows = np.arange(n)[:, None]
+    for b, book in enumerate(books.words):
+        step = (book**2).sum(axis=1) - 2 * (data @ book.T)
+        total = cost[:, :, None] + step[:, None, :]
+        for a in range(b):
+            total += 2 * (books.words[a] @ book.T)[codes[:, :, a]]
+        flat = total.reshape(n, -1)
         keep = min(beam, flat.shape[1])
         best = np.argpartition(flat, keep - 1, axis=1)[:, :keep]
-        order = np.take_along_axis(flat, best, axis=1).argsort(axis=1, kind="stable")
-        best = np.take_along_axis(best, order, axis=1)
+        cost = np.take_along_axis(flat, best, axis=1)
+        order = cost.argsort(axis=1, kind="stable")
+        best, cost = np.take_along_axis(best, order, axis=1), np.take_along_axis(cost, order, axis=1)
         entry, word = best // len(book), best % len(book)
-        codes = np.concatenate([np.take_along_axis(codes, entry[:, :, None], axis=1), word[:, :, None]], axis=2)
-        partial = np.take_along_axis(partial, entry[:, :, None], axis=1) + book[word]
+        codes = np.concatenate([codes[rows, entry], word[:, :, None].astype(np.int32)], axis=2)
     return codes[:, 0, :]
 
 
 def train(data: np.ndarray, lists: int, codewords: int, books: int, rounds: int = 2, seed: int = 7) -> Codebooks:
-    """Codebooks from a sample: ``lists`` codewords in the first book, ``codewords`` in the others.
-
-    All books get the same shape; unused rows of shorter books repeat their first word.
-    """
+    """Codebooks from a sample: ``lists`` codewords in the first book, ``codewords`` in each other one."""
     rng = np.random.default_rng(seed)
     data = np.ascontiguousarray(data, dtype=np.float32)
-    width, parts, rest = max(lists, codewords), [], data.copy()
+    words, rest = [], data.copy()
     for b in range(books):
-        k = lists if b == 0 else codewords
-        centres = _k_means(rest, k, rng)
-        rest = rest - centres[np.argmax(rest @ centres.T - 0.5 * (centres**2).sum(axis=1), axis=1)]
-        parts.append(np.concatenate([centres, np.repeat(centres[:1], width - k, axis=0)]))
-    model = Codebooks(np.stack(parts).astype(np.float32), lists)
+        centres = _k_means(rest, lists if b == 0 else codewords, rng)
+        rest -= centres[_nearest(rest, centres)]
+        words.append(centres)
     for _ in range(rounds):
-        codes = encode(data, model)
-        used = np.concatenate([one_hot(codes[:, b], width) for b in range(books)], axis=1)
-        gram, right = used.T @ used, used.T @ data
-        # A ridge towards the present words keeps unused ones where they are.
-        present = model.words.reshape(books * width, -1)
-        solved = np.linalg.solve(gram + np.eye(books * width), right + present)
-        model = Codebooks(solved.reshape(books, width, -1).astype(np.float32), lists)
-    return model
+        codes = encode(data, Codebooks(tuple(words)))
+        rest = data - Codebooks(tuple(words)).decode(codes)
+        for b in range(books):
+            own = rest + words[b][codes[:, b]]
+            words[b] = means(own, codes[:, b], words[b], PRIOR).astype(np.float32)
+            rest = own - words[b][codes[:, b]]
+    return Codebooks(tuple(w.astype(np.float32) for w in words))

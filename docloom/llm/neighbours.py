@@ -1,42 +1,57 @@
 """The most similar vectors of every vector, by cosine, within each embedding version.
 
 Method: additive quantisation (see ``additive``). Codebooks are fitted on a
-bounded sample of each version; every vector is encoded by beam search and kept
-with its codes and the norm of what they leave out. The first code names the
-vector's list. A query is scored against the lists it probes by lookup tables;
-the exact cosines of the best give a floor, and every other vector of these
-lists that can still reach it is compared exactly too, however many there are.
+bounded sample of each version; every vector is encoded by beam search and stored
+with its codes, the norm of its approximation and the norm of what that leaves
+out. The first code names the vector's list; a list with more than ``LIST_MOST``
+vectors is split into cells by the second code, so cells multiply with the data
+though the sample does not grow. A query is scored against the cells it probes by
+lookup tables and stored norms; the exact cosines of the best give a floor, and
+every other vector of these cells that can still reach it is compared exactly
+too, however many there are.
 
 What can reach the floor is decided by a proven bound: q.x <= q.x' + |x - x'|
 for a vector x, its approximation x' and a query q of unit length. So within the
-probed lists the result is exact; only the choice of lists is approximate. A
-query probes the ``PROBES`` lists nearest to it and, without a cap, all whose
-codeword is at least ``DENSE`` similar to it: those share a dense group with it.
+probed cells the result is exact; only the choice of cells is approximate. A
+query probes the lists nearest to it, at least ``PROBES`` and as many as hold
+``FEWEST`` vectors (far vectors lie in small lists of their own), and, without a
+cap, all that are at least ``RATIO`` as similar to it as the nearest: those share
+a dense group with it. In the same way it chooses among the cells of split lists.
 
-Queries travel to the lists they probe. Where a list is asked by many, or holds
+Vectors that are copies of each other are one vector to all of this: copies are
+put in, by id, when the neighbours of distinct vectors are known, and no more of
+them than a result can hold.
+
+Queries travel to the cells they probe. Where a cell is asked by many, or holds
 many, its queries come in chunks of about ``QUERY_BLOCK`` and its vectors in
 parts of about ``CODE_BLOCK``, each chunk against each part, so no group grows
-with the data. The work on a dense group is quadratic in it.
+with the data, and each meeting passes on no more than ``k`` for a query. The
+work on a dense group of distinct vectors is quadratic in it.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.additive import Codebooks, encode, train
 from docloom.plans.shared import Scratch
+from docloom.plans.topk import best, reaching
 
 SAMPLE = 8192
-BOOKS, CODEWORDS, MAX_LISTS = 8, 64, 2048
-PROBES, DENSE = 12, 0.7
+#: Books, words of each book but the first, and how many vectors of the sample the first book has at least for each of its words.
+BOOKS, CODEWORDS, PER_WORD = 8, 64, 4
+LIST_MOST = 16384
+PROBES, FEWEST, RATIO = 3, 512, 0.7
 QUERY_BLOCK, CODE_BLOCK, SLICE = 2048, 4096, 256
+#: Cells are numbered list * CELLS, plus one and the second code where the list is split.
+CELLS = 1 << 16
 
 VECTOR = "vec_id bigint, version int, vector binary"
 
@@ -76,26 +91,45 @@ def usable_vectors(embeddings: DataFrame, versions: DataFrame) -> DataFrame:
     return slim.mapInArrow(_unit_rows, VECTOR)
 
 
+def binary_rows(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
+    """A column of binaries of one length as a matrix, without a copy."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.zeros((0, 0), dtype=kind)
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(column), -1)
+
+
+def _train(group: pa.Table) -> pa.Table:
+    """The pickled codebooks of a version's sample (version, n, vector)."""
+    data = binary_rows(group.column("vector"), "<f4")
+    # A list for about every second root of the vectors; the sample must know each of them.
+    lists = 1 << max(0, round(np.log2(max(1.0, np.sqrt(group.column("n")[0].as_py()) / 2))))
+    model = train(data, max(1, min(lists, len(data) // PER_WORD)), max(1, min(CODEWORDS, len(data) // PER_WORD)), BOOKS)
+    return pa.table({"version": group.column("version").slice(0, 1), "model": pa.array([pickle.dumps(model)], pa.binary())})
+
+
 def fit(vectors: DataFrame, sample: int = SAMPLE) -> dict[int, Codebooks]:
-    """Codebooks of each version from at most ``sample`` vectors, those of the smallest id hashes."""
-    models = {}
-    for row in sorted(vectors.groupBy("version").count().collect()):
-        version, n = row["version"], row["count"]
-        own = vectors.where(F.col("version") == version)
-        # The sample-th smallest hash, from hashes alone; the vectors themselves are only filtered.
-        last = own.select(F.xxhash64("vec_id").alias("h")).orderBy("h").limit(sample).agg(F.max("h").alias("h")).first()["h"]
-        chosen = own.where(F.xxhash64("vec_id") <= F.lit(last))
-        data = np.stack([np.frombuffer(v, dtype=np.float32) for v in chosen.select("vector").toArrow().column(0).to_pylist()])
-        lists = 1 << max(0, round(np.log2(max(1.0, np.sqrt(n) / 2))))
-        models[version] = train(data, min(lists, MAX_LISTS, len(data)), min(CODEWORDS, len(data)), BOOKS)
-    return models
+    """Codebooks of each version from at most ``sample`` vectors, those of the smallest id hashes.
+
+    A version is trained in a task of its own; only the finished codebooks come to the driver.
+    """
+    hashed = vectors.select("version", F.xxhash64("vec_id").alias("h"))
+    first = Window.partitionBy("version").orderBy("h")
+    # The sample-th smallest hash, from hashes alone; the vectors themselves are only filtered.
+    last = hashed.withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample).groupBy("version").agg(F.max("h").alias("last"))
+    bounds = last.join(hashed.groupBy("version").agg(F.count(F.lit(1)).alias("n")), "version")
+    chosen = vectors.join(F.broadcast(bounds), "version").where(F.xxhash64("vec_id") <= F.col("last")).select("version", "n", "vector")
+    trained = chosen.groupBy("version").applyInArrow(_train, "version int, model binary")
+    return {r["version"]: pickle.loads(r["model"]) for r in trained.collect()}
 
 
-ENCODED = "vec_id bigint, version int, list int, code binary, loss float, probes array<int>, vector binary"
+ENCODED = "vec_id bigint, version int, list int, code binary, norm float, loss float, vector binary"
 
 
 def encoded(vectors: DataFrame, models: dict[int, Codebooks]) -> DataFrame:
-    """``ENCODED``: each vector with its list, codes, the norm of what the codes leave out, and the lists to probe."""
+    """``ENCODED``: each vector with its list, its codes, the norm of their sum and the norm of what it leaves out."""
     shared = vectors.sparkSession.sparkContext.broadcast(models)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,55 +137,87 @@ def encoded(vectors: DataFrame, models: dict[int, Codebooks]) -> DataFrame:
             versions = batch.column(1).to_numpy()
             for version in np.unique(versions):
                 part = batch.filter(pa.array(versions == version))
+                model = shared.value[int(version)]
                 for start in range(0, part.num_rows, 1024):
                     piece = part.slice(start, 1024)
-                    model = shared.value[int(version)]
-                    data = np.stack([np.frombuffer(v, dtype=np.float32) for v in piece.column(2).to_pylist()])
+                    data = binary_rows(piece.column(2), "<f4")
                     codes = encode(data, model)
-                    loss = np.linalg.norm(data - model.decode(codes), axis=1) + 1e-5
-                    words = model.words[0][: model.lists]
-                    dots = data @ words.T
-                    close = dots >= DENSE * np.linalg.norm(words, axis=1)
-                    near = np.argsort(-dots, axis=1, kind="stable")[:, :PROBES]
-                    probes = [list(dict.fromkeys([own, *order, *np.flatnonzero(more).tolist()])) for own, order, more in zip(codes[:, 0].tolist(), near.tolist(), close, strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            piece.column(0),
-                            piece.column(1),
-                            pa.array(codes[:, 0].astype(np.int32)),
-                            pa.array([c.tobytes() for c in codes.astype("<u2")], pa.binary()),
-                            pa.array(loss.astype(np.float32)),
-                            pa.array(probes, pa.list_(pa.int32())),
-                            piece.column(2),
-                        ],
-                        ["vec_id", "version", "list", "code", "loss", "probes", "vector"],
-                    )
+                    near = model.decode(codes)
+                    columns = [
+                        piece.column(0), piece.column(1), pa.array(codes[:, 0].astype(np.int32)), pa.array([c.tobytes() for c in codes.astype("<u2")], pa.binary()),
+                        pa.array(np.maximum(np.linalg.norm(near, axis=1), 1e-6).astype(np.float32)), pa.array((np.linalg.norm(data - near, axis=1) + 1e-5).astype(np.float32)), piece.column(2),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["vec_id", "version", "list", "code", "norm", "loss", "vector"])
 
     return vectors.mapInArrow(work, ENCODED)
 
 
-def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the ``k`` greatest finite values of each row, ties to the first column."""
-    if sims.shape[1] > k:
-        kth = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
-        rows, columns = np.nonzero((sims >= kth[:, None]) & np.isfinite(sims))
-    else:
-        rows, columns = np.nonzero(np.isfinite(sims))
-    order = np.lexsort((columns, -sims[rows, columns], rows))
-    rows, columns = rows[order], columns[order]
-    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-    return rows[keep], columns[keep]
-
-
-def compared(table: DataFrame, queries: DataFrame, models: dict[int, Codebooks], k: int, least: float | None) -> DataFrame:
-    """(version, query_id, vec_id, similarity): the ``k`` vectors of greatest exact cosine in the probed lists, ties by id.
-
-    Cosines are rounded to nine digits, so that copies of a vector tie.
+def _probed(scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which of the lists or cells (``sizes``: how many vectors each has) a query probes, by their cosines with it."""
+    order = np.argsort(-scores, axis=1, kind="stable")
+    before = np.cumsum(sizes[order], axis=1) - sizes[order]
+    near = (before < FEWEST) | (np.arange(scores.shape[1]) < PROBES)
+    out = scores >= RATIO * np.maximum(scores.max(axis=1, keepdims=True), 0.0)
+    np.put_along_axis(out, order, near | np.take_along_axis(out, order, axis=1), axis=1)
+    return out & np.isfinite(scores) & (sizes > 0)
+
+
+def probes(data: np.ndarray, model: Codebooks, own: np.ndarray, sizes: np.ndarray, list_most: int = LIST_MOST) -> list[list[int]]:
+    """The cells that each query probes; ``own`` is the list of each, ``sizes`` how many vectors each list has."""
+    tables = model.tables(data)
+    lists = _probed(tables[0] / np.maximum(np.linalg.norm(model.words[0], axis=1), 1e-6), sizes)
+    lists[np.arange(len(data)), own] = True
+    split = sizes > list_most
+    out = [(np.flatnonzero(row & ~split) * CELLS).tolist() for row in lists]
+    parts = np.flatnonzero(split)
+    if len(parts) and model.books > 1 and lists[:, parts].any():
+        words = len(model.words[1])
+        cells = model.words[0][parts][:, None, :] + model.words[1][None, :, :]
+        scores = (tables[0][:, parts, None] + tables[1][:, None, :]) / np.maximum(np.linalg.norm(cells, axis=2), 1e-6)
+        scores = np.where(lists[:, parts][:, :, None], scores, -np.inf).reshape(len(data), -1)
+        numbers = (parts[:, None] * CELLS + 1 + np.arange(words)[None, :]).ravel()
+        # About how many vectors a cell has: those of its list, in equal shares.
+        for row, chosen in zip(out, _probed(scores, np.repeat(sizes[parts] / words, words)), strict=True):
+            row.extend(numbers[chosen].tolist())
+    return out
+
+
+def cell_of(split: DataFrame) -> Column:
+    """The cell of an encoded row that was joined with ``split`` (version, list, cut)."""
+    second = F.conv(F.hex(F.concat(F.substring("code", 4, 1), F.substring("code", 3, 1))), 16, 10).cast("int")
+    return F.col("list") * CELLS + F.when(F.col("cut"), second + 1).otherwise(0)
+
+
+def compared(table: DataFrame, queries: DataFrame, models: dict[int, Codebooks], k: int, least: float | None, list_most: int = LIST_MOST) -> DataFrame:
+    """(version, query_id, vec_id, similarity): the ``k`` vectors of greatest exact cosine in the probed cells, ties by id.
+
+    Cosines are rounded to nine digits.
     """
-    shared = table.sparkSession.sparkContext.broadcast(models)
-    key = ["version", "list"]
-    asking = queries.select("version", F.explode("probes").alias("list")).groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("chunks"))
-    holding = table.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / CODE_BLOCK).alias("parts"))
+    context = table.sparkSession.sparkContext
+    # As many rows as the codebooks have lists.
+    sizes_of = {v: np.zeros(m.lists, dtype=np.int64) for v, m in models.items()}
+    for row in table.groupBy("version", "list").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes_of[row["version"]][row["list"]] = row["n"]
+    cuts = [(v, int(i), True) for v, sizes in sizes_of.items() for i in np.flatnonzero(sizes > list_most) if models[v].books > 1]
+    large = table.sparkSession.createDataFrame(cuts, "version int, list int, cut boolean")
+    shared = context.broadcast((models, sizes_of))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held = shared.value
+        for batch in batches:
+            versions = batch.column(1).to_numpy()
+            for version in np.unique(versions):
+                part = batch.filter(pa.array(versions == version))
+                cells = probes(binary_rows(part.column(3), "<f4"), known[int(version)], part.column(2).to_numpy(), held[int(version)], list_most)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cells, pa.list_(pa.int32())), part.column(3)], ["query_id", "version", "cells", "vector"])
+
+    key = ["version", "cell"]
+    asking_rows = queries.select("vec_id", "version", "list", "vector").mapInArrow(ask, "query_id bigint, version int, cells array<int>, vector binary")
+    left = asking_rows.select("version", F.explode("cells").alias("cell"), "query_id", "vector")
+    right = table.join(F.broadcast(large), ["version", "list"], "left").withColumn("cell", cell_of(large))
+    asking = asking_rows.select("version", F.explode("cells").alias("cell")).groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("chunks"))
+    holding = right.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / CODE_BLOCK).alias("parts"))
+    # A row for each cell: at most lists x words of the second book, for each version.
     sizes = F.broadcast(asking.join(holding, key))
 
     def place(id_: str, count: str) -> Column:
@@ -160,47 +226,71 @@ def compared(table: DataFrame, queries: DataFrame, models: dict[int, Codebooks],
     def each(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1)).alias(count[:-1])
 
-    left = queries.select("version", F.explode("probes").alias("list"), F.col("vec_id").alias("query_id"), "vector").join(sizes, key)
-    left = left.select(*key, place("query_id", "chunks"), each("parts"), "query_id", "vector")
-    right = table.join(sizes, key).select(*key, each("chunks"), place("vec_id", "parts"), "vec_id", "code", "loss", "vector")
-    right = right.select(*[F.col(c).alias(f"right_{c}") for c in (*key, "chunk", "part")], "vec_id", "code", "loss", F.col("vector").alias("theirs"))
-    columns = ["version", "query_id", "vec_id", "similarity"]
-
-    def exact(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        if mine.empty or theirs.empty:
-            return pd.DataFrame(columns=columns)
-        version, theirs = int(mine["version"].iloc[0]), theirs.sort_values("vec_id")
-        model = shared.value[version]
-        ids, asked = theirs["vec_id"].to_numpy(), mine["query_id"].to_numpy()
-        code = np.frombuffer(b"".join(theirs["code"]), dtype="<u2").reshape(len(ids), -1).astype(np.int64)
-        loss = theirs["loss"].to_numpy(dtype=np.float32)
-        norms = np.maximum(np.linalg.norm(model.decode(code), axis=1), 1e-6)
-        data = np.frombuffer(b"".join(theirs["theirs"]), dtype=np.float32).reshape(len(ids), -1).astype(np.float64)
-        every = np.frombuffer(b"".join(mine["vector"]), dtype=np.float32).reshape(len(asked), -1)
-        out = []
+    left = left.join(sizes, key).select(*key, place("query_id", "chunks"), each("parts"), "query_id", "vector")
+    right = right.join(sizes, key).select(*key, each("chunks"), place("vec_id", "parts"), "vec_id", "code", "norm", "loss", "vector")
+    right = right.select(*[F.col(c).alias(f"right_{c}") for c in (*key, "chunk", "part")], "vec_id", "code", "norm", "loss", F.col("vector").alias("theirs"))
+    empty = {"version": pa.array([], pa.int32()), "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())}
+
+    def exact(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        if not mine.num_rows or not theirs.num_rows:
+            return pa.table(empty)
+        version = mine.column("version")[0].as_py()
+        model = shared.value[0][version]
+        ids, asked = theirs.column("vec_id").to_numpy(), mine.column("query_id").to_numpy()
+        code = binary_rows(theirs.column("code"), "<u2").T
+        norm, loss = theirs.column("norm").to_numpy(), theirs.column("loss").to_numpy()
+        data, every = binary_rows(theirs.column("theirs"), "<f4"), binary_rows(mine.column("vector"), "<f4")
+        found: list[tuple] = []
         for start in range(0, len(asked), SLICE):
             query, own = every[start : start + SLICE], asked[start : start + SLICE, None] == ids
             tables = model.tables(query)
-            dots = reduce(np.add, (tables[b][:, code[:, b]] for b in range(model.books)))
-            floor = np.full(len(query), -np.inf if least is None else least)
+            dots = reduce(np.add, (np.take(table_, code[b], axis=1) for b, table_ in enumerate(tables)))
+            floor = np.full(len(query), -1.0 if least is None else least, dtype=np.float32)
             if len(ids) > k:
-                first = np.argpartition(np.where(own, np.inf, -dots / norms), k - 1, axis=1)[:, :k]
+                first = np.argpartition(np.where(own, np.inf, -dots / norm), k - 1, axis=1)[:, :k]
                 floor = np.maximum(floor, np.einsum("qd,qkd->qk", query, data[first], optimize=True).min(axis=1))
-            reach = (dots + loss >= floor[:, None] - 1e-6) & ~own
+            reach = (dots + loss >= floor[:, None] - 2e-6) & ~own
             open_ = np.flatnonzero(reach.any(axis=0))
-            if len(open_) == 0:
+            if not len(open_):
                 continue
-            sims = np.where(reach[:, open_], np.round(query.astype(np.float64) @ data[open_].T, 9), -np.inf)
+            some = data if len(open_) == len(ids) else data[open_]
+            near = np.where(reach[:, open_], query @ some.T, -np.inf)
+            near[near < floor[:, None] - 2e-6] = -np.inf
+            # Single precision leaves all that may be among the best; they are compared in double.
+            rows, columns = reaching(near, k, 4e-6)
+            sims = np.einsum("pd,pd->p", query[rows].astype(np.float64), data[open_[columns]].astype(np.float64))
+            sims = np.round(np.clip(sims, -1.0, 1.0), 9)
             if least is not None:
-                sims[sims < least] = -np.inf
-            rows, hits = _best(sims, k)
-            out.append(pd.DataFrame({"version": version, "query_id": asked[start + rows], "vec_id": ids[open_[hits]], "similarity": sims[rows, hits]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=columns)
+                rows, columns, sims = rows[sims >= least], columns[sims >= least], sims[sims >= least]
+            kept = best(rows, sims, ids[open_[columns]], k)
+            found.append((asked[start + rows[kept]], ids[open_[columns[kept]]], sims[kept]))
+        if not found:
+            return pa.table(empty)
+        asked, ids, sims = (np.concatenate([f[i] for f in found]) for i in range(3))
+        return pa.table({"version": pa.array(np.full(len(ids), version), pa.int32()), "query_id": pa.array(asked, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "similarity": pa.array(sims, pa.float64())})
 
     group = [*key, "chunk", "part"]
-    found = left.groupBy(*group).cogroup(right.groupBy(*[f"right_{c}" for c in group])).applyInPandas(exact, "version int, query_id bigint, vec_id bigint, similarity double")
+    pairs = left.groupBy(*group).cogroup(right.groupBy(*[f"right_{c}" for c in group]))
+    hits = pairs.applyInArrow(exact, "version int, query_id bigint, vec_id bigint, similarity double")
+    order = Window.partitionBy("version", "query_id").orderBy(F.desc("similarity"), "vec_id")
+    return hits.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+
+
+def _with_copies(hits: DataFrame, twins: DataFrame, k: int, only: str | None) -> DataFrame:
+    """Hits of distinct vectors, with the copies (``twins``: version, rep, vec_id) put in on both sides."""
+    first = Window.partitionBy("version", "rep").orderBy("vec_id")
+    # A result holds no more than k copies of a vector, besides the query itself.
+    members = twins.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select(F.col("rep").alias("m_rep"), F.col("vec_id").alias("member"))
+    own = twins.select("version", F.col("rep").alias("query_id"), F.col("rep").alias("vec_id"), F.lit(1.0).alias("similarity")).distinct()
+    every = hits.unionByName(own).join(members, F.col("vec_id") == F.col("m_rep"), "left")
+    every = every.select("version", "query_id", F.coalesce("member", "vec_id").alias("vec_id"), "similarity")
     order = Window.partitionBy("version", "query_id").orderBy(F.desc("similarity"), "vec_id")
-    return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+    top = every.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
+    askers = twins.select(F.col("rep").alias("a_rep"), F.col("vec_id").alias("asker"))
+    asked = top.join(askers, F.col("query_id") == F.col("a_rep"), "left").select("version", F.coalesce("asker", "query_id").alias("query_id"), "vec_id", "similarity").where("query_id <> vec_id")
+    if only:
+        asked = asked.withColumnRenamed("vec_id", "found").withColumnRenamed("query_id", "vec_id").where(only).withColumnRenamed("vec_id", "query_id").withColumnRenamed("found", "vec_id")
+    return asked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
 
 def nearest(embeddings: DataFrame, versions: DataFrame, k: int = 5, least: float | None = None, only: str | None = None) -> DataFrame:
@@ -208,14 +298,29 @@ def nearest(embeddings: DataFrame, versions: DataFrame, k: int = 5, least: float
 
     All usable vectors are queries, or those for which the SQL condition ``only``
     on vec_id holds; all usable vectors are searched. A vector is not its own
-    neighbour. With ``least``, less similar ones are left out. Which vectors are
-    usable is said at ``usable_vectors``. No usable vector gives an empty result.
+    neighbour; copies of it are, and of equally similar ones the smaller ids come
+    first. With ``least``, less similar ones are left out. Which vectors are
+    usable is said at ``usable_vectors``; ids are unique. No usable vector gives
+    an empty result.
     """
     scratch = Scratch(embeddings.sparkSession, "neighbours")
-    vectors = scratch.write(usable_vectors(embeddings, versions), "vectors")
-    models = fit(vectors)
-    table = scratch.write(encoded(vectors, models), "encoded")
-    return compared(table, table.where(only) if only else table, models, k, least)
+    vectors = usable_vectors(embeddings, versions).withColumn("digest", F.unhex(F.md5("vector")))
+    vectors = scratch.write(vectors, "vectors")
+    same = scratch.write(vectors.groupBy("version", "digest").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("rep")).where("n > 1").drop("n"), "same")
+    copies = not same.isEmpty()
+    distinct = vectors.drop("digest")
+    if copies:
+        twins = scratch.write(vectors.select("version", "digest", "vec_id").join(same, ["version", "digest"]).select("version", "rep", "vec_id"), "twins")
+        distinct = vectors.join(same, ["version", "digest"], "left").where("rep is null or rep = vec_id").select("vec_id", "version", "vector")
+    models = fit(distinct)
+    table = scratch.write(encoded(distinct, models), "encoded")
+    scratch.drop("vectors")
+    queries = table.where(only) if only else table
+    if copies and only:
+        asked = twins.where(only).select(F.col("rep").alias("vec_id")).union(table.where(only).select("vec_id")).distinct()
+        queries = table.join(asked, "vec_id", "left_semi")
+    hits = compared(table, queries, models, k, least)
+    return scratch.result(_with_copies(hits, twins, k, only) if copies else hits)
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -230,8 +335,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 most similar vectors of every vector whose id is divisible by 20, against all vectors."""
     near = nearest(*_tables(spark, sf_dir), k=5, only="vec_id % 20 = 0")
-    return near.select(F.col("version").alias("embedding_version_id"), "query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+    return near.select(F.col("version").alias("embedding_version_id"), "query_id", "vec_id", F.round("similarity", 4).alias("similarity"))
 
 
 QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours}
-ORACLES: dict[str, str] = {}
+_PAIRS = """
+WITH u AS (SELECT e.vec_id, e.embedding_version_id AS ver, list_transform(e.embedding, lambda x: x::DOUBLE) AS v FROM chunk_embeddings e JOIN embedding_versions w ON e.embedding_version_id = w.embedding_version_id AND len(e.embedding) = w.dimension
+  WHERE len(list_filter(e.embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e.embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, ver, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM u),
+s AS (SELECT a.ver, a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 9) AS sim FROM n a JOIN n b ON a.ver = b.ver AND a.vec_id <> b.vec_id{}),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r FROM s)"""
+ORACLES = {
+    "p3_found": _PAIRS.format("") + "\nSELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM r WHERE r <= 5 AND sim >= 0.8",
+    "p3_neighbours": _PAIRS.format(" AND a.vec_id % 20 = 0") + "\nSELECT ver AS embedding_version_id, a AS query_id, b AS vec_id, round(sim, 4) AS similarity FROM r WHERE r <= 5",
+}

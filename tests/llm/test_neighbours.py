@@ -92,3 +92,39 @@ def test_quantiser_approximates():
     tables_ = model.tables(query)
     scores = sum(tables_[b][:, codes[:, b]] for b in range(model.books))
     assert np.allclose(scores, query @ model.decode(codes).T, atol=1e-3)
+
+
+def test_lists_that_are_split_into_cells(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    vectors = np.repeat(rng.normal(size=(20, 384)), 100, axis=0) + 0.7 * rng.normal(size=(2000, 384))
+    want = {p for p in exact(vectors, list(range(2000)), 5) if p[0] % 20 == 0}
+    df, versions = wide(spark, vectors)
+    usable = neighbours.usable_vectors(df, versions)
+    models = neighbours.fit(usable)
+    table = neighbours.encoded(usable, models).persist()
+    got = {(r.query_id, r.vec_id) for r in neighbours.compared(table, table.where("vec_id % 20 = 0"), models, 5, None, list_most=60).collect()}
+    assert len(got) == 500 and len(got & want) / 500 >= 0.9
+
+
+def test_copies_of_chosen_queries(spark):
+    rng = np.random.default_rng(9)
+    some = rng.normal(size=(30, 384))
+    vectors = np.concatenate([some, some[:10], some[:5] + 0.01 * rng.normal(size=(5, 384))])
+    got = {}
+    for r in neighbours.nearest(*wide(spark, vectors), 3, only="vec_id % 4 = 3").collect():
+        got.setdefault(r.query_id, []).append((-r.similarity, r.vec_id))
+    assert set(got) == {i for i in range(45) if i % 4 == 3} and all(len(v) == 3 for v in got.values())
+    assert [v for _, v in sorted(got[3])][:2] == [33, 43] and min(got[43])[1] == 3 and [v for _, v in sorted(got[39])][0] == 9
+
+
+def test_training_with_thousands_of_lists_stays_small():
+    import time
+    import tracemalloc
+
+    data_ = np.random.default_rng(1).normal(size=(neighbours.SAMPLE, 128)).astype(np.float32)
+    tracemalloc.start()
+    began = time.time()
+    model = additive.train(data_, 2048, 64, 8)
+    assert model.lists == 2048 and [len(w) for w in model.words[1:]] == [64] * 7
+    assert tracemalloc.get_traced_memory()[1] < 400e6 and time.time() - began < 120
+    tracemalloc.stop()
