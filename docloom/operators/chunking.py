@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.config import ChunkingConfig
-from docloom.functions.chunker import chunk_markdown
+from docloom.functions.chunker import chunk_markdown, heading_sections
 from docloom.functions.identity import chunk_id, sha256
 
 PIECES = "package string, version string, source_url string, page_title string, document bigint, header_path array<string>, content string, chunk_index int"
@@ -29,6 +29,24 @@ def _pieces(batches: Iterator[pa.RecordBatch], config: ChunkingConfig) -> Iterat
         yield pa.RecordBatch.from_arrays(columns, ["package", "version", "source_url", "page_title", "document", "header_path", "content", "chunk_index"])
 
 
+def document_sections(documents: DataFrame, id_col: str, text_col: str, config: ChunkingConfig | None = None) -> DataFrame:
+    """(id, section_no, header_path, content): the sections of Markdown texts that are not blank, numbered from 0 in each text.
+
+    Rows with a null id or text have none.
+    """
+    levels = (config or ChunkingConfig()).levels
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            rows = [(i, n, list(path), content) for i, text in texts for n, (path, content) in enumerate(heading_sections(text, levels))]
+            kinds = (batch.schema.field(0).type, pa.int32(), pa.list_(pa.string()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [id_col, "section_no", "header_path", "content"])
+
+    slim = documents.select(id_col, text_col).dropna()
+    return slim.mapInArrow(work, f"`{id_col}` {dict(documents.dtypes)[id_col]}, section_no int, header_path array<string>, content string")
+
+
 def chunk_documents(documents: DataFrame, config: ChunkingConfig | None = None, order_col: str | None = None) -> DataFrame:
     """Chunks (``schemas.CHUNK``) of documents (package, version, url, title, markdown).
 

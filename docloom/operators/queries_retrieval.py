@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docloom.config import EmbeddingConfig
 from docloom.operators import chunking, embedding, evaluation, lineage, search, snapshot
+from docloom.operators.index import VectorIndex
 from docloom.plans.shared import Scratch
 from docloom.schemas import upgrade
 
@@ -69,6 +70,21 @@ def vector_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_topk_batch(spark, sf_dir, few=0)
 
 
+def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a stored index of each embedding version finds at least 0.9 of the 5 nearest of the queries of ``vector_topk_batch``."""
+    vectors, exact = _vectors(spark, sf_dir), vector_topk_batch(spark, sf_dir)
+    exact = Scratch(spark, "recall").write(exact.select(F.col("query_id").alias("q"), F.col("vec_id").alias("v"), F.col("embedding_version_id").alias("version")), "exact")
+    parts = []
+    for version, dimension in _versions(spark, sf_dir):
+        own = vectors.where(F.col("embedding_version_id") == version)
+        built = VectorIndex.build(own.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), f"{Scratch(spark, 'index').root}/index", dimension)
+        queries = own.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+        found = built.top_k(queries, 5).select(F.col("query_id").alias("fq"), F.col("id").alias("fv"))
+        joined = exact.where(F.col("version") == version).join(found, (F.col("q") == F.col("fq")) & (F.col("v") == F.col("fv")), "left")
+        parts.append(joined.groupBy("version").agg(F.count_distinct("q").alias("queries"), (F.count("fv") >= 0.9 * F.count(F.lit(1))).alias("good")))
+    return reduce(DataFrame.unionByName, parts).withColumnRenamed("version", "embedding_version_id")
+
+
 def _queries(vectors: DataFrame) -> DataFrame:
     return vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.lit(QUERY_TEXT).alias("query"), F.col("embedding").alias("vector"))
 
@@ -140,13 +156,25 @@ def embedding_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.join(covered, "embedding_version_id", "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(new embeddings, metrics) of the hashing embedder over chunks of current pages; vectors of version 1 are taken for its own."""
+    config = EmbeddingConfig("local", "hashing", 384)
+    own = F.when(F.col("embedding_version_id") == 1, embedding.embedding_version_id(config)).otherwise(F.col("embedding_version_id").cast("string"))
+    have = _t(spark, sf_dir, "chunk_embeddings").select("chunk_id", own.alias("embedding_version_id"))
+    pages = _t(spark, sf_dir, "clean_documents").select(F.col("page_id").alias("id"), (F.col("page_id") % 10 != 0).alias("is_current"))
+    chunks = _t(spark, sf_dir, "chunks").where("content is not null").select(F.col("chunk_id").alias("id"), F.col("page_id").alias("source_document_id"), "content", "load_seq")
+    return embedding.index_chunks(chunking.first_of_each(chunks, "id", "load_seq"), pages, have, config, embedding.HashingEmbedder(384))
+
+
 def indexed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New vectors for all chunks without one, by the hashing embedder: their number of dimensions and length."""
-    chunks = _t(spark, sf_dir, "chunks").where("content is not null").groupBy(F.col("chunk_id").alias("id")).agg(F.min_by("content", "load_seq").alias("content"))
-    absent = embedding.missing_embeddings(chunks, _t(spark, sf_dir, "chunk_embeddings"), 1)
-    vectors = absent.select("id", embedding.embed_column(embedding.HashingEmbedder(384))("content").alias("v"))
-    squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return vectors.select(F.col("id").alias("chunk_id"), F.size("v").alias("dimension"), F.round(squares, 3).alias("squared_length"))
+    """New vectors for the chunks of current pages without one: their number of dimensions and length."""
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return _index(spark, sf_dir)[0].select("chunk_id", F.size("embedding").alias("dimension"), F.round(squares, 3).alias("squared_length"))
+
+
+def index_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many chunks of current pages would be embedded, and how many have a vector already."""
+    return _index(spark, sf_dir)[1].select("model", "dimension", "chunks_indexed", "chunks_reused")
 
 
 def current_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,8 +290,8 @@ def lineage_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        vector_topk, vector_topk_batch, vector_topk_blocks, hybrid_search, lexical_scores, retrieval_evaluation, evaluation_comparison, missing_embeddings, embedding_coverage,
-        indexed_chunks, current_revisions, lineage_counters, lineage_documents, stored_chunks, lineage_imports, run_report,
+        vector_topk, vector_topk_batch, vector_topk_blocks, index_recall, hybrid_search, lexical_scores, retrieval_evaluation, evaluation_comparison, missing_embeddings, embedding_coverage,
+        indexed_chunks, index_metrics, current_revisions, lineage_counters, lineage_documents, stored_chunks, lineage_imports, run_report,
     )
 }
 
@@ -303,6 +331,11 @@ _HYBRID = f"""{_FIRST},
 hybrid AS (SELECT query_id, ver, n.chunk_id, sim, 0.85::DOUBLE * sim + 0.15::DOUBLE * {_lexical("h", "t", "c", "u")} AS score, hit FROM near n JOIN texts USING (chunk_id) WHERE r <= 40),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sim DESC, chunk_id)::INT AS position FROM hybrid)"""
 
+_INDEX = """
+WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY load_seq) AS n FROM chunks WHERE content IS NOT NULL AND chunk_id IS NOT NULL)
+  WHERE n = 1 AND page_id IN (SELECT page_id FROM clean_documents WHERE page_id % 10 <> 0)),
+h AS (SELECT DISTINCT chunk_id FROM chunk_embeddings WHERE embedding_version_id = 1 AND chunk_id IS NOT NULL)"""
+
 _IMPORTS = r"""
 WITH d AS (SELECT page_id, nullif(trim(lower(regexp_replace(package_name, '[-_.]+', '-', 'g')), '-'), '') AS p, package_version AS v, url, length(markdown) AS n, fetched_at,
     CASE WHEN regexp_replace(b, '/+$', '') = '' THEN b ELSE regexp_replace(b, '/+$', '') END AS u, sha256(markdown) AS h
@@ -319,6 +352,7 @@ SELECT ver AS embedding_version_id, vec_id, round(sim, 6) AS similarity, rank::I
 WITH {_USABLE}, s AS (SELECT a.ver, a.vec_id AS query_id, b.vec_id, {_SIM} AS sim FROM usable a JOIN usable b ON a.ver = b.ver WHERE a.vec_id % 20 = 0)
 SELECT ver AS embedding_version_id, query_id, vec_id, round(sim, 6) AS similarity, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""),
     "vector_topk_blocks": _BATCH,
+    "index_recall": f"WITH {_USABLE} SELECT ver AS embedding_version_id, count(DISTINCT vec_id)::BIGINT AS queries, true AS good FROM usable WHERE vec_id % 20 = 0 GROUP BY 1",
     "lexical_scores": f"""
 SELECT load_seq, round({_lexical("h", "t", "c", "u")}, 6) AS relevance FROM (
   SELECT load_seq, {_words("array_to_string(header_path, ' ')")} AS h, {_words("page_title")} AS t, {_words("content")} AS c, {_words("source_url")} AS u FROM chunks)""",
@@ -335,10 +369,10 @@ WITH {_USABLE}, {_HYBRID},
 a AS (SELECT query_id, min(r) FILTER (WHERE contains(hit, 'session'))::INT AS x FROM near JOIN texts USING (chunk_id) WHERE r <= 5 GROUP BY 1),
 b AS (SELECT query_id, min(position) FILTER (WHERE contains(hit, 'session'))::INT AS y FROM ranked WHERE position <= 5 GROUP BY 1)
 SELECT query_id, '{QUERY_TEXT}' AS query, x AS baseline_rank, y AS tuned_rank FROM cases LEFT JOIN a USING (query_id) LEFT JOIN b USING (query_id)""",
-    "indexed_chunks": """
-SELECT chunk_id, 384 AS dimension, CASE WHEN regexp_matches(content, '[\\p{L}\\p{N}]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS squared_length
-FROM (SELECT chunk_id, arg_min(content, load_seq) AS content FROM chunks WHERE content IS NOT NULL GROUP BY 1)
-WHERE chunk_id NOT IN (SELECT chunk_id FROM chunk_embeddings WHERE embedding_version_id = 1 AND chunk_id IS NOT NULL)""",
+    "indexed_chunks": _INDEX + """
+SELECT chunk_id, 384 AS dimension, CASE WHEN regexp_matches(content, '[\\p{L}\\p{N}]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS squared_length FROM c WHERE chunk_id NOT IN (SELECT chunk_id FROM h)""",
+    "index_metrics": _INDEX + """
+SELECT 'hashing' AS model, 384 AS dimension, count(*) FILTER (WHERE chunk_id NOT IN (SELECT chunk_id FROM h))::BIGINT AS chunks_indexed, count(*) FILTER (WHERE chunk_id IN (SELECT chunk_id FROM h))::BIGINT AS chunks_reused FROM c""",
     "missing_embeddings": """
 SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM chunk_embeddings WHERE embedding_version_id = 1 AND chunk_id IS NOT NULL)""",
     "embedding_coverage": """

@@ -126,6 +126,19 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_documents(pages, order_col="page_id")
 
 
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections of all clean documents, with their header paths, before any cutting by size."""
+    pages = _t(spark, sf_dir, "clean_documents").where("markdown is not null").select("page_id", "markdown")
+    return chunking.document_sections(pages, "page_id", "markdown").select("page_id", "section_no", F.array_join("header_path", " > ").alias("header_path"), "content")
+
+
+def page_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 10 pages of each root page's plan."""
+    pages = _t(spark, sf_dir, "raw_documents").where("url is not null and html <> '' and status_code = 200")
+    latest = pages.groupBy("url").agg(F.max_by("html", F.struct("fetched_at", "raw_id")).alias("html"))
+    return discovery.select_pages(discovery.crawl_plan(latest), 10).select("root_url", "position", "url")
+
+
 def rebuilt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _t(spark, sf_dir, "chunks").where("content is not null").withColumnRenamed("package_name", "package").withColumnRenamed("package_version", "version")
     return chunking.rebuild_documents(chunks).select("package", "version", "url", "title", "markdown")
@@ -135,7 +148,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         canonical_urls, package_names, search_texts, clean_texts, plain_texts, chunk_identities, unique_chunks, framework_counts, source_status, manifest_sources,
-        page_links, crawl_plan, link_filter, namespace_chunks, main_text, page_markdown, slugs, document_chunks, rebuilt_documents,
+        page_links, crawl_plan, link_filter, namespace_chunks, main_text, page_markdown, slugs, document_chunks, markdown_sections, page_selection, rebuilt_documents,
     )
 }
 
@@ -154,7 +167,40 @@ def _plain(x: str) -> str:
     return _strip(f"regexp_replace({bare}, '{_SPACE}+', ' ', 'g')")
 
 
+#: The links of pages (p: k, u, h; k is unique): anchors with an href and a text. Their hrefs are paths from the root, or relative.
+_LINKS = r"""
+a AS (SELECT k, u, unnest(regexp_extract_all(h, '<a\s[^>]*>.*?</a>', 0, 's')) AS tag, unnest(range(len(regexp_extract_all(h, '<a\s[^>]*>.*?</a>', 0, 's')))) AS i FROM p),
+t AS (SELECT k, u, i, coalesce(nullif(regexp_extract(tag, 'href\s*=\s*"([^"]*)"', 1), ''), nullif(regexp_extract(tag, 'href\s*=\s*''([^'']*)''', 1), ''), regexp_extract(tag, 'href\s*=\s*([^\s"''>]+)', 1)) AS href,
+        regexp_matches(tag, '^<a\s[^>]*href') AS has,
+        array_to_string(list_transform(regexp_split_to_array(regexp_replace(tag, '^<a\s[^>]*>|</a>$', '', 'g'), '<[^>]*>'), lambda x: trim(x, E' \t\r\n')), '') AS title FROM a),
+e AS (SELECT k, u, i, replace(replace(href, '&quot;', '"'), '&amp;', '&') AS href, replace(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS title FROM t WHERE has),
+l AS (SELECT u AS root_url, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS position, title, href,
+        CASE WHEN href LIKE '/%' THEN lower(regexp_extract(u, '^[^:]*')) || regexp_extract(u, '^[^:]*(://[^/?#]*)', 1) || href ELSE regexp_replace(regexp_replace(u, '[?#].*$', ''), '[^/]*$', '') || href END AS url FROM e WHERE title <> '')"""
+_LATEST = "p AS (SELECT row_number() OVER () AS k, url AS u, arg_max(html, (fetched_at, raw_id)) AS h FROM raw_documents WHERE url IS NOT NULL AND html <> '' AND status_code = 200 GROUP BY url),"
+_PLAN = f"WITH {_LATEST} {_LINKS}, plan AS (SELECT root_url, min(position) AS position, arg_min(title, position) AS title, url FROM l GROUP BY root_url, url)"
+_SPACES = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_SECTIONS = r"""
+WITH RECURSIVE src AS (SELECT page_id AS id, regexp_replace(markdown, '\r\n|[\n\r\x{0b}\x{0c}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]', chr(10), 'g') AS text FROM clean_documents WHERE markdown IS NOT NULL),
+marks AS (SELECT id, no, l, regexp_extract(l, '^[ \t]*(`{3,}|~{3,})', 1) AS m FROM (SELECT id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no FROM src)),
+fences AS (SELECT id, no, m, row_number() OVER (PARTITION BY id ORDER BY no) AS k FROM marks WHERE m <> ''),
+walk AS (SELECT id, 1::BIGINT AS k, m AS open FROM fences WHERE k = 1
+  UNION ALL SELECT f.id, f.k, CASE WHEN w.open = '' THEN f.m WHEN f.m[1] = w.open[1] AND length(f.m) >= length(w.open) THEN '' ELSE w.open END FROM walk w JOIN fences f ON f.id = w.id AND f.k = w.k + 1),
+state AS (SELECT f.id, f.no, w.open FROM fences f JOIN walk w USING (id, k)),
+lines AS (SELECT m.id, m.no, m.l, m.m <> '' OR coalesce(s.open, '') <> '' AS code FROM marks m ASOF LEFT JOIN state s ON m.id = s.id AND m.no >= s.no),
+heads AS (SELECT *, CASE WHEN NOT code AND regexp_full_match(l, '#{1,4}[ \t]+.+?[ \t]*#*[ \t]*') THEN length(regexp_extract(l, '^#+')) END AS lv FROM lines),
+secs AS (SELECT *, count(lv) OVER (PARTITION BY id ORDER BY no) AS n FROM heads),
+ttl AS (SELECT id, n, no, lv, trim(regexp_extract(l, '^#{1,6}[ \t]+(.+?)[ \t]*#*[ \t]*$', 1)) AS t FROM secs WHERE lv IS NOT NULL),
+pth AS (SELECT s.id, s.n, string_agg(a.t, ' > ' ORDER BY a.lv) AS path FROM ttl s JOIN ttl a ON a.id = s.id AND a.n <= s.n AND (a.n = s.n OR a.lv < s.lv)
+        WHERE NOT EXISTS (SELECT 1 FROM ttl b WHERE b.id = a.id AND b.n > a.n AND b.n <= s.n AND b.lv <= a.lv) GROUP BY 1, 2),
+txt AS (SELECT id, n, string_agg(regexp_replace(l, 'SPACES$', ''), chr(10) ORDER BY no) AS c FROM secs GROUP BY 1, 2),
+cut AS (SELECT id, n, regexp_replace(c, '^SPACES|SPACES$', '', 'g') AS c FROM txt)
+SELECT cut.id AS page_id, (row_number() OVER (PARTITION BY cut.id ORDER BY n) - 1)::INT AS section_no, coalesce(path, '') AS header_path, c AS content FROM cut LEFT JOIN pth USING (id, n) WHERE c <> ''""".replace("SPACES", _SPACES)
+
 ORACLES = {
+    "markdown_sections": _SECTIONS,
+    "page_links": f"WITH p AS (SELECT row_number() OVER () AS k, * FROM (SELECT DISTINCT url AS u, html AS h FROM raw_documents WHERE html <> '' AND url IS NOT NULL)), {_LINKS} SELECT root_url, position, title, href, url FROM l",
+    "crawl_plan": f"{_PLAN} SELECT root_url, position, title, url FROM plan",
+    "page_selection": f"{_PLAN} SELECT root_url, position, url FROM (SELECT *, row_number() OVER (PARTITION BY root_url ORDER BY position) AS n FROM plan) WHERE n <= 10",
     "canonical_urls": r"""
 SELECT page_id, CASE WHEN regexp_replace(bare, '/+$', '') = '' THEN bare ELSE regexp_replace(bare, '/+$', '') END AS canonical_url,
        nullif(lower(regexp_replace(regexp_replace(regexp_extract(url, '^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#\s]*)', 1), '^.*@', ''), ':\d*$', '')), '') AS site

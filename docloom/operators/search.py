@@ -51,7 +51,7 @@ def unit_rows(vectors: pa.Array | pa.ChunkedArray, size: int) -> tuple[np.ndarra
     return rows[good], data[good] / norms[good, None]
 
 
-def _scored(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, matrix: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scored(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, matrix: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query ids, ids, similarities) of the ``k`` best rows of ``data`` for each query; rounded to 12 digits, so that copies tie."""
     out: list[tuple] = [(query_ids[:0], ids[:0], np.zeros(0))]
     for start in range(0, len(matrix), SLICE):
@@ -63,7 +63,8 @@ def _scored(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, matrix: np
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
-def _ids(column: pa.Array | pa.ChunkedArray, rows: np.ndarray) -> np.ndarray:
+def ids_of(column: pa.Array | pa.ChunkedArray, rows: np.ndarray) -> np.ndarray:
+    """The ids of some rows, as integers or texts."""
     taken = column.take(pa.array(rows))
     return taken.to_numpy(zero_copy_only=False) if pa.types.is_integer(taken.type) else np.array(taken.to_pylist(), dtype=str)
 
@@ -84,7 +85,7 @@ def _few(corpus: DataFrame, kind: str, queries: list, k: int) -> DataFrame:
         for batch in batches:
             for i, (size, query_ids, matrix) in enumerate(shared.value):
                 rows, data = unit_rows(batch.column(1), size)
-                found = _scored(_ids(batch.column(0), rows), data, query_ids, matrix, k)
+                found = scored(ids_of(batch.column(0), rows), data, query_ids, matrix, k)
                 if held[i] is not None:
                     found = tuple(np.concatenate(pair) for pair in zip(held[i], found, strict=True))
                     kept = best(found[0], found[2], found[1], k)
@@ -118,7 +119,7 @@ def _many(corpus: DataFrame, kind: str, queries: DataFrame, k: int) -> DataFrame
         length = next((len(v) for v in mine.column("vector").to_pylist()[:1]), 0)
         query_rows, matrix = unit_rows(mine.column("vector"), length)
         rows, data = unit_rows(theirs.column("vector"), length)
-        asked, ids, values = _scored(_ids(theirs.column("id"), rows), data, _ids(mine.column("id"), query_rows).astype(np.int64), matrix, k)
+        asked, ids, values = scored(ids_of(theirs.column("id"), rows), data, ids_of(mine.column("id"), query_rows).astype(np.int64), matrix, k)
         return pa.table({"query_id": pa.array(asked, pa.int64()), "id": pa.array(ids.tolist(), pa.int64() if kind == "bigint" else pa.string()), "similarity": pa.array(values, pa.float64())})
 
     found = []
@@ -178,20 +179,25 @@ def rerank(hits: DataFrame, chunks: DataFrame, limit: int | None = None) -> Data
 
 def search(
     chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, version_id, limit: int = 5,
-    hybrid: bool = True, candidate_multiplier: int = 8,
+    hybrid: bool = True, candidate_multiplier: int = 8, index=None,
 ) -> DataFrame:
     """Hits (query_id, chunk_id, content, source_url, page_title, header_path, score, position) of each query.
 
     ``chunks`` are those that may be found, with ``id``; ``embeddings``: chunk_id,
     embedding_version_id, embedding; ``queries``: query_id, query, vector. The
     hybrid form reranks ``limit * candidate_multiplier`` nearest chunks. Texts
-    are fetched for the hits that stay, after all ranking.
+    are fetched for the hits that stay, after all ranking. With ``index`` (an
+    ``operators.index.VectorIndex`` over chunk ids of that version) the nearest
+    are those that it finds, else all vectors are compared.
     """
     if limit <= 0 or candidate_multiplier <= 0:
         raise ValueError("limit and candidate_multiplier must be positive")
-    corpus = embeddings.where(F.col("embedding_version_id") == version_id).select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vector"))
-    corpus = corpus.join(chunks.select("id"), "id", "left_semi")
-    near = top_k(corpus, queries, limit * candidate_multiplier if hybrid else limit)
+    candidates = limit * candidate_multiplier if hybrid else limit
+    if index is not None:
+        near = index.top_k(queries, candidates, allowed=chunks.select("id"))
+    else:
+        corpus = embeddings.where(F.col("embedding_version_id") == version_id).select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vector"))
+        near = top_k(corpus.join(chunks.select("id"), "id", "left_semi"), queries, candidates)
     if hybrid:
         hits = rerank(near.join(queries.select(F.col("query_id").cast("bigint"), "query"), "query_id"), chunks, limit)
     else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -119,6 +120,52 @@ def fetch_pages(pages: DataFrame, make_client: Callable[[], HttpClient] = HttpCl
     return pages.select("title", "url").where("url is not null").mapInArrow(work, FETCHED)
 
 
+@dataclass(frozen=True)
+class PackageIndexMetadata:
+    """Provider that asks a package index for each package, one client for each task.
+
+    ``address`` has ``{package}`` in place of the name. A package that the index
+    does not know, or whose answer cannot be read, has no urls. The asked version
+    is kept, whatever release the index answers with.
+    """
+
+    make_client: Callable[[], HttpClient] = HttpClient
+    address: str = "https://pypi.org/pypi/{package}/json"
+
+    def discover(self, packages: DataFrame) -> DataFrame:
+        make_client, address = self.make_client, self.address
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            client = make_client()
+            try:
+                for batch in batches:
+                    found = []
+                    for package in batch.column(0).to_pylist():
+                        try:
+                            status, _, text = client.get(address.format(package=package))
+                            info = json.loads(text)["info"] if status == 200 else {}
+                        except (OSError, ValueError, KeyError, TypeError):
+                            info = {}
+                        urls = info.get("project_urls") or {}
+                        found.append(([(k, v) for k, v in urls.items() if v is not None], info.get("docs_url"), info.get("home_page")))
+                    kinds = (pa.map_(pa.string(), pa.string()), pa.string(), pa.string())
+                    columns = [pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["package", "version", "project_urls", "docs_url", "home_page"])
+            finally:
+                client.close()
+
+        return packages.select("package", "version").where("package is not null").mapInArrow(work, METADATA)
+
+
+def pages_by(pages: DataFrame, captured: DataFrame | None = None, make_client: Callable[[], HttpClient] = HttpClient) -> DataFrame:
+    """``FETCHED`` of (title, url) rows: from captured pages where there are any (rendered ones, too), the others over HTTP."""
+    if captured is None:
+        return fetch_pages(pages, make_client)
+    have = captured.select(F.col("url").alias("__h")).distinct()
+    there = captured_pages(pages.join(have, F.col("url") == F.col("__h"), "left_semi"), captured)
+    return there.unionByName(fetch_pages(pages.join(have, F.col("url") == F.col("__h"), "left_anti"), make_client))
+
+
 def captured_pages(pages: DataFrame, captured: DataFrame) -> DataFrame:
     """``FETCHED`` from pages captured before (url, html, status_code), also those rendered by a browser."""
     have = captured.select(F.col("url").alias("__u"), "html", "status_code")

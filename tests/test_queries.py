@@ -10,7 +10,8 @@ import __spark_entry__ as entry
 
 duckdb = pytest.importorskip("duckdb")
 NAMES = [
-    "p1_found", "plain_texts", "clean_texts", "rebuilt_documents", "hybrid_search", "current_revisions", "topic_merge", "topic_violations",
+    "p1_found", "canonical_urls", "plain_texts", "clean_texts", "rebuilt_documents", "vector_topk_batch", "vector_topk_blocks", "index_recall", "hybrid_search",
+    "retrieval_evaluation", "current_revisions", "lineage_counters", "run_report", "topic_merge", "curated_topics", "catalog_topics", "topic_violations", "markdown_sections", "crawl_plan",
 ]
 
 

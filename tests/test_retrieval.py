@@ -1,11 +1,13 @@
 import io
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docloom import pipeline
 from docloom.config import EmbeddingConfig, load_config
 from docloom.operators import catalog, embedding, evaluation, lineage, search
+from docloom.operators.index import VectorIndex
 from docloom.sources import readers, writers
 from docloom.streaming import incremental
 
@@ -136,3 +138,62 @@ def test_configuration_file(tmp_path):
     (tmp_path / "bad.yaml").write_text("embedding: {provider: p, model: m, dimension: 0}\n")
     with pytest.raises(ValueError, match="dimension"):
         load_config(tmp_path / "bad.yaml")
+
+
+def test_stored_index(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    vectors = np.repeat(rng.normal(size=(20, 16)), 30, axis=0) + 0.6 * rng.normal(size=(600, 16))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    bad = [(900, None), (901, [0.0] * 16), (902, [1.0]), (903, [float("nan")] * 16), (None, [1.0] * 16)]
+    corpus = spark.createDataFrame(rows + bad, "id long, vector array<float>").repartition(3)
+    queries = corpus.where("id % 20 = 0 or id >= 900").select(F.col("id").alias("query_id"), "vector")
+    VectorIndex.build(corpus, f"file://{tmp_path}/index", 16)
+    index = VectorIndex(spark.newSession(), f"file://{tmp_path}/index")
+
+    def pairs(df):
+        return {(r.query_id, r.id) for r in df.collect()}
+
+    exact = pairs(search.top_k(corpus, queries, 5))
+    assert len(pairs(index.top_k(queries, 5, probes=8)) & exact) / len(exact) >= 0.9
+    assert exact == pairs(search.top_k(corpus, queries, 5, few=0))
+    # The index holds one dimension; a query of another finds nothing there.
+    assert pairs(index.top_k(queries, 5, probes=1000)) == {p for p in exact if p[0] != 902}
+    some = pairs(index.top_k(queries, 5, probes=1000, allowed=corpus.where("id % 2 = 1").select("id")))
+    assert some == pairs(search.top_k(corpus.where("id % 2 = 1"), queries, 5))
+    one = spark.createDataFrame([(5000, rows[40][1])], "id long, vector array<float>")
+    index.add(one)
+    assert (40, 5000) in pairs(index.top_k(queries, 2))
+    assert index.top_k(queries.limit(0), 5).count() == 0
+    with pytest.raises(ValueError, match="positive"):
+        index.top_k(queries, 0)
+    empty = VectorIndex.build(corpus.limit(0), f"file://{tmp_path}/empty", 16)
+    assert empty.top_k(queries, 3).count() == 0
+    chunks = corpus.where("id is not null").select(F.col("id").cast("string").alias("id"), F.lit("text").alias("content"), F.lit("u").alias("source_url"), F.lit("t").alias("page_title"), F.array().cast("array<string>").alias("header_path"))
+    named = VectorIndex.build(corpus.select(F.col("id").cast("string").alias("id"), "vector"), f"file://{tmp_path}/named", 16)
+    hits = search.search(chunks, None, queries.withColumn("query", F.lit("text")), None, limit=3, index=named)
+    assert {r.query_id for r in hits.collect()} == {i for i in range(0, 600, 20)}
+
+
+def test_many_queries_meet_the_corpus_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(f"c{i:03}", [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 8)))] + [("c000x", [0.0] * 8), ("c001x", [1.0, 2.0])]
+    corpus = spark.createDataFrame(rows, "id string, vector array<float>")
+    queries = spark.createDataFrame([(i, v) for i, (_, v) in enumerate(rows)], "query_id long, vector array<float>")
+    few = search.top_k(corpus, queries, 4).select("query_id", "id", "rank").collect()
+    monkeypatch.setattr(search, "QUERY_BLOCK", 50)
+    monkeypatch.setattr(search, "CORPUS_PART", 70)
+    assert sorted(search.top_k(corpus, queries, 4, few=10).select("query_id", "id", "rank").collect()) == sorted(few)
+    assert len(few) == 300 * 4 + 1
+
+
+def test_proposals_and_evidence_of_hot_topics(spark):
+    topics = [("a.b", None, "x.md"), ("A.B", None, "y.md"), ("p", "q", "X.md"), ("q", "r", "1.md"), ("r", "q", "2.md"), ("s", "s", "3.md"), ("t", "gone", "4.md")]
+    df = spark.createDataFrame(topics, "qualified_name string, parent_qualified_name string, output_path string")
+    got = sorted((r.code, r.qualified_name) for r in catalog.proposal_issues(df).collect())
+    assert got == [("own_parent", "s"), ("parent_cycle", "q"), ("parent_cycle", "r"), ("shared_name", "A.B"), ("shared_path", "X.md"), ("unknown_parent", "t")]
+    assert [r.code for r in catalog.proposal_issues(df.limit(0)).collect()] == ["no_topics"]
+    # A topic that very many chunks name keeps all of them, and its evidence is the first eight.
+    rows = [(f"c{i:04}", f"Hot x{i}](/python/demo/Hot)[Class", f"{HOME}/Hot", ["Hot"], 60) for i in range(500)]
+    built = catalog.build_catalog(spark.createDataFrame(rows, CHUNKS), "demo")
+    assert built.structural.where("key = 'demo.hot'").count() == 500
+    assert [r.chunk_id for r in built.evidence.orderBy("rank").collect()] == [f"c{i:04}" for i in (100, 101, 102, 103, 104, 105, 106, 107)]
