@@ -139,10 +139,16 @@ def ascii_slug(column: Column) -> Column:
     return F.when(slug == "", F.lit("topic")).otherwise(slug)
 
 
+#: Small letters that fold to several: the sharp s and the Latin ligatures.
+FOLDS = {chr(c): chr(c).casefold() for c in (0xDF, *range(0xFB00, 0xFB07))} | {"ς": "σ"}
+
+
 def fold(column: Column) -> Column:
     """Text without differences of letter case, for keys (``ß`` and ``SS`` are one); null stays null.
 
-    Full case folding by the JVM's case mappings: lower, upper and lower again,
-    with one form of sigma.
+    The JVM's lower case, and ``FOLDS`` for what that leaves different.
     """
-    return F.translate(F.lower(F.upper(F.lower(column))), "ς", "σ")
+    out = F.lower(column)
+    for letter, plain in FOLDS.items():
+        out = F.replace(out, F.lit(letter), F.lit(plain))
+    return out

@@ -123,13 +123,19 @@ def store_violations(tables: Tables, fresh: Tables | None = None) -> DataFrame:
 
     With ``fresh`` (rows just added, by table, already part of ``tables``) only
     what these rows can break: their own checks and references, and keys that
-    one of them has; of the other rows only keys are read.
+    one of them has; of the other rows only keys are read, and tables without
+    new rows not at all.
     """
     col = F.col
 
+    def concerned(make):
+        """The rule, or nothing for a table without new rows."""
+        return lambda name, *args, **kwargs: make(name, *args, **kwargs) if fresh is None or name in fresh else None
+
     def rows(name: str) -> DataFrame:
-        return tables[name] if fresh is None else fresh.get(name, tables[name].limit(0))
+        return tables[name] if fresh is None else fresh[name]
 
+    @concerned
     def key(name: str, constraint: str, *columns: str, where: str = "true") -> DataFrame:
         def keys(df: DataFrame, side: str) -> DataFrame:
             return df.where(where).select(*[F.expr(c).alias(f"{side}{i}") for i, c in enumerate(columns)])
@@ -140,12 +146,15 @@ def store_violations(tables: Tables, fresh: Tables | None = None) -> DataFrame:
             own = own.join(keys(rows(name), "f").dropna().distinct(), reduce(Column.__and__, same), "left_semi")
         return unique(own, name, constraint, *[col(c) for c in own.columns])
 
+    @concerned
     def holds(name: str, constraint: str, condition: Column, of: str = "id") -> DataFrame:
         return check(rows(name), name, constraint, condition, col(of))
 
+    @concerned
     def refers(name: str, constraint: str, column: str, parent: str) -> DataFrame:
         return foreign_key(rows(name), name, constraint, col(column), tables[parent], "id")
 
+    @concerned
     def allowed(name: str, column: str, of: str = "id") -> DataFrame:
         return enum(rows(name), name, column, col(of))
 
@@ -199,7 +208,8 @@ def store_violations(tables: Tables, fresh: Tables | None = None) -> DataFrame:
             holds("topic_evidence", "rank_positive", col("rank") >= 1, "topic_id"),
             holds("topic_evidence", "score_in_range", col("score").between(-1.0, 1.0), "topic_id"),
         ]
-    return reduce(DataFrame.unionByName, parts)
+    nothing = check(tables["packages"].limit(0), "packages", "none", F.lit(True), col("id"))
+    return reduce(DataFrame.unionByName, [p for p in parts if p is not None], nothing)
 
 
 def require(violations: DataFrame) -> None:

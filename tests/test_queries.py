@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 
 duckdb = pytest.importorskip("duckdb")
 NAMES = [
-    "p1_found", "canonical_urls", "plain_texts", "clean_texts", "rebuilt_documents", "vector_topk_batch", "vector_topk_blocks", "index_recall", "hybrid_search",
+    "p1_found", "canonical_urls", "plain_texts", "clean_texts", "rebuilt_documents", "vector_topk_batch", "vector_topk_blocks", "hybrid_search",
     "retrieval_evaluation", "current_revisions", "lineage_counters", "run_report", "topic_merge", "curated_topics", "catalog_topics", "topic_violations", "markdown_sections", "crawl_plan",
 ]
 
@@ -52,5 +52,5 @@ def test_crawl_plan_keeps_all_links(spark, tmp_path):
 
 
 def test_entry_runs(spark, small):
-    assert entry.entry(spark).columns == ["query_id", "chunk_id", "score", "position"]
+    assert entry.entry(spark).columns == ["embedding_version_id", "query_id", "chunk_id", "score", "position"]
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -207,31 +207,30 @@ def test_stage_log_and_settings_of_a_database():
         DatabaseConfig("h", "d", "u", port=0)
 
 
-class _Index:
-    """Answers of a package index and of pages, without a network."""
-
-    def get(self, url):
-        if url.endswith("/demo/json"):
-            return 200, url, '{"info": {"project_urls": {"Documentation": "https://d.example/", "Source": null}, "docs_url": "", "home_page": "https://h.example/"}}'
-        if url.endswith("/odd/json"):
-            return 200, url, "no json"
-        if "missing" in url:
-            return 404, url, ""
-        if "slow" in url:
-            raise TimeoutError("late")
-        return 200, url, f"<p>{url}</p>"
-
-    def close(self):
-        pass
-
-
 def test_package_index_and_fetching(spark):
+    class Index:
+        """Answers of a package index and of pages, without a network."""
+
+        def get(self, url):
+            if url.endswith("/demo/json"):
+                return 200, url, '{"info": {"project_urls": {"Documentation": "https://d.example/", "Source": null}, "docs_url": "", "home_page": "https://h.example/"}}'
+            if url.endswith("/odd/json"):
+                return 200, url, "no json"
+            if "missing" in url:
+                return 404, url, ""
+            if "slow" in url:
+                raise TimeoutError("late")
+            return 200, url, f"<p>{url}</p>"
+
+        def close(self):
+            pass
+
     packages = spark.createDataFrame([("demo", "1"), ("odd", "2"), ("missing", "3"), ("slow", "4"), (None, "5")], "package string, version string")
-    got = {r.package: (r.version, r.project_urls, r.docs_url, r.home_page) for r in readers.discover(packages, readers.PackageIndexMetadata(_Index)).collect()}
+    got = {r.package: (r.version, r.project_urls, r.docs_url, r.home_page) for r in readers.discover(packages, readers.PackageIndexMetadata(Index)).collect()}
     assert got["demo"] == ("1", {"Documentation": "https://d.example/"}, "", "https://h.example/")
     assert got["odd"] == ("2", {}, None, None) == ("2", *got["missing"][1:]) == ("2", *got["slow"][1:]) and None not in got
     pages = spark.createDataFrame([("A", "https://a.example/1"), ("B", "https://a.example/slow"), ("C", "https://a.example/2")], "title string, url string")
     captured = spark.createDataFrame([("https://a.example/2", "<main>rendered</main>", 200)], "url string, html string, status_code int")
-    rows = {r.title: (r.html, r.status_code, r.error, r.metadata.get("fetcher")) for r in readers.pages_by(pages, captured, _Index).collect()}
+    rows = {r.title: (r.html, r.status_code, r.error, r.metadata.get("fetcher")) for r in readers.pages_by(pages, captured, Index).collect()}
     assert rows["A"] == ("<p>https://a.example/1</p>", 200, None, "http") and rows["C"] == ("<main>rendered</main>", 200, None, "captured")
-    assert rows["B"][2] == "Request timed out: late" and len(readers.pages_by(pages, None, _Index).collect()) == 3
+    assert rows["B"][2] == "Request timed out: late" and len(readers.pages_by(pages, None, Index).collect()) == 3
