@@ -27,21 +27,29 @@ many, its queries come in chunks of about ``QUERY_BLOCK`` and its vectors in
 parts of about ``CODE_BLOCK``, each chunk against each part, so no group grows
 with the data, and each meeting passes on no more than ``k`` for a query. The
 work on a dense group of distinct vectors is quadratic in it.
+
+A vector travels several times, so the meetings are held in rounds that each send
+about as many vectors as there are; the shuffle files of a round go before the
+next. Vectors are kept and sent as they were given, as 16-bit numbers where these
+hold them exactly (see ``packed``), and scaled to unit length where they are used.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import pickle
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.additive import Codebooks, encode, train
-from docloom.plans.shared import Scratch
+from docloom.plans.shared import Scratch, shuffles_dropped
 from docloom.plans.topk import best, reaching
 
 SAMPLE = 8192
@@ -50,16 +58,46 @@ BOOKS, CODEWORDS, PER_WORD = 8, 64, 4
 LIST_MOST = 16384
 PROBES, FEWEST, RATIO = 3, 512, 0.7
 QUERY_BLOCK, CODE_BLOCK, SLICE = 2048, 4096, 256
+#: A round of meetings sends as many vectors as there are, or so many if there are fewer.
+ROUND = 1 << 17
 #: Cells are numbered list * CELLS, plus one and the second code where the list is split.
 CELLS = 1 << 16
 
-VECTOR = "vec_id bigint, version int, vector binary"
+VECTOR = "vec_id bigint, version int, vector binary, digest binary"
+
 
+def packed(data: np.ndarray) -> list[bytes]:
+    """The rows of a matrix of single-precision values as bytes that ``unit_rows`` reads, none without a nonzero value.
+
+    Where all values of a row are 16-bit multiples of one power of two, those
+    multiples and a byte of padding; else the values themselves.
+    """
+    data = data.astype(np.float64)
+    whole = np.ldexp(data, 15 - np.frexp(np.abs(data).max(axis=1))[1][:, None])
+    short = whole.astype("<i2")
+    return [s.tobytes() + b"\0" if fits else d.astype("<f4").tobytes() for s, d, fits in zip(short, data, (short == whole).all(axis=1), strict=True)]
 
-def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of packed vectors of one dimension as a matrix, scaled to unit length; that does not depend on the power of two."""
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
+    if not len(column):
+        return np.zeros((0, 0), dtype=np.float32)
+    lengths = pc.binary_length(column).to_numpy()
+    out = None
+    for length in np.unique(lengths):
+        rows = np.flatnonzero(lengths == length)
+        raw = binary_rows(column if len(rows) == len(column) else column.take(pa.array(rows)), "u1")
+        data = (np.ascontiguousarray(raw[:, :-1]).view("<i2") if length % 2 else raw.view("<f4")).astype(np.float64)
+        out = np.empty((len(column), data.shape[1]), dtype=np.float32) if out is None else out
+        out[rows] = data / np.linalg.norm(data, axis=1)[:, None]
+    return out
+
+
+def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, versions, dims = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
-        out_ids, out_versions, out = [], [], []
+        out_ids, out_versions, out, digests = [], [], [], []
         for dim in np.unique(dims):
             rows = np.flatnonzero(dims == dim)
             flat = batch.column(2).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
@@ -69,14 +107,17 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unit = (data[good] / norms[good, None]).astype(np.float32)
             out_ids.extend(ids[rows[good]].tolist())
             out_versions.extend(versions[rows[good]].tolist())
-            out.extend(row.tobytes() for row in unit)
+            if len(unit):
+                out.extend(packed(data[good]))
+            digests.extend(hashlib.md5(row.tobytes()).digest() for row in unit)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(out_ids, pa.int64()), pa.array(out_versions, pa.int32()), pa.array(out, pa.binary())], ["vec_id", "version", "vector"]
+            [pa.array(out_ids, pa.int64()), pa.array(out_versions, pa.int32()), pa.array(out, pa.binary()), pa.array(digests, pa.binary())],
+            ["vec_id", "version", "vector", "digest"],
         )
 
 
 def usable_vectors(embeddings: DataFrame, versions: DataFrame) -> DataFrame:
-    """(vec_id, version, vector): usable vectors, scaled to unit length, as float32 bytes.
+    """(vec_id, version, vector, digest): usable vectors, packed, with the MD5 of what they are at unit length.
 
     Unusable are vectors that are null, of another length than their version's
     dimension, of an unknown version, with a null, NaN or infinite value, or all
@@ -88,7 +129,7 @@ def usable_vectors(embeddings: DataFrame, versions: DataFrame) -> DataFrame:
     )
     rows = rows.where((F.size("embedding") == F.col("dim")) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)))
     slim = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("v").cast("int").alias("version"), F.col("embedding").cast("array<float>").alias("embedding"), "dim")
-    return slim.mapInArrow(_unit_rows, VECTOR)
+    return slim.mapInArrow(_packed_rows, VECTOR)
 
 
 def binary_rows(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
@@ -103,7 +144,7 @@ def binary_rows(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
 
 def _train(group: pa.Table) -> pa.Table:
     """The pickled codebooks of a version's sample (version, n, vector)."""
-    data = binary_rows(group.column("vector"), "<f4")
+    data = unit_rows(group.column("vector"))
     # A list for about every second root of the vectors; the sample must know each of them.
     lists = 1 << max(0, round(np.log2(max(1.0, np.sqrt(group.column("n")[0].as_py()) / 2))))
     model = train(data, max(1, min(lists, len(data) // PER_WORD)), max(1, min(CODEWORDS, len(data) // PER_WORD)), BOOKS)
@@ -140,7 +181,7 @@ def encoded(vectors: DataFrame, models: dict[int, Codebooks]) -> DataFrame:
                 model = shared.value[int(version)]
                 for start in range(0, part.num_rows, 1024):
                     piece = part.slice(start, 1024)
-                    data = binary_rows(piece.column(2), "<f4")
+                    data = unit_rows(piece.column(2))
                     codes = encode(data, model)
                     near = model.decode(codes)
                     columns = [
@@ -149,7 +190,7 @@ def encoded(vectors: DataFrame, models: dict[int, Codebooks]) -> DataFrame:
                     ]
                     yield pa.RecordBatch.from_arrays(columns, ["vec_id", "version", "list", "code", "norm", "loss", "vector"])
 
-    return vectors.mapInArrow(work, ENCODED)
+    return vectors.select("vec_id", "version", "vector").mapInArrow(work, ENCODED)
 
 
 def _probed(scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -188,11 +229,13 @@ def cell_of(split: DataFrame) -> Column:
     return F.col("list") * CELLS + F.when(F.col("cut"), second + 1).otherwise(0)
 
 
-def compared(table: DataFrame, queries: DataFrame, models: dict[int, Codebooks], k: int, least: float | None, list_most: int = LIST_MOST) -> DataFrame:
+def compared(table: DataFrame, queries: DataFrame, models: dict[int, Codebooks], k: int, least: float | None, list_most: int = LIST_MOST, scratch: Scratch | None = None) -> DataFrame:
     """(version, query_id, vec_id, similarity): the ``k`` vectors of greatest exact cosine in the probed cells, ties by id.
 
-    Cosines are rounded to nine digits.
+    Cosines are rounded to nine digits. Where the whole table asks, the copy of it with
+    its cells takes its place, and "encoded" is dropped from ``scratch``.
     """
+    scratch = scratch or Scratch(table.sparkSession, "neighbours")
     context = table.sparkSession.sparkContext
     # As many rows as the codebooks have lists.
     sizes_of = {v: np.zeros(m.lists, dtype=np.int64) for v, m in models.items()}
@@ -208,17 +251,25 @@ def compared(table: DataFrame, queries: DataFrame, models: dict[int, Codebooks],
             versions = batch.column(1).to_numpy()
             for version in np.unique(versions):
                 part = batch.filter(pa.array(versions == version))
-                cells = probes(binary_rows(part.column(3), "<f4"), known[int(version)], part.column(2).to_numpy(), held[int(version)], list_most)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cells, pa.list_(pa.int32())), part.column(3)], ["query_id", "version", "cells", "vector"])
+                for start in range(0, part.num_rows, 1024):
+                    piece = part.slice(start, 1024)
+                    cells = probes(unit_rows(piece.column(6)), known[int(version)], piece.column(2).to_numpy(), held[int(version)], list_most)
+                    yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(cells, pa.list_(pa.int32()))], [*piece.schema.names, "cells"])
 
     key = ["version", "cell"]
-    asking_rows = queries.select("vec_id", "version", "list", "vector").mapInArrow(ask, "query_id bigint, version int, cells array<int>, vector binary")
-    left = asking_rows.select("version", F.explode("cells").alias("cell"), "query_id", "vector")
+    asked = scratch.write(queries.mapInArrow(ask, f"{ENCODED}, cells array<int>"), "asked")
+    if queries is table:
+        table = asked
+        scratch.drop("encoded")
+    left = asked.select("version", F.explode("cells").alias("cell"), F.col("vec_id").alias("query_id"), "vector")
     right = table.join(F.broadcast(large), ["version", "list"], "left").withColumn("cell", cell_of(large))
-    asking = asking_rows.select("version", F.explode("cells").alias("cell")).groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("chunks"))
-    holding = right.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / CODE_BLOCK).alias("parts"))
+    asking = left.groupBy(*key).agg(F.count(F.lit(1)).alias("asks"), F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("chunks"))
+    holding = right.groupBy(*key).agg(F.count(F.lit(1)).alias("holds"), F.ceil(F.count(F.lit(1)) / CODE_BLOCK).alias("parts"))
     # A row for each cell: at most lists x words of the second book, for each version.
-    sizes = F.broadcast(asking.join(holding, key))
+    sizes = scratch.write(asking.join(holding, key), "cells")
+    sent = sizes.agg(F.sum(F.col("asks") * F.col("parts") + F.col("holds") * F.col("chunks"))).first()[0] or 0
+    rounds = max(1, math.ceil(sent / max(ROUND, sum(int(n.sum()) for n in sizes_of.values()))))
+    sizes = F.broadcast(sizes.drop("asks", "holds"))
 
     def place(id_: str, count: str) -> Column:
         return F.pmod(F.xxhash64(id_), count).alias(count[:-1])
@@ -226,9 +277,9 @@ def compared(table: DataFrame, queries: DataFrame, models: dict[int, Codebooks],
     def each(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1)).alias(count[:-1])
 
-    left = left.join(sizes, key).select(*key, place("query_id", "chunks"), each("parts"), "query_id", "vector")
+    turn = F.pmod(F.xxhash64(*key, "chunk"), F.lit(rounds))
+    left = left.join(sizes, key).select(*key, place("query_id", "chunks"), "parts", "query_id", "vector")
     right = right.join(sizes, key).select(*key, each("chunks"), place("vec_id", "parts"), "vec_id", "code", "norm", "loss", "vector")
-    right = right.select(*[F.col(c).alias(f"right_{c}") for c in (*key, "chunk", "part")], "vec_id", "code", "norm", "loss", F.col("vector").alias("theirs"))
     empty = {"version": pa.array([], pa.int32()), "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())}
 
     def exact(mine: pa.Table, theirs: pa.Table) -> pa.Table:
@@ -239,7 +290,7 @@ def compared(table: DataFrame, queries: DataFrame, models: dict[int, Codebooks],
         ids, asked = theirs.column("vec_id").to_numpy(), mine.column("query_id").to_numpy()
         code = binary_rows(theirs.column("code"), "<u2").T
         norm, loss = theirs.column("norm").to_numpy(), theirs.column("loss").to_numpy()
-        data, every = binary_rows(theirs.column("theirs"), "<f4"), binary_rows(mine.column("vector"), "<f4")
+        data, every = unit_rows(theirs.column("theirs")), unit_rows(mine.column("vector"))
         found: list[tuple] = []
         for start in range(0, len(asked), SLICE):
             query, own = every[start : start + SLICE], asked[start : start + SLICE, None] == ids
@@ -270,8 +321,14 @@ def compared(table: DataFrame, queries: DataFrame, models: dict[int, Codebooks],
         return pa.table({"version": pa.array(np.full(len(ids), version), pa.int32()), "query_id": pa.array(asked, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "similarity": pa.array(sims, pa.float64())})
 
     group = [*key, "chunk", "part"]
-    pairs = left.groupBy(*group).cogroup(right.groupBy(*[f"right_{c}" for c in group]))
-    hits = pairs.applyInArrow(exact, "version int, query_id bigint, vec_id bigint, similarity double")
+
+    def met(number: int) -> DataFrame:
+        mine = left.where(turn == number).select(*key, "chunk", each("parts"), "query_id", "vector")
+        theirs = right.where(turn == number).select(*[F.col(c).alias(f"right_{c}") for c in group], "vec_id", "code", "norm", "loss", F.col("vector").alias("theirs"))
+        pairs = mine.groupBy(*group).cogroup(theirs.groupBy(*[f"right_{c}" for c in group]))
+        return pairs.applyInArrow(exact, "version int, query_id bigint, vec_id bigint, similarity double")
+
+    hits = reduce(DataFrame.unionByName, [scratch.write(met(i), f"hits-{i}") for i in range(rounds)])
     order = Window.partitionBy("version", "query_id").orderBy(F.desc("similarity"), "vec_id")
     return hits.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
@@ -304,23 +361,23 @@ def nearest(embeddings: DataFrame, versions: DataFrame, k: int = 5, least: float
     an empty result.
     """
     scratch = Scratch(embeddings.sparkSession, "neighbours")
-    vectors = usable_vectors(embeddings, versions).withColumn("digest", F.unhex(F.md5("vector")))
-    vectors = scratch.write(vectors, "vectors")
-    same = scratch.write(vectors.groupBy("version", "digest").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("rep")).where("n > 1").drop("n"), "same")
-    copies = not same.isEmpty()
-    distinct = vectors.drop("digest")
-    if copies:
-        twins = scratch.write(vectors.select("version", "digest", "vec_id").join(same, ["version", "digest"]).select("version", "rep", "vec_id"), "twins")
-        distinct = vectors.join(same, ["version", "digest"], "left").where("rep is null or rep = vec_id").select("vec_id", "version", "vector")
-    models = fit(distinct)
-    table = scratch.write(encoded(distinct, models), "encoded")
-    scratch.drop("vectors")
-    queries = table.where(only) if only else table
-    if copies and only:
-        asked = twins.where(only).select(F.col("rep").alias("vec_id")).union(table.where(only).select("vec_id")).distinct()
-        queries = table.join(asked, "vec_id", "left_semi")
-    hits = compared(table, queries, models, k, least)
-    return scratch.result(_with_copies(hits, twins, k, only) if copies else hits)
+    with shuffles_dropped(embeddings.sparkSession):
+        vectors = scratch.write(usable_vectors(embeddings, versions), "vectors")
+        same = scratch.write(vectors.groupBy("version", "digest").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("rep")).where("n > 1").drop("n"), "same")
+        copies = not same.isEmpty()
+        distinct = vectors.drop("digest")
+        if copies:
+            twins = scratch.write(vectors.select("version", "digest", "vec_id").join(same, ["version", "digest"]).select("version", "rep", "vec_id"), "twins")
+            distinct = vectors.join(same, ["version", "digest"], "left").where("rep is null or rep = vec_id").select("vec_id", "version", "vector")
+        models = fit(distinct)
+        table = scratch.write(encoded(distinct, models), "encoded")
+        scratch.drop("vectors")
+        queries = table.where(only) if only else table
+        if copies and only:
+            asked = twins.where(only).select(F.col("rep").alias("vec_id")).union(table.where(only).select("vec_id")).distinct()
+            queries = table.join(asked, "vec_id", "left_semi")
+        hits = compared(table, queries, models, k, least, scratch=scratch)
+        return scratch.result(_with_copies(hits, twins, k, only) if copies else hits)
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

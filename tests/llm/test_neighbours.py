@@ -1,7 +1,12 @@
+import threading
+from pathlib import Path
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docloom.llm import additive, neighbours
+from docloom.plans.shared import shared_folder
 
 ROWS = "vec_id long, chunk_id string, embedding_version_id int, embedding array<float>, list int"
 
@@ -128,3 +133,59 @@ def test_training_with_thousands_of_lists_stays_small():
     assert model.lists == 2048 and [len(w) for w in model.words[1:]] == [64] * 7
     assert tracemalloc.get_traced_memory()[1] < 400e6 and time.time() - began < 120
     tracemalloc.stop()
+
+
+def test_packed_vectors_are_the_same_at_unit_length():
+    rng = np.random.default_rng(11)
+    coarse = np.rint(rng.normal(size=(50, 384)) * 200).astype(np.float32) / 4096
+    rows = np.concatenate([coarse, 3 * coarse, rng.normal(size=(50, 384)).astype(np.float32), coarse * np.float32(2.0**-130), np.eye(3, 384, dtype=np.float32) * np.float32(-3e38)])
+    double = rows.astype(np.float64)
+    want = (double / np.linalg.norm(double, axis=1, keepdims=True)).astype(np.float32)
+    bytes_ = neighbours.packed(rows)
+    assert {len(b) for b in bytes_[:100]} == {769} and {len(b) for b in bytes_[100:150]} == {1536}
+    column = pa.array([b"", *bytes_], pa.binary()).slice(1)
+    assert np.array_equal(neighbours.unit_rows(column), want)
+    assert np.array_equal(neighbours.unit_rows(pa.chunked_array([column.slice(0, 70), column.slice(70)])), want)
+    assert neighbours.unit_rows(pa.chunked_array([], pa.binary())).shape == (0, 0)
+
+
+def test_rounds_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    df, versions = wide(spark, np.repeat(rng.normal(size=(20, 384)), 60, axis=0) + 0.7 * rng.normal(size=(1200, 384)))
+    usable = neighbours.usable_vectors(df, versions)
+    models = neighbours.fit(usable)
+    table = neighbours.encoded(usable, models).persist()
+    one = set(map(tuple, neighbours.compared(table, table, models, 5, None).collect()))
+    monkeypatch.setattr(neighbours, "ROUND", 1)
+    assert len(one) == 6000 and set(map(tuple, neighbours.compared(table, table, models, 5, None).collect())) == one
+
+
+def test_disk_stays_below_four_times_the_vectors(spark, monkeypatch, tmp_path):
+    """Of tables written and shuffle files together, while it runs; before, no round ended and each query's copies stayed."""
+    monkeypatch.setattr(neighbours, "ROUND", 1, raising=False)
+    rng = np.random.default_rng(13)
+    df, versions = wide(spark, rng.normal(size=(4000, 384)))
+    df.write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    places = [Path(d.getPath()) for d in disk.localDirs()]
+    written = Path(shared_folder(spark).removeprefix("file://"))
+
+    def used():
+        total = 0
+        for p in [*(p for d in places for p in d.rglob("shuffle_*")), *written.rglob("*.parquet")]:
+            try:
+                total += p.stat().st_size
+            except OSError:
+                pass
+        return total
+
+    seen, over, floor = [], threading.Event(), used()
+    watch = threading.Thread(target=lambda: [seen.append(used()) for _ in iter(lambda: over.wait(0.05), True)])
+    watch.start()
+    try:
+        assert neighbours.nearest(df, versions, 5).count() == 20000
+    finally:
+        over.set()
+        watch.join()
+    assert max(seen) - floor < 4 * 4000 * 1536, (max(seen) - floor) / (4000 * 1536)
